@@ -22,8 +22,8 @@ def paste(*parts: Column, sep: str = " ") -> Column:
 
 
 def percent_change_label(ratio: Column) -> Column:
-    """A ratio of 1.25 becomes the text 25.0%."""
-    return F.format_string("%.1f%%", 100.0 * (ratio - 1.0))
+    """A ratio of 1.25 becomes the text 25.0%; ties round to the even digit, as C printf does."""
+    return F.format_string("%.1f%%", F.bround(100.0 * (ratio - 1.0), 1))
 
 
 def percent_change(ratio: Column) -> Column:
