@@ -75,3 +75,23 @@ def norm_cdf(x: Column) -> Column:
     far = F.exp(-size * size / 2.0) / fraction / F.lit(math.sqrt(2 * math.pi))
     tail = F.when(size < 7.07106781186547, near).when(size <= 37.0, far).otherwise(F.lit(0.0))
     return F.when(x > 0.0, 1.0 - tail).otherwise(tail)
+
+
+# Coefficients -B(2k) / (2k) of the digamma series.
+DIGAMMA_SERIES = [-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132, 691 / 32760]
+
+
+def digamma(x: Column) -> Column:
+    """Derivative of lgamma for x > 0."""
+
+    def series(v: Column) -> Column:
+        sq = 1.0 / (v * v)
+        total = F.lit(DIGAMMA_SERIES[-1])
+        for coefficient in reversed(DIGAMMA_SERIES[:-1]):
+            total = total * sq + F.lit(coefficient)
+        return F.ln(v) - 0.5 / v + total * sq
+
+    step = F.lit(0.0)
+    for i in range(SHIFT):
+        step = step + 1.0 / (x + F.lit(float(i)))
+    return F.when(x >= 10.0, series(x)).otherwise(series(x + F.lit(float(SHIFT))) - step)
