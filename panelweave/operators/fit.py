@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from panelweave.functions.special import lgamma
 from panelweave.operators import solve
 from panelweave.operators.levels import level_index
-from panelweave.operators.likelihood import FORMS, ZEROS, with_count_terms, with_proportion_terms
-from panelweave.operators.nested import System, effects, eliminate, packed
+from panelweave.operators.likelihood import FORMS, LOGK_STEP, ZEROS, with_terms
+from panelweave.operators.nested import System, effects, eliminate, packed, with_effects
 from panelweave.session import BROADCAST_ROW_LIMIT, Ledger, bounded_join
 from panelweave.sources.candidates import Candidate
 
@@ -49,7 +49,7 @@ class FitSpec:
     successes: float = 1.0
     prior_mean: tuple[float, float] = (0.0, 0.0)
     prior_sd: tuple[float, float] | None = None
-    max_iterations: int = 60
+    max_iterations: int = 40
     tolerance: float = 1e-7
     variance_tolerance: float = 5e-3
     check_every: int = 3
@@ -149,6 +149,7 @@ def starting_values(cells: DataFrame, spec: FitSpec, candidates: list[Candidate]
     return entity.crossJoin(F.broadcast(chosen)).select(
         *spec.key, "form", "zero", "fixed", "restricted", "n_rows",
         F.concat("levels_", slopes).alias("beta"),
+        F.array_repeat(F.lit(0.0), size + EXTRA).alias("solution"),
         F.array_repeat(F.lit(float("nan")), size * size).alias("cov"),
         "zbeta",
         F.array_repeat(F.lit(float("nan")), P * P).alias("zcov"),
@@ -163,6 +164,7 @@ def starting_values(cells: DataFrame, spec: FitSpec, candidates: list[Candidate]
         F.lit(0.0).alias("logdet"),
         F.lit(float("inf")).alias("delta"),
         F.lit(0).alias("iterations"),
+        F.array().cast("array<double>").alias("trace"),
         F.lit("running").alias("status"),
     )
 
@@ -236,52 +238,71 @@ def linked_rows(rows: DataFrame, coef: DataFrame, state: DataFrame | None, hot:
     return linked.withColumns({"eta": clipped(eta), "ez": clipped(ez)}).drop("beta", "zbeta")
 
 
-CARRY = ["ll", "ll_lo", "ll_hi", "zs", "zi"]
+CARRY = ["ll"]
+SCALARS = ["ll", "ll_lo", "ll_hi", "zs", "zi", "hzk", "hz_eta", "hk_eta"]
+EXTRA = 2  # columns of the zero parameter and the log dispersion, after the design columns
 
 
 def block_sums(terms: DataFrame, by: list[str], spec: FitSpec, zero_part: bool) -> DataFrame:
-    """Weighted sums per period. Within a period the design is (1, x), so five sums per period replace the
+    """Weighted sums per period. Within a period the design is (1, x), so a few sums per period replace the
     full cross-product."""
-    w, x, d = F.col("w"), F.col("x"), F.col("d")
-    wz = w * F.col("eta") + F.col("s")
-    columns = {"w": w, "wz": wz}
+    wz = "(terms.w * eta + terms.s)"
+    columns = {"w": "terms.w", "wz": wz, "hz": "terms.hz", "hk": "terms.hk"}
     if spec.covariate:
-        columns.update({"wx": w * x, "wxx": w * x * x, "wxz": wz * x})
+        columns.update({
+            "wx": "terms.w * x", "wxx": "terms.w * x * x", "wxz": f"{wz} * x", "hzx": "terms.hz * x", "hkx": "terms.hk * x",
+        })
     if zero_part:
-        columns.update({"zw": F.col("zi"), "zwz": F.col("zi") * F.col("ez") + F.col("zs")})
-    staged = terms.select(*by, "d", *[c.alias(f"v_{n}") for n, c in columns.items()], *CARRY)
+        columns.update({"zw": "terms.zi", "zwz": "terms.zi * ez + terms.zs"})
+    scalars = {n: f"terms.{n}" for n in SCALARS if not n.endswith("_eta")}
+    scalars.update({"hz_eta": "terms.hz * eta", "hk_eta": "terms.hk * eta"})
+    staged = terms.selectExpr(
+        *by, "d", *[f"{c} AS v_{n}" for n, c in columns.items()], *[f"{c} AS {n}" for n, c in scalars.items()]
+    )
     sums = [
-        F.sum(F.when(d == i, F.col(f"v_{n}")).otherwise(0.0)).alias(f"{n}_{i}")
+        F.expr(f"sum(CASE WHEN d = {i} THEN v_{n} ELSE 0.0D END) AS {n}_{i}")
         for n in columns for i in range(spec.n_periods)
     ]
-    return staged.groupBy(*by).agg(*sums, *[F.sum(n).alias(n) for n in CARRY])
+    return staged.groupBy(*by).agg(*sums, *[F.expr(f"sum({n}) AS {n}") for n in scalars])
 
 
 def as_systems(blocks: DataFrame, by: list[str], spec: FitSpec, systems: list[System]) -> DataFrame:
-    """Block sums as the sums of one unit of each linear system."""
-    P = spec.n_periods
-
-    def total(names: list[str]) -> Column:
-        return reduce(lambda a, b: a + b, [F.col(n) for n in names])
-
-    out: dict[str, Column] = {}
+    """Block sums as the sums of one unit of each linear system. The zero parameter and the log dispersion
+    are two more columns of the count system (their unknown is the change), so a step moves all parameters
+    together."""
+    P, p = spec.n_periods, spec.size
+    out: dict[str, str] = {}
     for system in systems:
         w, wz = ("w", "wz") if system.name == "c" else ("zw", "zwz")
-        out[system.col("a")] = total([f"{w}_{i}" for i in range(P)])
-        out[system.col("c")] = total([f"{wz}_{i}" for i in range(P)])
-        out[system.col("ld")] = F.lit(0.0)
+        out[system.col("a")] = " + ".join(f"{w}_{i}" for i in range(P))
+        out[system.col("c")] = " + ".join(f"{wz}_{i}" for i in range(P))
+        out[system.col("ld")] = "0.0D"
         for i, j in system.pairs:
-            out[system.xx(i, j)] = F.lit(0.0)
+            out[system.xx(i, j)] = "0.0D"
         for i in range(P):
-            out[system.b(i)] = F.col(f"{w}_{i}")
-            out[system.xx(i, i)] = F.col(f"{w}_{i}")
-            out[system.xz(i)] = F.col(f"{wz}_{i}")
-            if system.size > P:
-                out[system.b(P + i)] = F.col(f"wx_{i}")
-                out[system.xx(i, P + i)] = F.col(f"wx_{i}")
-                out[system.xx(P + i, P + i)] = F.col(f"wxx_{i}")
-                out[system.xz(P + i)] = F.col(f"wxz_{i}")
-    return blocks.select(*by, *CARRY, *[out[n].alias(n) for s in systems for n in s.sums])
+            out[system.b(i)] = f"{w}_{i}"
+            out[system.xx(i, i)] = f"{w}_{i}"
+            out[system.xz(i)] = f"{wz}_{i}"
+        if system.name != "c":
+            continue
+        for e, h in enumerate(("hz", "hk")):
+            out[system.b(p + e)] = " + ".join(f"{h}_{i}" for i in range(P))
+            for i in range(P):
+                out[system.xx(i, p + e)] = f"{h}_{i}"
+        out[system.xx(p, p)] = "zi"
+        out[system.xx(p, p + 1)] = "hzk"
+        out[system.xx(p + 1, p + 1)] = f"(2 * ll - ll_lo - ll_hi) / {LOGK_STEP**2}D"
+        out[system.xz(p)] = "zs + hz_eta"
+        out[system.xz(p + 1)] = f"(ll_hi - ll_lo) / {2 * LOGK_STEP}D + hk_eta"
+        if p > P:
+            for i in range(P):
+                out[system.b(P + i)] = f"wx_{i}"
+                out[system.xx(i, P + i)] = f"wx_{i}"
+                out[system.xx(P + i, P + i)] = f"wxx_{i}"
+                out[system.xz(P + i)] = f"wxz_{i}"
+                out[system.xx(P + i, p)] = f"hzx_{i}"
+                out[system.xx(P + i, p + 1)] = f"hkx_{i}"
+    return blocks.selectExpr(*by, *CARRY, *[f"{out[n]} AS {n}" for s in systems for n in s.sums])
 
 
 def prior_terms(spec: FitSpec):
@@ -296,15 +317,10 @@ def prior_terms(spec: FitSpec):
     return precision, map_.T @ (mean / sd**2)
 
 
-def step_schema(coef: DataFrame) -> T.StructType:
-    return T.StructType([f for f in coef.schema.fields])
-
-
 def solved(top: DataFrame, coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int) -> DataFrame:
     """One scoring step for every key."""
     arrays = [c for s in systems for c in packed(s)]
-    determinants = [F.col(s.col("ld")) for s in systems]
-    sums = top.select(*spec.key, *CARRY, *arrays, reduce(lambda a, b: a + b, determinants).alias("ld"))
+    sums = top.selectExpr(*spec.key, *CARRY, *arrays, " + ".join(s.col("ld") for s in systems) + " AS ld")
     joined = bounded_join(sums, coef.drop("ll"), spec.key, rows=n_keys)
     wanted = [f.name for f in coef.schema.fields]
     names = [n for n in wanted if n in joined.columns] + ["ld", *[c for c in joined.columns if c not in wanted and c != "ld"]]
@@ -320,46 +336,47 @@ def solved(top: DataFrame, coef: DataFrame, spec: FitSpec, systems: list[System]
 
 def variance_update(levels: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int) -> DataFrame:
     """New precisions from the unit effects of all levels: effective count over squared effects."""
-    parts = []
-    for i, level in enumerate(levels):
-        cols = [F.lit(i).alias("level")]
-        for s in systems:
-            u = F.col(f"{s.name}_u")
-            cols += [(u * u).alias(f"{s.name}_uu"), F.col(f"{s.name}_v").alias(f"{s.name}_vv")]
-        parts.append(level.select(*spec.key, *cols))
+    names = [s.name for s in systems]
+    parts = [
+        level.selectExpr(
+            *spec.key, f"{i} AS level", *[f"{n}_u * {n}_u AS {n}_uu" for n in names], *[f"{n}_v AS {n}_vv" for n in names]
+        )
+        for i, level in enumerate(levels)
+    ]
     stacked = reduce(DataFrame.unionByName, parts)
     aggs = []
     for i in range(len(levels)):
-        here = F.col("level") == i
-        aggs.append(F.count_if(here).cast("double").alias(f"units_{i}"))
-        for s in systems:
-            for what in ("uu", "vv"):
-                aggs.append(F.sum(F.when(here, F.col(f"{s.name}_{what}")).otherwise(0.0)).alias(f"{s.name}_{what}_{i}"))
+        aggs.append(F.expr(f"CAST(count_if(level = {i}) AS DOUBLE) AS units_{i}"))
+        for n in names:
+            aggs += [
+                F.expr(f"sum(CASE WHEN level = {i} THEN {n}_{what} ELSE 0.0D END) AS {n}_{what}_{i}") for what in ("uu", "vv")
+            ]
     sums = stacked.groupBy(*spec.key).agg(*aggs)
     joined = bounded_join(coef, sums, spec.key, rows=n_keys)
-    updated, moves, penalty = {}, [], F.lit(0.0)
-    for s in systems:
-        name = "prec" if s.name == "c" else "zprec"
-        used = F.lit(True) if s.name == "c" else F.col("zero") == 4
+    updated, moves, penalty = {}, [], []
+    low, high = PRECISION_RANGE
+    for n in names:
+        name = "prec" if n == "c" else "zprec"
+        used = "true" if n == "c" else "zero = 4"
         new = []
         for i in range(len(levels)):
-            old = F.col(name)[i]
-            uu, vv, units = F.col(f"{s.name}_uu_{i}"), F.col(f"{s.name}_vv_{i}"), F.col(f"units_{i}")
-            effective = F.greatest(units - old * vv, units * 1e-6)
-            ratio = F.least(F.greatest(effective / (uu + 1e-14) / old, F.lit(0.1)), F.lit(10.0))
-            value = F.least(F.greatest(old * ratio, F.lit(PRECISION_RANGE[0])), F.lit(PRECISION_RANGE[1]))
+            old = f"{name}[{i}]"
+            effective = f"greatest(units_{i} - {old} * {n}_vv_{i}, units_{i} * 1e-6D)"
+            ratio = f"least(greatest({effective} / ({n}_uu_{i} + 1e-14D) / {old}, 0.1D), 10.0D)"
+            value = f"least(greatest({old} * {ratio}, {low}D), {high}D)"
             new.append(value)
-            # a variance whose standard deviation changes by less than 0.001 of a link unit is settled
-            sd_move = F.abs(1 / F.sqrt(value) - 1 / F.sqrt(old))
-            move = F.when(used & (sd_move > 1e-3), F.abs(F.ln(value / old))).otherwise(0.0)
-            moves.append(move)
-            penalty = penalty + F.when(used, old * uu).otherwise(0.0)
-        updated[name] = F.array(*new)
-    move = F.greatest(*moves) if len(moves) > 1 else moves[0]
-    settled = (F.col("delta") < max(spec.tolerance, 1e-4)) & (move < spec.variance_tolerance)
-    status = F.when((F.col("status") == "running") & settled, "ok").otherwise(F.col("status"))
-    columns = {**updated, "pen": penalty, "status": status}
-    return joined.withColumns(columns).select(*coef.columns)
+            # a standard deviation that moves by less than 0.001 of a link unit is settled
+            settled = f"abs(1 / sqrt({value}) - 1 / sqrt({old})) < 1e-3D"
+            moves.append(f"CASE WHEN NOT ({used}) OR {settled} THEN 0.0D ELSE abs(ln({value} / {old})) END")
+            penalty.append(f"CASE WHEN {used} THEN {old} * {n}_uu_{i} ELSE 0.0D END")
+        updated[name] = f"array({', '.join(new)})"
+    moved = f"greatest({', '.join(moves)}, 0.0D)"
+    status = (
+        f"CASE WHEN status = 'running' AND delta < {max(spec.tolerance, 1e-4)}D AND {moved} < {spec.variance_tolerance}D "
+        "THEN 'ok' ELSE status END"
+    )
+    updated.update({"pen": " + ".join(penalty), "status": status})
+    return joined.selectExpr(*[f"{updated[c]} AS {c}" if c in updated else c for c in coef.columns])
 
 
 def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
@@ -370,8 +387,7 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
     ledger = Ledger(spark)
     proportions = spec.trials is not None
     zero_part = any(c.zero == "regression" for c in candidates)
-    dispersion = any(c.variance != "poisson" and c.name != "binomial" and not c.successes for c in candidates)
-    systems = [System("c", spec.size)] + ([System("z", spec.n_periods)] if zero_part else [])
+    systems = [System("c", spec.size + EXTRA)] + ([System("z", spec.n_periods)] if zero_part else [])
 
     rows = model_rows(panel, spec)
     rows = ledger.keep(rows, "input")  # the panel is read once, not once per round
@@ -391,13 +407,12 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
     seconds: list[float] = []
     rounds = 0
     by_unit = [*spec.key, *spec.levels]
-    terms_of = with_proportion_terms if proportions else with_count_terms
 
     while rounds < spec.max_iterations:
         began = time.time()
         rounds += 1
         linked = linked_rows(rows, coef, state, hot, spec, n_keys)
-        terms = terms_of(linked, dispersion)
+        terms = with_terms(linked, proportions)
         blocks = block_sums(terms, by_unit, spec, zero_part)
         tables = [as_systems(blocks, by_unit, spec, systems)]
         cached = []
@@ -405,11 +420,16 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
             top, cached = climb(tables, coef, spec, systems, n_keys)
         else:
             top = tables[0]
-        coef = ledger.write(with_likelihood(solved(top, coef, spec, systems, n_keys), coef.columns, spec), "coef")
-        if spec.levels:
+        before = coef
+        coef = with_likelihood(solved(top, coef, spec, systems, n_keys), coef.columns, spec)
+        if not spec.levels:
+            coef = ledger.write(accelerated(coef, before, spec, n_keys), "coef")
+        else:
+            coef = ledger.write(coef, "step")
             levels = descend(cached, coef, spec, systems, n_keys)
             state = ledger.write(levels[-1], "state")
-            coef = ledger.write(variance_update([*levels[:-1], state], coef, spec, systems, n_keys), "coef")
+            coef = variance_update([*levels[:-1], state], coef, spec, systems, n_keys)
+            coef = ledger.write(accelerated(coef, before, spec, n_keys), "coef")
             for table in [*cached, *levels[:-1]]:
                 table.unpersist()
         seconds.append(time.time() - began)
@@ -451,6 +471,13 @@ def with_likelihood(step: DataFrame, columns: list[str], spec: FitSpec) -> DataF
     return step.withColumns({"ll": marginal, "status": status}).select(*columns)
 
 
+def accelerated(coef: DataFrame, before: DataFrame, spec: FitSpec, n_keys: int) -> DataFrame:
+    """Extrapolate the parameters of running keys from their last few rounds."""
+    old = before.select(*spec.key, *[F.col(c).alias(f"{c}_old") for c in solve.MOVING])
+    joined = bounded_join(coef, old, spec.key, rows=n_keys)
+    return joined.mapInPandas(solve.make_accelerate(coef.columns), coef.schema)
+
+
 def climb(tables: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int):
     """Eliminate the levels from the lowest up. Returns the key-level sums and the level tables, top first."""
     precisions = coef.select(*spec.key, "prec", "zprec")
@@ -461,15 +488,14 @@ def climb(tables: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: list
         cached.insert(0, table)
         linked = bounded_join(table, precisions, spec.key, rows=n_keys)
         by = [*spec.key, *spec.levels[:i]]
-        chosen = {s: F.col("prec" if s.name == "c" else "zprec")[i] for s in systems}
+        chosen = {s: f"{'prec' if s.name == 'c' else 'zprec'}[{i}]" for s in systems}
         table = eliminate(linked, by, chosen, CARRY)
     return table, cached
 
 
 def descend(cached: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int) -> list[DataFrame]:
     """Unit effects of every level, top first."""
-    restricted = F.col("restricted")
-    parameters = coef.select(*spec.key, "prec", "zprec", "beta", "zbeta", "cov", "zcov", "restricted")
+    parameters = coef.select(*spec.key, "prec", "zprec", "solution", "zbeta", "cov", "zcov", "restricted")
     above = None
     out = []
     for i, table in enumerate(cached):
@@ -478,24 +504,18 @@ def descend(cached: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: li
         linked = bounded_join(table.select(*by, *needed), parameters, spec.key, rows=n_keys)
         if above is not None:
             linked = linked.join(above, [*spec.key, *spec.levels[:i]])
-        columns: dict[str, Column] = {}
-        for s in systems:
-            count = s.name == "c"
-            columns.update(
-                effects(
-                    s, F.col("prec" if count else "zprec")[i], F.col("beta" if count else "zbeta"),
-                    F.col("cov" if count else "zcov"), above is None, restricted,
-                )
-            )
+        stages = [
+            effects(s, f"prec[{i}]", "solution", "cov", above is None, "restricted", spec.size) if s.name == "c"
+            else effects(s, f"zprec[{i}]", "zbeta", "zcov", above is None, "restricted", spec.n_periods)
+            for s in systems
+        ]
         last = i == len(cached) - 1
-        if not any(s.name == "z" for s in systems):
-            columns.update({"z_o": F.lit(0.0)})
-        keep = {n: c for n, c in columns.items() if not last or n[1:3] in ("_u", "_o") or n.endswith("_v")}
-        level = linked.select(*by, *[c.alias(n) for n, c in keep.items()])
-        if not last:
+        level = with_effects(linked, by, stages, totals_only=last)
+        if last:
+            level = level if len(systems) > 1 else level.withColumn("z_o", F.lit(0.0))
+        else:
             level = level.persist()
-            drop = [f"{s.name}_{w}" for s in systems for w in ("u", "v")]
-            above = level.drop(*drop) if any(s.name == "z" for s in systems) else level.drop(*drop, "z_o")
+            above = level.drop(*[f"{s.name}_{w}" for s in systems for w in ("u", "v")])
         out.append(level)
     return out
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,74 +48,80 @@ class System:
         ]
 
 
-def eliminated(system: System, precision: Column) -> dict[str, Column]:
-    """Sums of the level above, contributed by one unit whose intercept has the given precision."""
-    a, c = F.col(system.col("a")), F.col(system.col("c"))
-    k = 1.0 / (a + precision)
-    shrink = precision * k
-    out = {
-        system.col("a"): a * shrink,
-        system.col("c"): c * shrink,
-        system.col("ld"): F.col(system.col("ld")) + F.log1p(a / precision),
-    }
+def eliminated(system: System) -> dict[str, str]:
+    """Sums of the level above, contributed by one unit; ``<name>_k`` is 1 / (a + precision) and
+    ``<name>_h`` the shrinkage precision / (a + precision)."""
+    k, h = system.col("k"), system.col("h")
+    a, c = system.col("a"), system.col("c")
+    out = {a: f"{a} * {h}", c: f"{c} * {h}", system.col("ld"): f"{system.col('ld')} - ln({h})"}
     for i in range(system.size):
-        bi = F.col(system.b(i))
-        out[system.b(i)] = bi * shrink
-        out[system.xz(i)] = F.col(system.xz(i)) - k * bi * c
+        out[system.b(i)] = f"{system.b(i)} * {h}"
+        out[system.xz(i)] = f"{system.xz(i)} - {k} * {system.b(i)} * {c}"
     for i, j in system.pairs:
-        out[system.xx(i, j)] = F.col(system.xx(i, j)) - k * F.col(system.b(i)) * F.col(system.b(j))
+        out[system.xx(i, j)] = f"{system.xx(i, j)} - {k} * {system.b(i)} * {system.b(j)}"
     return out
 
 
-def eliminate(df: DataFrame, keys: list[str], systems: dict[System, Column], carry: list[str] = ()) -> DataFrame:
-    """Eliminate the lowest level of ``df`` and sum to ``keys``; ``carry`` columns are just summed."""
-    columns = {name: F.col(name) for name in carry}
+def eliminate(df: DataFrame, keys: list[str], systems: dict[System, str], carry: list[str] = ()) -> DataFrame:
+    """Eliminate the lowest level of ``df``, whose precision is given as SQL text, and sum to ``keys``;
+    ``carry`` columns are just summed."""
+    factors = []
+    columns = {name: name for name in carry}
     for system, precision in systems.items():
-        columns.update(eliminated(system, precision))
-    staged = df.select(*keys, *[c.alias(n) for n, c in columns.items()])
-    return staged.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in columns])
+        total = f"({system.col('a')} + {precision})"
+        factors += [f"1.0D / {total} AS {system.col('k')}", f"{precision} / {total} AS {system.col('h')}"]
+        columns.update(eliminated(system))
+    sums = [F.expr(f"sum({text}) AS {name}") for name, text in columns.items()]
+    return df.selectExpr("*", *factors).groupBy(*keys).agg(*sums)
 
 
-def packed(system: System) -> list[Column]:
+def packed(system: System) -> list[str]:
     """The key-level system as two array columns, XX (upper triangle by rows) and Xz."""
-    return [
-        F.array(*[F.col(system.xx(i, j)) for i, j in system.pairs]).alias(system.col("xx")),
-        F.array(*[F.col(system.xz(i)) for i in range(system.size)]).alias(system.col("xz")),
-    ]
+    pairs = ", ".join(system.xx(i, j) for i, j in system.pairs)
+    rights = ", ".join(system.xz(i) for i in range(system.size))
+    return [f"array({pairs}) AS {system.col('xx')}", f"array({rights}) AS {system.col('xz')}"]
 
 
 def effects(
-    system: System, precision: Column, beta: Column, cov: Column | None, top: bool, restricted: Column | None = None
-) -> dict[str, Column]:
-    """Effect of a unit given the total above it.
+    system: System, precision: str, beta: str, cov: str | None, top: bool, restricted: str | None = None,
+    cov_size: int = 0,
+) -> list[dict[str, str]]:
+    """Effect of a unit given the total above it, as SQL text in three stages.
 
     Reads ``<name>_o`` (total effect above), ``<name>_vo`` (its variance) and ``<name>_g<i>`` (its derivative
-    in the coefficients); writes the same for the totals including this unit, plus the effect ``u`` and its
-    variance ``v``. With ``cov`` the variance includes the uncertainty of the coefficients (restricted
-    likelihood) where ``restricted`` holds.
+    in the coefficients); yields the same for the totals including this unit (suffix ``_new``), plus the
+    effect ``u`` and its variance ``v``. With ``cov`` the variance includes the uncertainty of the
+    coefficients (restricted likelihood) where ``restricted`` holds; it covers the first ``cov_size`` columns.
     """
     n = system.name
-    a, c = F.col(system.col("a")), F.col(system.col("c"))
-    k = 1.0 / (a + precision)
-    above = F.lit(0.0) if top else F.col(f"{n}_o")
-    above_v = F.lit(0.0) if top else F.col(f"{n}_vo")
-    fit = c - a * above
-    for i in range(system.size):
-        fit = fit - F.col(system.b(i)) * F.nanvl(beta[i], F.lit(0.0))
-    u = k * fit
-    v = k + (k * a) * (k * a) * above_v
-    out = {f"{n}_u": u, f"{n}_v": v, f"{n}_o": above + u, f"{n}_vo": k + above_v * (1.0 - k * a) * (1.0 - k * a)}
-    if cov is None:
-        return out
-    slopes = []
-    for i in range(system.size):
-        up = F.lit(0.0) if top else F.col(f"{n}_g{i}")
-        slope = -k * (F.col(system.b(i)) + a * up)
-        slopes.append(slope)
-        out[f"{n}_g{i}"] = up + slope
-    spread = F.lit(0.0)
-    for i, j in system.pairs:
-        weight = 1.0 if i == j else 2.0
-        spread = spread + weight * slopes[i] * slopes[j] * F.nanvl(cov[i * system.size + j], F.lit(0.0))
-    out[f"{n}_v"] = v + F.when(restricted, spread).otherwise(0.0)
-    return out
+    a, c, k = system.col("a"), system.col("c"), system.col("k")
+    above, above_v = ("0.0D", "0.0D") if top else (f"{n}_o", f"{n}_vo")
+    fitted = " - ".join([f"{c} - {a} * {above}", *[f"{system.b(i)} * nanvl({beta}[{i}], 0.0D)" for i in range(system.size)]])
+    effect = {f"{n}_u": f"{k} * ({fitted})"}
+    variance = f"{k} + {k} * {a} * {k} * {a} * {above_v}"
+    totals = {f"{n}_o_new": f"{above} + {n}_u", f"{n}_vo_new": f"{k} + {above_v} * (1.0D - {k} * {a}) * (1.0D - {k} * {a})"}
+    if cov is not None:
+        for i in range(cov_size):
+            up = "0.0D" if top else f"{n}_g{i}"
+            effect[f"{n}_d{i}"] = f"-{k} * ({system.b(i)} + {a} * {up})"
+            totals[f"{n}_g{i}_new"] = f"{n}_d{i}" if top else f"{n}_g{i} + {n}_d{i}"
+        spread = " + ".join(
+            f"{1.0 if i == j else 2.0}D * {n}_d{i} * {n}_d{j} * nanvl({cov}[{i * cov_size + j}], 0.0D)"
+            for i in range(cov_size) for j in range(i, cov_size)
+        )
+        variance = f"{variance} + CASE WHEN {restricted} THEN {spread} ELSE 0.0D END"
+    return [{k: f"1.0D / ({a} + {precision})"}, effect, {**totals, f"{n}_v": variance}]
+
+
+def with_effects(df: DataFrame, keys: list[str], systems: list[list[dict[str, str]]], totals_only: bool) -> DataFrame:
+    """Evaluate the stages of all systems. Keeps effect, variance and total, and, unless ``totals_only``,
+    what the level below needs."""
+    keep = []
+    for stages in systems:
+        name = next(iter(stages[1])).removesuffix("_u")
+        keep += [f"{name}_u", f"{name}_v", f"{name}_o_new AS {name}_o"]
+        if not totals_only:
+            keep += [f"{c} AS {c.removesuffix('_new')}" for c in stages[2] if c.endswith("_new") and c != f"{name}_o_new"]
+    for stage in zip(*systems):
+        df = df.selectExpr("*", *[f"{text} AS {name}" for part in stage for name, text in part.items()])
+    return df.selectExpr(*keys, *keep)

@@ -44,6 +44,37 @@ def treatment_map(periods: int, covariate: bool) -> np.ndarray:
     return np.kron(np.eye(2), block)
 
 
+def joint_step(xx, rhs, p, active, settled_below, at_low, at_high):
+    """Solve for coefficients and scalar changes together.
+
+    A scalar takes no part once it sits at a bound and would move beyond it, or once neither its score nor
+    its information reaches ``settled_below``.
+
+    The scalars (zero parameter, log dispersion) are eliminated last. Where their information is not
+    positive, as far from the maximum, its absolute eigenvalues give an uphill move. Returns coefficients,
+    their covariance and the scalar changes.
+    """
+    base, cov = solve_scaled(xx[:, :p, :p], rhs[:, :p])
+    known = np.nan_to_num(cov)
+    cross = xx[:, :p, p:] * active[:, None, :]
+    gain = known @ cross
+    left = (rhs[:, p:] - np.einsum("kpe,kp->ke", cross, np.nan_to_num(base))) * active
+    flat = np.maximum(np.abs(left), np.abs(np.einsum("kee->ke", xx[:, p:, p:]))) < settled_below[:, None]
+    active = active * ~(flat | (at_low & (left < 0)) | (at_high & (left > 0)))
+    left, cross, gain = left * active, cross * active[:, None, :], gain * active[:, None, :]
+    schur = xx[:, p:, p:] * active[:, :, None] * active[:, None, :] - np.swapaxes(cross, 1, 2) @ gain
+    values, vectors = np.linalg.eigh(schur)
+    turned = np.einsum("kij,ki->kj", vectors, left)
+    inverse = 1.0 / np.maximum(np.abs(values), 1e-9)
+    change = np.einsum("kij,kj->ki", vectors, turned * inverse) * active
+    change = np.clip(change, -1.0, 1.0)
+    beta = base - np.einsum("kpe,ke->kp", gain, change)
+    # coefficients also carry the uncertainty of the scalars where that is well determined
+    good = (values > 1e-6).astype(float)
+    share = np.einsum("kpe,kej->kpj", gain, vectors) * np.sqrt(good / np.maximum(values, 1e-6))[:, None, :]
+    return beta, cov + share @ np.swapaxes(share, 1, 2), change, left
+
+
 def make_step(p: int, zero_p: int, prior: tuple[np.ndarray, np.ndarray] | None):
     """Batch function for ``mapInPandas``: one scoring step per key from its grouped sums.
 
@@ -58,60 +89,121 @@ def make_step(p: int, zero_p: int, prior: tuple[np.ndarray, np.ndarray] | None):
             if pdf.empty:
                 yield pdf
                 continue
-            xx = unpack(np.stack(pdf.pop("c_xx")), p)
+            size = p + 2
+            xx = unpack(np.stack(pdf.pop("c_xx")), size)
             xz = np.stack(pdf.pop("c_xz"))
             if prior is not None:
-                diagonal = np.einsum("kii->ki", xx) > 1e-10
-                pair = diagonal[:, :, None] & diagonal[:, None, :]
-                xx = xx + np.where(pair, prior[0], 0.0)
-                xz = xz + np.where(diagonal, prior[1], 0.0)
-            new, cov = solve_scaled(xx, xz)
+                seen = np.einsum("kii->ki", xx)[:, :p] > 1e-10
+                pair = seen[:, :, None] & seen[:, None, :]
+                xx[:, :p, :p] += np.where(pair, prior[0], 0.0)
+                xz[:, :p] += np.where(seen, prior[1], 0.0)
+            zero, form = pdf["zero"].to_numpy(), pdf["form"].to_numpy()
+            active = np.stack([(zero == 2) | (zero == 3), (form > 0) & ~pdf["fixed"].to_numpy()], axis=1).astype(float)
+            scalars = pdf[["zpar", "logk"]].to_numpy()
+            low, high = np.array([ZPAR_RANGE, LOGK_RANGE]).T
+            settled = 1e-7 * (1.0 + np.abs(pdf["ll"].to_numpy()))
+            new, cov, change, gradient = joint_step(xx, xz, p, active, settled, scalars <= low, scalars >= high)
             old = np.stack(pdf["beta"]).astype(float)
             beta = move(old, new)
-            delta = np.nanmax(np.abs(np.nan_to_num(beta - old)), axis=1)
-            # log determinant of the coefficient system over the coefficients present
+            delta = np.max(np.abs(np.nan_to_num(beta - old)), axis=1)
             present = ~np.isnan(new)
-            filled = np.where(present[:, :, None] & present[:, None, :], xx, np.eye(p))
+            filled = np.where(present[:, :, None] & present[:, None, :], xx[:, :p, :p], np.eye(p))
             pdf["logdet"] = np.linalg.slogdet(filled)[1] * pdf["restricted"].to_numpy()
             if zero_p:
                 zx = unpack(np.stack(pdf.pop("z_xx")), zero_p)
                 znew, zcov = solve_scaled(zx, np.stack(pdf.pop("z_xz")))
                 zold = np.stack(pdf["zbeta"]).astype(float)
                 zbeta = np.clip(move(zold, znew), *ZPAR_RANGE)
-                regression = pdf["zero"].to_numpy() == 4
-                zdelta = np.nanmax(np.abs(np.nan_to_num(zbeta - zold)), axis=1)
-                delta = np.where(regression, np.maximum(delta, zdelta), delta)
+                zdelta = np.max(np.abs(np.nan_to_num(zbeta - zold)), axis=1)
+                delta = np.where(zero == 4, np.maximum(delta, zdelta), delta)
                 pdf["zbeta"] = list(zbeta)
                 pdf["zcov"] = [m.ravel() for m in zcov]
-            free = (pdf["form"].to_numpy() > 0) & ~pdf["fixed"].to_numpy()
-            gradient = (pdf["ll_hi"] - pdf["ll_lo"]).to_numpy() / (2 * LOGK_STEP)
-            curvature = (pdf["ll_hi"] - 2 * pdf["ll"] + pdf["ll_lo"]).to_numpy() / LOGK_STEP**2
-            newton = np.where(curvature < -1e-8, -gradient / np.where(curvature < -1e-8, curvature, -1.0), np.sign(gradient))
-            logk = pdf["logk"].to_numpy()
-            moved = np.clip(logk + np.clip(newton, -1.0, 1.0), *LOGK_RANGE)
-            logk_new = np.where(free, moved, logk)
-            zero = pdf["zero"].to_numpy()
-            scalar = (zero == 2) | (zero == 3)
-            zinfo = np.maximum(pdf["zi"].to_numpy(), 1e-10)
-            zpar = pdf["zpar"].to_numpy()
-            zmoved = np.clip(zpar + np.clip(pdf["zs"].to_numpy() / zinfo, -1.0, 1.0), *ZPAR_RANGE)
-            zpar_new = np.where(scalar, zmoved, zpar)
+            zpar, logk = pdf["zpar"].to_numpy(), pdf["logk"].to_numpy()
+            zpar_new = np.where(active[:, 0] > 0, np.clip(zpar + change[:, 0], *ZPAR_RANGE), zpar)
+            logk_new = np.where(active[:, 1] > 0, np.clip(logk + change[:, 1], *LOGK_RANGE), logk)
             # movement along a direction that no longer changes the likelihood does not count
-            k_moves = np.where(np.abs(gradient) > 1e-6 * (1 + np.abs(pdf["ll"])), np.abs(logk_new - logk), 0.0)
-            z_moves = np.where(np.abs(pdf["zs"]) > 1e-6 * (1 + np.abs(pdf["ll"])), np.abs(zpar_new - zpar), 0.0)
-            pdf["delta"] = np.maximum(delta, np.maximum(k_moves, z_moves))
+            matters = np.abs(gradient) > settled[:, None]
+            scalar_moves = np.stack([np.abs(zpar_new - zpar), np.abs(logk_new - logk)], axis=1)
+            pdf["delta"] = np.maximum(delta, np.max(np.where(matters, scalar_moves, 0.0), axis=1))
             pdf["beta"] = list(beta)
+            pdf["solution"] = list(np.concatenate([np.nan_to_num(beta), change], axis=1))
             pdf["cov"] = [m.ravel() for m in cov]
-            pdf["logk"] = logk_new
-            pdf["zpar"] = zpar_new
+            pdf["logk"], pdf["zpar"] = logk_new, zpar_new
             pdf["iterations"] = pdf["iterations"] + 1
             bad = ~np.isfinite(pdf["ll"].to_numpy())
             pdf.loc[bad, "status"] = "failed"
-            yield pdf.drop(columns=["ll_lo", "ll_hi", "zs", "zi"])
+            yield pdf
 
     return step
 
 
+MOVING = ["beta", "zbeta", "logk", "zpar", "prec", "zprec", "ll"]
+DEPTH = 5  # rounds remembered by the extrapolation
+
+
+def _vector(row, suffix: str) -> np.ndarray:
+    parts = [row["beta" + suffix], row["zbeta" + suffix], [row["logk" + suffix], row["zpar" + suffix]]]
+    logs = [np.log(np.asarray(row[n + suffix], float)) for n in ("prec", "zprec") if len(row[n + suffix])]
+    return np.concatenate([np.asarray(p, float) for p in parts] + logs)
+
+
+def extrapolate(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Anderson extrapolation of a fixed-point iteration from its last (start, end) pairs, oldest first."""
+    residuals = ends - starts
+    if len(starts) < 2:
+        return ends[-1]
+    df, dg = np.diff(residuals, axis=0).T, np.diff(ends, axis=0).T
+    scale = np.linalg.norm(df, axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
+    weights = np.linalg.lstsq(df / scale, residuals[-1], rcond=1e-8)[0] / scale
+    return ends[-1] - dg @ weights
+
+
+def make_accelerate(columns: list[str]):
+    """Batch function that replaces the parameters of running keys by their extrapolation.
+
+    The column ``trace`` holds the remembered pairs. Moves stay within bounds of the plain step, and a drop
+    in likelihood forgets the past.
+    """
+
+    def accelerate(batches):
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf[columns]
+                continue
+            out = {n: list(pdf[n]) for n in ("beta", "zbeta", "logk", "zpar", "prec", "zprec", "trace")}
+            for i, row in enumerate(pdf.to_dict("records")):
+                # joint steps need no help; the two-part model alternates between its parts
+                if row["status"] != "running" or row["zero"] != 4:
+                    out["trace"][i] = np.zeros(0)
+                    continue
+                start, end = _vector(row, "_old"), _vector(row, "")
+                present = ~np.isnan(end)
+                pairs = np.asarray(row["trace"], float).reshape(-1, 2, len(end))
+                dropped = row["ll"] < row["ll_old"] - 1e-3 * (1 + abs(row["ll"]) * 1e-3)
+                if dropped:
+                    pairs = pairs[:0]
+                pairs = np.concatenate([pairs, np.nan_to_num(np.stack([start, end]))[None]])[-DEPTH:]
+                # round 1 starts far away and would distort the first extrapolations
+                if row["iterations"] >= 3 and not dropped:
+                    jump = extrapolate(pairs[:, 0], pairs[:, 1])
+                    jump = np.where(np.isfinite(jump), jump, np.nan_to_num(end))
+                    value = np.nan_to_num(end) + np.clip(jump - np.nan_to_num(end), -1.0, 1.0)
+                else:
+                    value = np.nan_to_num(end)
+                value[~present] = np.nan
+                sizes = [len(row["beta"]), len(row["zbeta"]), 1, 1, len(row["prec"]), len(row["zprec"])]
+                beta, zbeta, logk, zpar, prec, zprec = np.split(value, np.cumsum(sizes)[:-1])
+                out["beta"][i], out["zbeta"][i] = beta, np.clip(zbeta, *ZPAR_RANGE)
+                out["logk"][i] = float(np.clip(logk[0], *LOGK_RANGE))
+                out["zpar"][i] = float(np.clip(zpar[0], *ZPAR_RANGE))
+                out["prec"][i], out["zprec"][i] = np.exp(np.clip(prec, -9.0, 9.2)), np.exp(np.clip(zprec, -9.0, 9.2))
+                out["trace"][i] = pairs.ravel()
+            yield pdf.assign(**{n: pd.Series(v, index=pdf.index, dtype=object if n not in ("logk", "zpar") else float) for n, v in out.items()})[columns]
+
+    return accelerate
+
+
 def make_recode(periods: int, covariate: bool):
     """Batch function that adds treatment-coded coefficients, covariance and its Cholesky factor.
 
