@@ -16,13 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions.special import DIGAMMA_SERIES, SHIFT, STIRLING
 
+# Ship these functions with the job, so that workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FORMS = {"poisson": 0, "linear": 1, "quadratic": 2}
 ZEROS = {"none": 0, "hurdle": 1, "mixture": 2, "tied": 3, "regression": 4}
 LOGK_STEP = 0.02  # half width of the central differences in log dispersion

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 
 from panelweave.operators.likelihood import LOGK_STEP
 
+# Ship these functions with the job, so that workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_MOVE = 2.0
 LOGK_RANGE = (-13.0, 8.0)
 ZPAR_RANGE = (-14.0, 14.0)
