@@ -210,6 +210,17 @@ def make_accelerate(columns: list[str]):
     return accelerate
 
 
+def lower_factor(matrix: np.ndarray) -> np.ndarray:
+    """Lower-triangular factor; a matrix that is singular up to rounding gets the factor of its positive part."""
+    try:
+        return np.linalg.cholesky(matrix)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(matrix)
+        root = vectors * np.sqrt(np.clip(values, 0.0, None))
+        factor = np.linalg.qr(root.T, mode="r").T
+        return factor * np.where(np.diag(factor) < 0, -1.0, 1.0)
+
+
 def make_recode(periods: int, covariate: bool):
     """Batch function that adds treatment-coded coefficients, covariance and its Cholesky factor.
 
@@ -232,11 +243,9 @@ def make_recode(periods: int, covariate: bool):
                 used = map_ @ np.nan_to_num(beta)
                 lost = (np.abs(map_) @ bad.astype(float)) > 0
                 full = map_ @ np.nan_to_num(cov) @ map_.T
-                values, vectors = np.linalg.eigh(np.where(lost[:, None] | lost[None, :], 0.0, full))
-                root = vectors * np.sqrt(np.clip(values, 0.0, None))
-                # lower-triangular factor of a possibly singular matrix
-                chol = np.linalg.qr(root.T, mode="r").T
-                chol = chol * np.where(np.diag(chol) < 0, -1.0, 1.0)
+                keep = np.flatnonzero(~lost & (np.diag(full) > 0))
+                chol = np.zeros((p, p))
+                chol[np.ix_(keep, keep)] = lower_factor(full[np.ix_(keep, keep)])
                 used[lost] = np.nan
                 full[lost, :] = np.nan
                 full[:, lost] = np.nan

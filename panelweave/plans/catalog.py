@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.plans import prepare
+from panelweave.plans import models, prepare
 
-QUERIES = {**prepare.QUERIES}
-ORACLES = {**prepare.ORACLES}
+QUERIES = {**prepare.QUERIES, **models.QUERIES}
+ORACLES = {**prepare.ORACLES, **models.ORACLES}
