@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.text import last_digit, paste, to_number
-from panelweave.session import bounded_join, null_safe
+from panelweave.session import BROADCAST_ROW_LIMIT, Ledger, bounded_join, null_safe
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -41,8 +41,6 @@ def keep_matching(df: DataFrame, keys: DataFrame, names: list[str], rows: int |
 
 
 def bounded_side(df: DataFrame, rows: int) -> DataFrame:
-    from panelweave.session import BROADCAST_ROW_LIMIT
-
     return F.broadcast(df) if rows <= BROADCAST_ROW_LIMIT else df
 
 
@@ -138,9 +136,12 @@ def number_rows(df: DataFrame, order: list, name: str, start: int = 1) -> DataFr
     """Consecutive numbers over a global order, without putting the table in one task.
 
     Rows are range-partitioned on the order, numbered inside each partition, and shifted by the row counts
-    of the partitions before it (a table of one row per partition). The order should identify rows.
+    of the partitions before it (a table of one row per partition). The order should identify rows. The
+    partitioned rows are written once: range boundaries come from a sample, so evaluating the plan twice
+    could give different ones.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(partitions, *order)
         .sortWithinPartitions(*order)
@@ -150,8 +151,8 @@ def number_rows(df: DataFrame, order: list, name: str, start: int = 1) -> DataFr
                 "__pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
             }
         )
-        .persist()  # both uses below must see the same range boundaries
     )
+    ranged = Ledger(spark).keep(ranged, "ranged")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("__part")
