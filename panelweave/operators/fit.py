@@ -9,6 +9,7 @@ costs one round at most.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,14 +20,13 @@ from pyspark.sql import types as T
 
 from panelweave.functions.special import lgamma
 from panelweave.operators import solve
+from panelweave.operators.batches import Layout, make_effects, make_level_sums, make_row_sums
 from panelweave.operators.levels import level_index
-from panelweave.operators.likelihood import FORMS, LOGK_STEP, ZEROS, with_terms
-from panelweave.operators.nested import System, effects, eliminate, packed, with_effects
-from panelweave.session import BROADCAST_ROW_LIMIT, Ledger, bounded_join
+from panelweave.operators.likelihood import FORMS, ZEROS
+from panelweave.session import Ledger, bounded_join
 from panelweave.sources.candidates import Candidate
 
 ETA_LIMIT = 30.0
-PRECISION_RANGE = (1e-4, 1e4)
 START_PRECISION = 4.0
 
 
@@ -80,6 +80,7 @@ class Fit:
     n_keys: int
     rounds: int
     cells: DataFrame
+    units: DataFrame | None = None
     seconds: list[float] = field(default_factory=list)
 
 
@@ -114,8 +115,8 @@ def period_cells(rows: DataFrame, spec: FitSpec) -> DataFrame:
     return cells.withColumn("live", live)
 
 
-def starting_values(cells: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> DataFrame:
-    """One row per key with starting parameters."""
+def starting_values(cells: DataFrame, entities: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> DataFrame:
+    """One row per key with starting parameters; ``kid`` numbers the keys."""
     spark = cells.sparkSession
     P = spec.n_periods
     mean = F.col("total") / F.col("trials") if spec.trials else F.col("total") / F.col("rows")
@@ -146,10 +147,11 @@ def starting_values(cells: DataFrame, spec: FitSpec, candidates: list[Candidate]
     half_all = F.least(F.greatest(0.5 * F.col("zero_share"), F.lit(0.01)), F.lit(0.9))
     size = spec.size
     start_k = F.lit(-3.0) if spec.trials else F.lit(-0.7)
-    return entity.crossJoin(F.broadcast(chosen)).select(
-        *spec.key, "form", "zero", "fixed", "restricted", "n_rows",
+    numbered = bounded_join(entity, entities, list(spec.keys))
+    return numbered.crossJoin(F.broadcast(chosen)).select(
+        (F.col("eid") * len(candidates) + F.col("cand") - 1).alias("kid"), "eid", *spec.key, "form", "zero", "fixed", "restricted", "n_rows",
         F.concat("levels_", slopes).alias("beta"),
-        F.array_repeat(F.lit(0.0), size + EXTRA).alias("solution"),
+        F.array_repeat(F.lit(0.0), size + 2).alias("solution"),
         F.array_repeat(F.lit(float("nan")), size * size).alias("cov"),
         "zbeta",
         F.array_repeat(F.lit(float("nan")), P * P).alias("zcov"),
@@ -165,6 +167,7 @@ def starting_values(cells: DataFrame, spec: FitSpec, candidates: list[Candidate]
         F.lit(float("inf")).alias("delta"),
         F.lit(0).alias("iterations"),
         F.array().cast("array<double>").alias("trace"),
+        F.array().cast("array<double>").alias("start"),
         F.lit("running").alias("status"),
     )
 
@@ -172,6 +175,23 @@ def starting_values(cells: DataFrame, spec: FitSpec, candidates: list[Candidate]
 # --- layout ---------------------------------------------------------------------------------------------
 
 
+def unit_ids(levels: int) -> list[str]:
+    return [f"u{i + 1}" for i in range(levels)]
+
+
+def number_units(rows: DataFrame, spec: FitSpec, ledger: Ledger) -> DataFrame:
+    """Ids for the units of every level, nested: one row per lowest unit with the ids above it."""
+    names = list(spec.levels)
+    table = None
+    for i in range(len(names)):
+        distinct = rows.select("eid", *names[: i + 1]).distinct()
+        numbered = distinct.withColumn(f"u{i + 1}", F.monotonically_increasing_id())
+        if table is not None:
+            numbered = numbered.join(table, ["eid", *names[:i]])
+        table = ledger.keep(numbered, f"units{i + 1}")
+    return table
+
+
 def hot_units(rows: DataFrame, unit: list[str], limit: int) -> DataFrame:
     """Units with more rows than ``limit`` and the number of parts to split them into."""
     return (
@@ -180,52 +200,49 @@ def hot_units(rows: DataFrame, unit: list[str], limit: int) -> DataFrame:
     )
 
 
-def lay_out(rows: DataFrame, spec: FitSpec) -> tuple[DataFrame, DataFrame | None]:
+def lay_out(rows: DataFrame, unit: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Hash rows by their lowest unit, once, so that later joins move only the unit table.
 
     Units above the row limit are split into parts; there are at most (rows / limit) of them. Returns the
     rows and the table of split units (None when there are none).
     """
-    unit = [*spec.keys, *spec.levels]
-    hot = hot_units(rows, unit, spec.hot_unit_rows)
+    hot = hot_units(rows, [unit], limit)
     n_hot = hot.count()
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n_hot == 0:
-        laid = rows.repartition(partitions, *unit).sortWithinPartitions(*unit)
-        return laid, None
+        return rows.repartition(partitions, unit).sortWithinPartitions(unit), None
     part = F.pmod(F.xxhash64("d", "x", "y", F.monotonically_increasing_id()), F.coalesce(F.col("parts"), F.lit(1)))
-    laid = bounded_join(rows, hot, unit, "left", rows=n_hot).withColumn("part", part.cast("int")).drop("parts")
-    unit = [*unit, "part"]
-    return laid.repartition(partitions, *unit).sortWithinPartitions(*unit), hot
+    laid = bounded_join(rows, hot, [unit], "left", rows=n_hot).withColumn("part", part.cast("int")).drop("parts")
+    return laid.repartition(partitions, unit, "part").sortWithinPartitions(unit, "part"), hot
 
 
-def spread_state(state: DataFrame, hot: DataFrame | None, unit: list[str]) -> DataFrame:
+def spread_state(state: DataFrame, hot: DataFrame | None, unit: str) -> DataFrame:
     """Repeat the effects of split units once per part."""
     if hot is None:
         return state
     joined = state.join(hot, unit, "left")
-    return joined.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    return joined.withColumn("part", F.explode(parts)).drop("parts")
 
 
 # --- one round ------------------------------------------------------------------------------------------
 
-PARAMETERS = ["form", "zero", "beta", "zbeta", "logk", "zpar"]
+PARAMETERS = ["kid", "form", "zero", "beta", "zbeta", "logk", "zpar"]
 
 
 def linked_rows(rows: DataFrame, coef: DataFrame, state: DataFrame | None, hot: DataFrame | None,
                 spec: FitSpec, n_keys: int) -> DataFrame:
     """Rows with the parameters and linear predictors of every key."""
     P = spec.n_periods
-    small = coef.select(*spec.key, *PARAMETERS)
     if state is None:
-        linked = bounded_join(rows, small, list(spec.keys), rows=n_keys)
+        linked = bounded_join(rows, coef.select("eid", *PARAMETERS), ["eid"], rows=n_keys)
         offset, zoffset = F.lit(0.0), F.lit(0.0)
     else:
-        unit = [*spec.keys, *spec.levels]
-        spread = spread_state(state.select(*unit, "cand", "c_o", "z_o"), hot, unit)
-        linked = rows.join(spread, unit + (["part"] if hot is not None else []))
-        linked = bounded_join(linked, small, spec.key, rows=n_keys)
-        offset, zoffset = F.col("c_o"), F.col("z_o")
+        unit = unit_ids(len(spec.levels))[-1]
+        spread = spread_state(state.select(unit, "kid", "o", "zo"), hot, unit)
+        linked = rows.join(spread, [unit] + (["part"] if hot is not None else []))
+        linked = bounded_join(linked, coef.select(*PARAMETERS), ["kid"], rows=n_keys)
+        offset, zoffset = F.col("o"), F.col("zo")
     d = F.col("d")
     eta = F.nanvl(F.col("beta")[d], F.lit(0.0)) + offset
     if spec.covariate:
@@ -235,74 +252,34 @@ def linked_rows(rows: DataFrame, coef: DataFrame, state: DataFrame | None, hot:
     def clipped(c: Column) -> Column:
         return F.greatest(F.least(c, F.lit(ETA_LIMIT)), F.lit(-ETA_LIMIT))
 
-    return linked.withColumns({"eta": clipped(eta), "ez": clipped(ez)}).drop("beta", "zbeta")
+    return linked.select(
+        "kid", *unit_ids(len(spec.levels)), "d", "x", "y", "n", "lgy", clipped(eta).alias("eta"),
+        clipped(ez).alias("ez"), "form", "zero", "logk", "zpar",
+    )
 
 
-CARRY = ["ll"]
-SCALARS = ["ll", "ll_lo", "ll_hi", "zs", "zi", "hzk", "hz_eta", "hk_eta"]
-EXTRA = 2  # columns of the zero parameter and the log dispersion, after the design columns
+def sums_schema(layout: Layout, units: list[str]) -> T.StructType:
+    ids = [T.StructField("kid", T.LongType()), T.StructField("slot", T.IntegerType())]
+    ids += [T.StructField(u, T.LongType()) for u in units]
+    return T.StructType(ids + [T.StructField(n, T.DoubleType()) for n in layout.names])
 
 
-def block_sums(terms: DataFrame, by: list[str], spec: FitSpec, zero_part: bool) -> DataFrame:
-    """Weighted sums per period. Within a period the design is (1, x), so a few sums per period replace the
-    full cross-product."""
-    wz = "(terms.w * eta + terms.s)"
-    columns = {"w": "terms.w", "wz": wz, "hz": "terms.hz", "hk": "terms.hk"}
-    if spec.covariate:
-        columns.update({
-            "wx": "terms.w * x", "wxx": "terms.w * x * x", "wxz": f"{wz} * x", "hzx": "terms.hz * x", "hkx": "terms.hk * x",
-        })
-    if zero_part:
-        columns.update({"zw": "terms.zi", "zwz": "terms.zi * ez + terms.zs"})
-    scalars = {n: f"terms.{n}" for n in SCALARS if not n.endswith("_eta")}
-    scalars.update({"hz_eta": "terms.hz * eta", "hk_eta": "terms.hk * eta"})
-    staged = terms.selectExpr(
-        *by, "d", *[f"{c} AS v_{n}" for n, c in columns.items()], *[f"{c} AS {n}" for n, c in scalars.items()]
+def summed(df: DataFrame, batch_function, layout: Layout, units: list[str]) -> DataFrame:
+    """Apply a batch function and add its partial sums."""
+    partial = df.mapInPandas(batch_function, sums_schema(layout, units))
+    return partial.groupBy("kid", "slot", *units).agg(*[F.expr(f"sum({n}) AS {n}") for n in layout.names])
+
+
+def packed_by_key(tables: list[DataFrame], layout: Layout) -> DataFrame:
+    """Key-level slots of several tables as one vector per key (a fixed, small number of slots each)."""
+    slots = [t.filter("slot > 0").select("kid", "slot", *layout.names) for t in tables]
+    total = reduce(DataFrame.unionByName, slots).groupBy("kid", "slot").agg(
+        *[F.expr(f"sum({n}) AS {n}") for n in layout.names]
+    )
+    vector = f"array({', '.join(layout.names)})"
+    return total.groupBy("kid").agg(
+        F.expr(f"flatten(transform(sort_array(collect_list(struct(slot, {vector} AS v))), r -> r.v)) AS packed")
     )
-    sums = [
-        F.expr(f"sum(CASE WHEN d = {i} THEN v_{n} ELSE 0.0D END) AS {n}_{i}")
-        for n in columns for i in range(spec.n_periods)
-    ]
-    return staged.groupBy(*by).agg(*sums, *[F.expr(f"sum({n}) AS {n}") for n in scalars])
-
-
-def as_systems(blocks: DataFrame, by: list[str], spec: FitSpec, systems: list[System]) -> DataFrame:
-    """Block sums as the sums of one unit of each linear system. The zero parameter and the log dispersion
-    are two more columns of the count system (their unknown is the change), so a step moves all parameters
-    together."""
-    P, p = spec.n_periods, spec.size
-    out: dict[str, str] = {}
-    for system in systems:
-        w, wz = ("w", "wz") if system.name == "c" else ("zw", "zwz")
-        out[system.col("a")] = " + ".join(f"{w}_{i}" for i in range(P))
-        out[system.col("c")] = " + ".join(f"{wz}_{i}" for i in range(P))
-        out[system.col("ld")] = "0.0D"
-        for i, j in system.pairs:
-            out[system.xx(i, j)] = "0.0D"
-        for i in range(P):
-            out[system.b(i)] = f"{w}_{i}"
-            out[system.xx(i, i)] = f"{w}_{i}"
-            out[system.xz(i)] = f"{wz}_{i}"
-        if system.name != "c":
-            continue
-        for e, h in enumerate(("hz", "hk")):
-            out[system.b(p + e)] = " + ".join(f"{h}_{i}" for i in range(P))
-            for i in range(P):
-                out[system.xx(i, p + e)] = f"{h}_{i}"
-        out[system.xx(p, p)] = "zi"
-        out[system.xx(p, p + 1)] = "hzk"
-        out[system.xx(p + 1, p + 1)] = f"(2 * ll - ll_lo - ll_hi) / {LOGK_STEP**2}D"
-        out[system.xz(p)] = "zs + hz_eta"
-        out[system.xz(p + 1)] = f"(ll_hi - ll_lo) / {2 * LOGK_STEP}D + hk_eta"
-        if p > P:
-            for i in range(P):
-                out[system.b(P + i)] = f"wx_{i}"
-                out[system.xx(i, P + i)] = f"wx_{i}"
-                out[system.xx(P + i, P + i)] = f"wxx_{i}"
-                out[system.xz(P + i)] = f"wxz_{i}"
-                out[system.xx(P + i, p)] = f"hzx_{i}"
-                out[system.xx(P + i, p + 1)] = f"hkx_{i}"
-    return blocks.selectExpr(*by, *CARRY, *[f"{out[n]} AS {n}" for s in systems for n in s.sums])
 
 
 def prior_terms(spec: FitSpec):
@@ -317,210 +294,126 @@ def prior_terms(spec: FitSpec):
     return precision, map_.T @ (mean / sd**2)
 
 
-def solved(top: DataFrame, coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int) -> DataFrame:
-    """One scoring step for every key."""
-    arrays = [c for s in systems for c in packed(s)]
-    sums = top.selectExpr(*spec.key, *CARRY, *arrays, " + ".join(s.col("ld") for s in systems) + " AS ld")
-    joined = bounded_join(sums, coef.drop("ll"), spec.key, rows=n_keys)
-    wanted = [f.name for f in coef.schema.fields]
-    names = [n for n in wanted if n in joined.columns] + ["ld", *[c for c in joined.columns if c not in wanted and c != "ld"]]
-    schema = T.StructType([*[coef.schema[n] for n in wanted], T.StructField("ld", T.DoubleType())])
-    step = solve.make_step(spec.size, spec.n_periods if len(systems) > 1 else 0, prior_terms(spec))
-
-    def run(batches):
-        for pdf in step(batches):
-            yield pdf[[f.name for f in schema.fields]]
-
-    return joined.select(*names).mapInPandas(run, schema)
-
-
-def variance_update(levels: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int) -> DataFrame:
-    """New precisions from the unit effects of all levels: effective count over squared effects."""
-    names = [s.name for s in systems]
-    parts = [
-        level.selectExpr(
-            *spec.key, f"{i} AS level", *[f"{n}_u * {n}_u AS {n}_uu" for n in names], *[f"{n}_v AS {n}_vv" for n in names]
-        )
-        for i, level in enumerate(levels)
-    ]
-    stacked = reduce(DataFrame.unionByName, parts)
-    aggs = []
-    for i in range(len(levels)):
-        aggs.append(F.expr(f"CAST(count_if(level = {i}) AS DOUBLE) AS units_{i}"))
-        for n in names:
-            aggs += [
-                F.expr(f"sum(CASE WHEN level = {i} THEN {n}_{what} ELSE 0.0D END) AS {n}_{what}_{i}") for what in ("uu", "vv")
-            ]
-    sums = stacked.groupBy(*spec.key).agg(*aggs)
-    joined = bounded_join(coef, sums, spec.key, rows=n_keys)
-    updated, moves, penalty = {}, [], []
-    low, high = PRECISION_RANGE
-    for n in names:
-        name = "prec" if n == "c" else "zprec"
-        used = "true" if n == "c" else "zero = 4"
-        new = []
-        for i in range(len(levels)):
-            old = f"{name}[{i}]"
-            effective = f"greatest(units_{i} - {old} * {n}_vv_{i}, units_{i} * 1e-6D)"
-            ratio = f"least(greatest({effective} / ({n}_uu_{i} + 1e-14D) / {old}, 0.1D), 10.0D)"
-            value = f"least(greatest({old} * {ratio}, {low}D), {high}D)"
-            new.append(value)
-            # a standard deviation that moves by less than 0.001 of a link unit is settled
-            settled = f"abs(1 / sqrt({value}) - 1 / sqrt({old})) < 1e-3D"
-            moves.append(f"CASE WHEN NOT ({used}) OR {settled} THEN 0.0D ELSE abs(ln({value} / {old})) END")
-            penalty.append(f"CASE WHEN {used} THEN {old} * {n}_uu_{i} ELSE 0.0D END")
-        updated[name] = f"array({', '.join(new)})"
-    moved = f"greatest({', '.join(moves)}, 0.0D)"
-    status = (
-        f"CASE WHEN status = 'running' AND delta < {max(spec.tolerance, 1e-4)}D AND {moved} < {spec.variance_tolerance}D "
-        "THEN 'ok' ELSE status END"
-    )
-    updated.update({"pen": " + ".join(penalty), "status": status})
-    return joined.selectExpr(*[f"{updated[c]} AS {c}" if c in updated else c for c in coef.columns])
+def per_key(packed: DataFrame, coef: DataFrame, function, n_keys: int) -> DataFrame:
+    """Run a batch function on one row per key: its parameters and its packed sums."""
+    joined = bounded_join(coef, packed, ["kid"], rows=n_keys)
+    return joined.mapInPandas(solve.with_columns(function, coef.columns), coef.schema)
+
+
+def climb(table: DataFrame, coef: DataFrame, spec: FitSpec, layout: Layout, ledger: Ledger, n_keys: int) -> list[DataFrame]:
+    """Eliminate the levels from the lowest up. Returns the written table of each level, top first, after the
+    key-level one."""
+    out = [ledger.write(table, f"level{len(spec.levels)}")]
+    for i in reversed(range(len(spec.levels))):
+        precisions = coef.select("kid", F.col("prec")[i].alias("prec"), F.col("zprec")[i].alias("zprec"))
+        units = bounded_join(out[0].filter("slot = 0"), precisions, ["kid"], rows=n_keys)
+        above = unit_ids(i)
+        sums = summed(units.select("kid", *above, *layout.names, "prec", "zprec"), make_level_sums(layout, above), layout, above)
+        out.insert(0, ledger.write(sums, f"level{i}") if i else sums)
+    return out
+
+
+def descend(tables: list[DataFrame], coef: DataFrame, spec: FitSpec, layout: Layout, ledger: Ledger, n_keys: int) -> list[DataFrame]:
+    """Unit effects of every level, top first; each table also holds its key-level sums."""
+    out = []
+    own = [f"v{i}" for i in range(layout.size + 4)]
+    for i, table in enumerate(tables):
+        units = unit_ids(i + 1)
+        flat = [F.col("prec")[i].alias("prec"), F.col("zprec")[i].alias("zprec")]
+        flat += [F.col("solution")[q].alias(f"s{q}") for q in range(layout.full)]
+        flat += [F.col("zbeta")[q].alias(f"z{q}") for q in range(layout.periods)]
+        linked = bounded_join(table.filter("slot = 0"), coef.select("kid", *flat), ["kid"], rows=n_keys)
+        if out:
+            above = out[-1].filter("slot = 0").select("kid", units[-2], *[F.col(v).alias(f"o{v[1:]}") for v in own])
+            linked = linked.join(above, ["kid", units[-2]])
+        slots = layout.slots(layout.effect_length)
+        function = make_effects(layout, units, i, i * slots)
+        out.append(ledger.write(linked.drop("slot").mapInPandas(function, sums_schema(layout, units)), f"effects{i + 1}"))
+    return out
 
 
 def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
     """Fit all candidates to all entities. Never raises for a single key: see the status column."""
-    import time
-
     spark = panel.sparkSession
     ledger = Ledger(spark)
-    proportions = spec.trials is not None
-    zero_part = any(c.zero == "regression" for c in candidates)
-    systems = [System("c", spec.size + EXTRA)] + ([System("z", spec.n_periods)] if zero_part else [])
+    layout = Layout(spec.n_periods, spec.size, any(c.zero == "regression" for c in candidates))
+    units = unit_ids(len(spec.levels))
 
-    rows = model_rows(panel, spec)
-    rows = ledger.keep(rows, "input")  # the panel is read once, not once per round
+    rows = ledger.keep(model_rows(panel, spec), "input")  # the panel is read once, not once per round
     cells = ledger.keep(period_cells(rows, spec), "cells")
-    n_entities = cells.select(*spec.keys).distinct().count()
+    entities = ledger.keep(
+        cells.select(*spec.keys).distinct().withColumn("eid", F.monotonically_increasing_id()), "entities"
+    )
+    n_entities = entities.count()
     n_keys = n_entities * len(candidates)
-    live = cells.filter("live").select(*spec.keys, "d")
-    rows = bounded_join(rows, live, [*spec.keys, "d"], "left_semi", rows=n_entities * spec.n_periods)
-    hot = None
+    live = bounded_join(cells.filter("live").select(*spec.keys, "d"), entities, list(spec.keys), rows=n_entities)
+    rows = bounded_join(rows, live, [*spec.keys, "d"], rows=n_entities * spec.n_periods).drop(*spec.keys)
+    hot, unit_table = None, None
     if spec.levels:
-        rows, hot = lay_out(rows, spec)
+        unit_table = number_units(rows, spec, ledger)
+        rows = rows.join(unit_table, ["eid", *spec.levels]).drop(*spec.levels)
+        rows, hot = lay_out(rows, units[-1], spec.hot_unit_rows)
+    else:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.persist()
-    coef = ledger.write(starting_values(cells, spec, candidates), "coef")
+    coef = ledger.write(starting_values(cells, entities, spec, candidates), "coef")
+    step = solve.make_step(layout, prior_terms(spec), bool(spec.levels), spec.tolerance)
     state: DataFrame | None = None
     finished: list[DataFrame] = []
     finished_state: list[DataFrame] = []
     seconds: list[float] = []
     rounds = 0
-    by_unit = [*spec.key, *spec.levels]
-
-    while rounds < spec.max_iterations:
+    while True:
         began = time.time()
         rounds += 1
         linked = linked_rows(rows, coef, state, hot, spec, n_keys)
-        terms = with_terms(linked, proportions)
-        blocks = block_sums(terms, by_unit, spec, zero_part)
-        tables = [as_systems(blocks, by_unit, spec, systems)]
-        cached = []
-        if spec.levels:
-            top, cached = climb(tables, coef, spec, systems, n_keys)
-        else:
-            top = tables[0]
-        before = coef
-        coef = with_likelihood(solved(top, coef, spec, systems, n_keys), coef.columns, spec)
+        sums = summed(linked, make_row_sums(layout, units, spec.trials is not None), layout, units)
         if not spec.levels:
-            coef = ledger.write(accelerated(coef, before, spec, n_keys), "coef")
+            coef = ledger.write(per_key(packed_by_key([sums], layout), coef, step, n_keys), "coef")
         else:
-            coef = ledger.write(coef, "step")
-            levels = descend(cached, coef, spec, systems, n_keys)
-            state = ledger.write(levels[-1], "state")
-            coef = variance_update([*levels[:-1], state], coef, spec, systems, n_keys)
-            coef = ledger.write(accelerated(coef, before, spec, n_keys), "coef")
-            for table in [*cached, *levels[:-1]]:
-                table.unpersist()
-        seconds.append(time.time() - began)
+            tables = climb(sums, coef, spec, layout, ledger, n_keys)
+            coef = ledger.write(per_key(packed_by_key(tables, layout), coef, step, n_keys), "step")
+            effects = descend(tables[1:], coef, spec, layout, ledger, n_keys)
+            end = solve.make_round_end(layout, len(spec.levels), spec.variance_tolerance, spec.tolerance)
+            coef = ledger.write(per_key(packed_by_key(effects, layout), coef, end, n_keys), "coef")
+            state = effects[-1].filter("slot = 0").select(
+                "kid", units[-1], F.col("v0").alias("o"), F.col(f"v{layout.size + 2}").alias("zo")
+            )
         last = rounds == spec.max_iterations
         if rounds % spec.check_every == 0 or last:
-            counts = {r["status"]: r["count"] for r in coef.groupBy("status").count().collect()}
-            if last and "running" in counts:
-                coef = ledger.write(
-                    coef.withColumn("status", F.when(F.col("status") == "running", "not_converged").otherwise(F.col("status"))),
-                    "coef",
+            statuses = {r["status"] for r in coef.select("status").distinct().collect()}
+            if last or statuses - {"running"}:
+                ended = "true" if last else "status != 'running'"
+                done = coef.filter(ended).withColumn(
+                    "status", F.when(F.col("status") == "running", "not_converged").otherwise(F.col("status"))
                 )
-                counts = {"not_converged": 1}
-            if set(counts) - {"running"}:
-                done = ledger.keep(coef.filter("status != 'running'"), "done")
+                done = ledger.keep(done, "done")
                 finished.append(done)
+                coef = ledger.write(coef.filter(f"NOT ({ended})"), "coef")
                 if state is not None:
-                    finished_state.append(
-                        ledger.keep(bounded_join(state, done.select(*spec.key), spec.key, "left_semi", rows=n_keys), "done_state")
-                    )
-                coef = ledger.write(coef.filter("status = 'running'"), "coef")
-                if state is not None:
-                    state = ledger.write(
-                        bounded_join(state, coef.select(*spec.key), spec.key, "left_semi", rows=n_keys), "state"
-                    )
-            if "running" not in counts or last:
+                    ids = done.select("kid")
+                    finished_state.append(ledger.keep(bounded_join(state, ids, ["kid"], "left_semi", rows=n_keys), "done_state"))
+                    state = bounded_join(state, coef.select("kid"), ["kid"], "left_semi", rows=n_keys)
+            if last or "running" not in statuses:
                 break
+        seconds.append(time.time() - began)
     rows.unpersist()
-    joined = reduce(DataFrame.unionByName, finished)
     whole_state = reduce(DataFrame.unionByName, finished_state) if finished_state else None
-    result = finish(joined, cells, spec, candidates, n_keys)
-    return Fit(spec, candidates, ledger.keep(result, "fit"), rows, whole_state, n_keys, rounds, cells, seconds)
-
+    result = finish(reduce(DataFrame.unionByName, finished), cells, spec, candidates)
+    return Fit(spec, candidates, ledger.keep(result, "fit"), rows, whole_state, n_keys, rounds, cells, unit_table, seconds)
 
-def with_likelihood(step: DataFrame, columns: list[str], spec: FitSpec) -> DataFrame:
-    """Marginal log likelihood (Laplace, restricted where asked) at the parameters of the round, and status."""
-    marginal = F.col("ll") - 0.5 * (F.col("ld") + F.col("pen") + F.col("logdet"))
-    settled = (F.col("delta") < spec.tolerance) & (F.lit(not spec.levels))
-    status = F.when((F.col("status") == "running") & settled, "ok").otherwise(F.col("status"))
-    return step.withColumns({"ll": marginal, "status": status}).select(*columns)
 
-
-def accelerated(coef: DataFrame, before: DataFrame, spec: FitSpec, n_keys: int) -> DataFrame:
-    """Extrapolate the parameters of running keys from their last few rounds."""
-    old = before.select(*spec.key, *[F.col(c).alias(f"{c}_old") for c in solve.MOVING])
-    joined = bounded_join(coef, old, spec.key, rows=n_keys)
-    return joined.mapInPandas(solve.make_accelerate(coef.columns), coef.schema)
-
-
-def climb(tables: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int):
-    """Eliminate the levels from the lowest up. Returns the key-level sums and the level tables, top first."""
-    precisions = coef.select(*spec.key, "prec", "zprec")
-    table = tables[0]
-    cached = []
-    for i in reversed(range(len(spec.levels))):
-        table = table.persist()
-        cached.insert(0, table)
-        linked = bounded_join(table, precisions, spec.key, rows=n_keys)
-        by = [*spec.key, *spec.levels[:i]]
-        chosen = {s: f"{'prec' if s.name == 'c' else 'zprec'}[{i}]" for s in systems}
-        table = eliminate(linked, by, chosen, CARRY)
-    return table, cached
-
-
-def descend(cached: list[DataFrame], coef: DataFrame, spec: FitSpec, systems: list[System], n_keys: int) -> list[DataFrame]:
-    """Unit effects of every level, top first."""
-    parameters = coef.select(*spec.key, "prec", "zprec", "solution", "zbeta", "cov", "zcov", "restricted")
-    above = None
-    out = []
-    for i, table in enumerate(cached):
-        by = [*spec.key, *spec.levels[: i + 1]]
-        needed = [n for s in systems for n in (s.col("a"), s.col("c"), *[s.b(j) for j in range(s.size)])]
-        linked = bounded_join(table.select(*by, *needed), parameters, spec.key, rows=n_keys)
-        if above is not None:
-            linked = linked.join(above, [*spec.key, *spec.levels[:i]])
-        stages = [
-            effects(s, f"prec[{i}]", "solution", "cov", above is None, "restricted", spec.size) if s.name == "c"
-            else effects(s, f"zprec[{i}]", "zbeta", "zcov", above is None, "restricted", spec.n_periods)
-            for s in systems
-        ]
-        last = i == len(cached) - 1
-        level = with_effects(linked, by, stages, totals_only=last)
-        if last:
-            level = level if len(systems) > 1 else level.withColumn("z_o", F.lit(0.0))
-        else:
-            level = level.persist()
-            above = level.drop(*[f"{s.name}_{w}" for s in systems for w in ("u", "v")])
-        out.append(level)
-    return out
+def unit_effects(fitted: Fit) -> DataFrame:
+    """Total effect of every lowest unit, on the link scale of the mean (and of the zero part)."""
+    keys = fitted.coef.select("kid", *fitted.spec.key, "mod", "name", "zi").filter("kid IS NOT NULL")
+    unit = unit_ids(len(fitted.spec.levels))[-1]
+    named = fitted.state.join(fitted.units.select(unit, *fitted.spec.levels), unit)
+    return bounded_join(named, keys, ["kid"], rows=fitted.n_keys).select(
+        *fitted.spec.keys, "mod", "name", "zi", *fitted.spec.levels, F.col("o").alias("effect"), F.col("zo").alias("zero_effect")
+    )
 
 
-def finish(coef: DataFrame, cells: DataFrame, spec: FitSpec, candidates: list[Candidate], n_keys: int) -> DataFrame:
+def finish(coef: DataFrame, cells: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> DataFrame:
     """Add names and treatment coding; entities that were never counted appear with status ``all_zero``."""
     spark = coef.sparkSession
     names = spark.createDataFrame(

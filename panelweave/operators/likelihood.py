@@ -1,8 +1,8 @@
-"""Row terms of the likelihoods, as one Arrow-batched function.
+"""Row terms of the likelihoods, evaluated on Arrow batches.
 
 Spark SQL has no lgamma and no digamma. Written out as column expressions these terms make generated
-methods too large for the JVM to compile (80 microseconds per row were measured), so the row terms are a
-scalar pandas function over plain number columns. Joins, predictors and all sums stay in the JVM.
+methods too large for the JVM to compile (80 microseconds per row were measured), so they are evaluated on
+batches of plain number columns. Joins, predictors and the final sums stay in the JVM.
 
 Counts share one parametrisation. The variance is mu (1 + k mu) with k = 0 (poisson), k = exp(logk) / mu
 (linear) or k = exp(logk) (quadratic). A zero model keeps a count with probability q: always (none), with a
@@ -14,15 +14,10 @@ Weights are expected information, scores are exact, so scoring steps on grouped
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelweave.functions.special import DIGAMMA_SERIES, SHIFT, STIRLING
 
@@ -33,8 +28,6 @@ FORMS = {"poisson": 0, "linear": 1, "quadratic": 2}
 ZEROS = {"none": 0, "hurdle": 1, "mixture": 2, "tied": 3, "regression": 4}
 LOGK_STEP = 0.02  # half width of the central differences in log dispersion
 TINY = 1e-12
-TERMS = ["w", "s", "zs", "zi", "hz", "hk", "hzk", "ll", "ll_lo", "ll_hi"]
-TERMS_SCHEMA = T.StructType([T.StructField(t, T.DoubleType()) for t in TERMS])
 
 
 def stirling_excess(x: np.ndarray) -> np.ndarray:
@@ -187,24 +180,3 @@ def proportion_terms(y, n, lgy, eta, form, logk) -> dict[str, np.ndarray]:
         "zs": none, "zi": none, "hz": none, "hk": none, "hzk": none,
         "ll": total(0.0), "ll_lo": total(-LOGK_STEP), "ll_hi": total(LOGK_STEP),
     }
-
-
-@F.pandas_udf(TERMS_SCHEMA)
-def count_terms_batch(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for columns in batches:
-        yield pd.DataFrame(count_terms(*[c.to_numpy() for c in columns]), columns=TERMS)
-
-
-@F.pandas_udf(TERMS_SCHEMA)
-def proportion_terms_batch(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for columns in batches:
-        yield pd.DataFrame(proportion_terms(*[c.to_numpy() for c in columns]), columns=TERMS)
-
-
-def with_terms(df, proportions: bool):
-    """Add the struct column ``terms``."""
-    if proportions:
-        call = proportion_terms_batch("y", "n", "lgy", "eta", "form", "logk")
-    else:
-        call = count_terms_batch("y", "lgy", "eta", "ez", "form", "zero", "logk", "zpar")
-    return df.withColumn("terms", call)

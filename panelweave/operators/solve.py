@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
-from panelweave.operators.likelihood import LOGK_STEP
+from panelweave.operators.batches import Layout, split
 
 # Ship these functions with the job, so that workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,76 +81,128 @@ def joint_step(xx, rhs, p, active, settled_below, at_low, at_high):
     return beta, cov + share @ np.swapaxes(share, 1, 2), change, left
 
 
-def make_step(p: int, zero_p: int, prior: tuple[np.ndarray, np.ndarray] | None):
-    """Batch function for ``mapInPandas``: one scoring step per key from its grouped sums.
+def with_columns(function, columns: list[str]):
+    """Run a function on each batch and keep the named columns."""
 
-    ``prior`` is (precision matrix, precision times mean) in per-period coding.
+    def run(batches):
+        for pdf in batches:
+            yield (function(pdf) if len(pdf) else pdf)[columns]
+
+    return run
+
+
+def make_step(layout: Layout, prior: tuple[np.ndarray, np.ndarray] | None, levels: bool, tolerance: float):
+    """One scoring step per key from its packed sums.
+
+    ``prior`` is (precision matrix, precision times mean) in per-period coding. Without levels the step also
+    ends the round.
     """
+    p = layout.size
 
     def move(old: np.ndarray, new: np.ndarray) -> np.ndarray:
         return np.where(np.isnan(old), new, old + np.clip(new - old, -MAX_MOVE, MAX_MOVE))
 
-    def step(batches):
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf
-                continue
-            size = p + 2
-            xx = unpack(np.stack(pdf.pop("c_xx")), size)
-            xz = np.stack(pdf.pop("c_xz"))
-            if prior is not None:
-                seen = np.einsum("kii->ki", xx)[:, :p] > 1e-10
-                pair = seen[:, :, None] & seen[:, None, :]
-                xx[:, :p, :p] += np.where(pair, prior[0], 0.0)
-                xz[:, :p] += np.where(seen, prior[1], 0.0)
-            zero, form = pdf["zero"].to_numpy(), pdf["form"].to_numpy()
-            active = np.stack([(zero == 2) | (zero == 3), (form > 0) & ~pdf["fixed"].to_numpy()], axis=1).astype(float)
-            scalars = pdf[["zpar", "logk"]].to_numpy()
-            low, high = np.array([ZPAR_RANGE, LOGK_RANGE]).T
-            settled = 1e-7 * (1.0 + np.abs(pdf["ll"].to_numpy()))
-            new, cov, change, gradient = joint_step(xx, xz, p, active, settled, scalars <= low, scalars >= high)
-            old = np.stack(pdf["beta"]).astype(float)
-            beta = move(old, new)
-            delta = np.max(np.abs(np.nan_to_num(beta - old)), axis=1)
-            present = ~np.isnan(new)
-            filled = np.where(present[:, :, None] & present[:, None, :], xx[:, :p, :p], np.eye(p))
-            pdf["logdet"] = np.linalg.slogdet(filled)[1] * pdf["restricted"].to_numpy()
-            if zero_p:
-                zx = unpack(np.stack(pdf.pop("z_xx")), zero_p)
-                znew, zcov = solve_scaled(zx, np.stack(pdf.pop("z_xz")))
-                zold = np.stack(pdf["zbeta"]).astype(float)
-                zbeta = np.clip(move(zold, znew), *ZPAR_RANGE)
-                zdelta = np.max(np.abs(np.nan_to_num(zbeta - zold)), axis=1)
-                delta = np.where(zero == 4, np.maximum(delta, zdelta), delta)
-                pdf["zbeta"] = list(zbeta)
-                pdf["zcov"] = [m.ravel() for m in zcov]
-            zpar, logk = pdf["zpar"].to_numpy(), pdf["logk"].to_numpy()
-            zpar_new = np.where(active[:, 0] > 0, np.clip(zpar + change[:, 0], *ZPAR_RANGE), zpar)
-            logk_new = np.where(active[:, 1] > 0, np.clip(logk + change[:, 1], *LOGK_RANGE), logk)
-            # movement along a direction that no longer changes the likelihood does not count
-            matters = np.abs(gradient) > settled[:, None]
-            scalar_moves = np.stack([np.abs(zpar_new - zpar), np.abs(logk_new - logk)], axis=1)
-            pdf["delta"] = np.maximum(delta, np.max(np.where(matters, scalar_moves, 0.0), axis=1))
-            pdf["beta"] = list(beta)
-            pdf["solution"] = list(np.concatenate([np.nan_to_num(beta), change], axis=1))
-            pdf["cov"] = [m.ravel() for m in cov]
-            pdf["logk"], pdf["zpar"] = logk_new, zpar_new
-            pdf["iterations"] = pdf["iterations"] + 1
-            bad = ~np.isfinite(pdf["ll"].to_numpy())
-            pdf.loc[bad, "status"] = "failed"
-            yield pdf
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = split(np.stack(pdf["packed"]), layout.parts)
+        pdf["start"] = [_vector(row) for row in pdf[MOVING].to_dict("records")]
+        pdf["ll_old"] = pdf["ll"]
+        zero, form = pdf["zero"].to_numpy(), pdf["form"].to_numpy()
+        xx, xz, ll = unpack(part["xx"], layout.full), part["xz"].copy(), part["ll"][:, 0]
+        if prior is not None:
+            seen = np.einsum("kii->ki", xx)[:, :p] > 1e-10
+            xx[:, :p, :p] += np.where(seen[:, :, None] & seen[:, None, :], prior[0], 0.0)
+            xz[:, :p] += np.where(seen, prior[1], 0.0)
+        active = np.stack([(zero == 2) | (zero == 3), (form > 0) & ~pdf["fixed"].to_numpy()], axis=1).astype(float)
+        scalars = pdf[["zpar", "logk"]].to_numpy()
+        low, high = np.array([ZPAR_RANGE, LOGK_RANGE]).T
+        settled = 1e-7 * (1.0 + np.abs(ll))
+        new, cov, change, gradient = joint_step(xx, xz, p, active, settled, scalars <= low, scalars >= high)
+        old = np.stack(pdf["beta"]).astype(float)
+        beta = move(old, new)
+        delta = np.max(np.abs(np.nan_to_num(beta - old)), axis=1)
+        present = ~np.isnan(new)
+        filled = np.where(present[:, :, None] & present[:, None, :], xx[:, :p, :p], np.eye(p))
+        logdet = np.where(pdf["restricted"], np.linalg.slogdet(filled)[1], 0.0)
+        ld = part["ld"][:, 0]
+        if layout.zero:
+            regression = zero == 4
+            znew, zcov = solve_scaled(unpack(part["zxx"], layout.periods), part["zxz"])
+            zold = np.stack(pdf["zbeta"]).astype(float)
+            zbeta = np.clip(move(zold, znew), *ZPAR_RANGE)
+            zdelta = np.max(np.abs(np.nan_to_num(zbeta - zold)), axis=1)
+            delta = np.where(regression, np.maximum(delta, zdelta), delta)
+            ld = ld + np.where(regression, part["zld"][:, 0], 0.0)
+            pdf["zbeta"], pdf["zcov"] = list(zbeta), [m.ravel() for m in zcov]
+        scalars_new = np.where(active > 0, np.clip(scalars + change, low, high), scalars)
+        # movement along a direction that no longer changes the likelihood does not count
+        moves = np.where(np.abs(gradient) > settled[:, None], np.abs(scalars_new - scalars), 0.0)
+        pdf["delta"] = np.maximum(delta, moves.max(axis=1))
+        pdf["beta"] = list(beta)
+        pdf["solution"] = list(np.concatenate([np.nan_to_num(beta), change], axis=1))
+        pdf["cov"] = [m.ravel() for m in cov]
+        pdf["zpar"], pdf["logk"] = scalars_new[:, 0], scalars_new[:, 1]
+        pdf["ll"] = ll - 0.5 * (ld + logdet + pdf["pen"].to_numpy())
+        pdf["logdet"] = logdet
+        pdf["iterations"] = pdf["iterations"] + 1
+        pdf.loc[~np.isfinite(pdf["ll"].to_numpy()), "status"] = "failed"
+        if levels:
+            return pdf
+        pdf.loc[(pdf["status"] == "running") & (pdf["delta"] < tolerance), "status"] = "ok"
+        return accelerate(pdf)
 
     return step
 
 
-MOVING = ["beta", "zbeta", "logk", "zpar", "prec", "zprec", "ll"]
+def make_round_end(layout: Layout, levels: int, variance_tolerance: float, tolerance: float):
+    """Move the variance components from the sums over unit effects, then extrapolate.
+
+    The new precision is the effective number of units over the summed squared effects.
+    """
+    length, slots = layout.effect_length, layout.slots(layout.effect_length)
+    i, j = np.triu_indices(layout.size)
+    double = np.where(i == j, 1.0, 2.0)
+
+    def update(old, units, uu, vv):
+        effective = np.maximum(units - old * vv, units * 1e-6)
+        ratio = np.clip(effective / (uu + 1e-14) / old, 0.1, 10.0)
+        return np.clip(old * ratio, *np.exp(LOG_PRECISION_RANGE))
+
+    def round_end(pdf: pd.DataFrame) -> pd.DataFrame:
+        packed = np.stack(pdf["packed"]).reshape(len(pdf), levels, slots * layout.width)
+        cov = np.nan_to_num(np.stack(pdf["cov"]).reshape(-1, layout.size, layout.size))[:, i, j] * double
+        restricted, regression = pdf["restricted"].to_numpy(), pdf["zero"].to_numpy() == 4
+        prec, zprec = np.stack(pdf["prec"]), np.stack(pdf["zprec"])
+        new, znew, penalty = prec.copy(), zprec.copy(), np.zeros(len(pdf))
+        for level in range(levels):
+            m = {n: v[:, 0] if v.shape[1] == 1 else v for n, v in split(packed[:, level, :length], layout.effect_parts).items()}
+            vv = m["vv"] + np.where(restricted, (m["gg"].reshape(len(pdf), -1) * cov).sum(axis=1), 0.0)
+            new[:, level] = update(prec[:, level], m["units"], m["uu"], vv)
+            penalty += prec[:, level] * m["uu"]
+            if layout.zero:
+                znew[:, level] = np.where(regression, update(zprec[:, level], m["units"], m["zuu"], m["zvv"]), zprec[:, level])
+                penalty += np.where(regression, zprec[:, level] * m["zuu"], 0.0)
+        pdf["prec"], pdf["zprec"], pdf["pen"] = list(new), list(znew), penalty
+        # a standard deviation that moves by less than 0.001 of a link unit is settled
+        both, both_old = np.concatenate([new, znew], axis=1), np.concatenate([prec, zprec], axis=1)
+        still = np.abs(1 / np.sqrt(both) - 1 / np.sqrt(both_old)) < 1e-3
+        moved = np.where(still, 0.0, np.abs(np.log(both / both_old))).max(axis=1)
+        done = (pdf["status"] == "running") & (pdf["delta"] < max(tolerance, 1e-4)) & (moved < variance_tolerance)
+        pdf.loc[done, "status"] = "ok"
+        pdf["ll_old"] = pdf["ll"]
+        return accelerate(pdf)
+
+    return round_end
+
+
+MOVING = ["beta", "zbeta", "logk", "zpar", "prec", "zprec"]
 DEPTH = 5  # rounds remembered by the extrapolation
+LOG_PRECISION_RANGE = (-9.0, float(np.log(1e4)))
 
 
-def _vector(row, suffix: str) -> np.ndarray:
-    parts = [row["beta" + suffix], row["zbeta" + suffix], [row["logk" + suffix], row["zpar" + suffix]]]
-    logs = [np.log(np.asarray(row[n + suffix], float)) for n in ("prec", "zprec") if len(row[n + suffix])]
-    return np.concatenate([np.asarray(p, float) for p in parts] + logs)
+def _vector(row) -> np.ndarray:
+    """The parameters of a key as one vector, precisions on the log scale."""
+    parts = [row["beta"], row["zbeta"], [row["logk"], row["zpar"]], np.log(row["prec"]), np.log(row["zprec"])]
+    return np.concatenate([np.asarray(p, float) for p in parts])
 
 
 def extrapolate(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -165,49 +217,36 @@ def extrapolate(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return ends[-1] - dg @ weights
 
 
-def make_accelerate(columns: list[str]):
-    """Batch function that replaces the parameters of running keys by their extrapolation.
+def accelerate(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Replace the parameters of running two-part keys by their extrapolation.
 
-    The column ``trace`` holds the remembered pairs. Moves stay within bounds of the plain step, and a drop
-    in likelihood forgets the past.
+    Their count and zero parts move in turn, which converges slowly; all other keys move jointly and need no
+    help. ``start`` is the point the round started from and ``trace`` the remembered (start, end) pairs.
     """
-
-    def accelerate(batches):
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf[columns]
-                continue
-            out = {n: list(pdf[n]) for n in ("beta", "zbeta", "logk", "zpar", "prec", "zprec", "trace")}
-            for i, row in enumerate(pdf.to_dict("records")):
-                # joint steps need no help; the two-part model alternates between its parts
-                if row["status"] != "running" or row["zero"] != 4:
-                    out["trace"][i] = np.zeros(0)
-                    continue
-                start, end = _vector(row, "_old"), _vector(row, "")
-                present = ~np.isnan(end)
-                pairs = np.asarray(row["trace"], float).reshape(-1, 2, len(end))
-                dropped = row["ll"] < row["ll_old"] - 1e-3 * (1 + abs(row["ll"]) * 1e-3)
-                if dropped:
-                    pairs = pairs[:0]
-                pairs = np.concatenate([pairs, np.nan_to_num(np.stack([start, end]))[None]])[-DEPTH:]
-                # round 1 starts far away and would distort the first extrapolations
-                if row["iterations"] >= 3 and not dropped:
-                    jump = extrapolate(pairs[:, 0], pairs[:, 1])
-                    jump = np.where(np.isfinite(jump), jump, np.nan_to_num(end))
-                    value = np.nan_to_num(end) + np.clip(jump - np.nan_to_num(end), -1.0, 1.0)
-                else:
-                    value = np.nan_to_num(end)
-                value[~present] = np.nan
-                sizes = [len(row["beta"]), len(row["zbeta"]), 1, 1, len(row["prec"]), len(row["zprec"])]
-                beta, zbeta, logk, zpar, prec, zprec = np.split(value, np.cumsum(sizes)[:-1])
-                out["beta"][i], out["zbeta"][i] = beta, np.clip(zbeta, *ZPAR_RANGE)
-                out["logk"][i] = float(np.clip(logk[0], *LOGK_RANGE))
-                out["zpar"][i] = float(np.clip(zpar[0], *ZPAR_RANGE))
-                out["prec"][i], out["zprec"][i] = np.exp(np.clip(prec, -9.0, 9.2)), np.exp(np.clip(zprec, -9.0, 9.2))
-                out["trace"][i] = pairs.ravel()
-            yield pdf.assign(**{n: pd.Series(v, index=pdf.index, dtype=object if n not in ("logk", "zpar") else float) for n, v in out.items()})[columns]
-
-    return accelerate
+    out = {n: list(pdf[n]) for n in (*MOVING, "trace")}
+    for i, row in enumerate(pdf.to_dict("records")):
+        if row["status"] != "running" or row["zero"] != 4:
+            out["trace"][i] = np.zeros(0)
+            continue
+        start, end = np.asarray(row["start"], float), _vector(row)
+        missing = np.isnan(end)
+        pairs = np.asarray(row["trace"], float).reshape(-1, 2, len(end))
+        pairs = np.concatenate([pairs, np.nan_to_num(np.stack([start, end]))[None]])[-DEPTH:]
+        value = np.nan_to_num(end)
+        if row["iterations"] >= 4:  # the first rounds start far away and would distort the extrapolation
+            jump = extrapolate(pairs[:, 0], pairs[:, 1])
+            value = value + np.clip(np.where(np.isfinite(jump), jump - value, 0.0), -0.5, 0.5)
+        value[missing] = np.nan
+        sizes = [len(row["beta"]), len(row["zbeta"]), 1, 1, len(row["prec"])]
+        beta, zbeta, logk, zpar, prec, zprec = np.split(value, np.cumsum(sizes))
+        out["beta"][i], out["zbeta"][i] = beta, np.clip(zbeta, *ZPAR_RANGE)
+        out["logk"][i] = float(np.clip(logk[0], *LOGK_RANGE))
+        out["zpar"][i] = float(np.clip(zpar[0], *ZPAR_RANGE))
+        out["prec"][i] = np.exp(np.clip(prec, *LOG_PRECISION_RANGE))
+        out["zprec"][i] = np.exp(np.clip(zprec, *LOG_PRECISION_RANGE))
+        out["trace"][i] = pairs.ravel()
+    scalar = ("logk", "zpar")
+    return pdf.assign(**{n: pd.Series(v, index=pdf.index, dtype=float if n in scalar else object) for n, v in out.items()})
 
 
 def lower_factor(matrix: np.ndarray) -> np.ndarray:
