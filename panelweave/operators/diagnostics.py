@@ -22,10 +22,10 @@ def poisson_mass(y: Column, mu: Column) -> Column:
 def poisson_below(y: Column, mu: Column) -> Column:
     """Probability of a Poisson count below y.
 
-    Sums the masses by their ratio, starting far enough in the lower tail that what is left out is below the
-    smallest double, so large means cost the width of the distribution and not the count itself.
+    Sums the masses by their ratio, starting twelve standard deviations below the mean (what lies below that
+    is under 1e-30), so large means cost the width of the distribution and not the count itself.
     """
-    start = F.greatest(F.floor(mu - 40.0 * F.sqrt(mu) - 40.0), F.lit(0)).cast("long")
+    start = F.greatest(F.floor(mu - 12.0 * F.sqrt(mu) - 12.0), F.lit(0)).cast("long")
     steps = F.when(y.cast("long") > start, F.sequence(start, y.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
     first = F.struct(F.lit(0.0).alias("total"), poisson_mass(start.cast("double"), mu).alias("mass"))
 

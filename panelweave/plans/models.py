@@ -23,7 +23,7 @@ from panelweave.sources.candidates import (
 
 PERIOD_ONLY = FitSpec(I.PERIODS, covariate=None)
 COVER_ONLY = FitSpec(I.PERIODS, keys=("species",), response="n_points", trials="total_points", covariate=None)
-NESTED = FitSpec(I.PERIODS, levels=("reef", "site", "transect"))
+NESTED = FitSpec(I.PERIODS, levels=("reef", "site", "transect"), max_iterations=24)
 POISSON_DRAWS = pick("inla", "poisson", False)
 POISSON_WALD = pick("glmmTMB", "poisson", False)
 DRAWS = 1000
@@ -133,6 +133,12 @@ def fit_all_cover(spark: SparkSession, folder: str) -> DataFrame:
     return parameters(fitted, sd.alias("unit_sd"))
 
 
+def nested_scale(spark: SparkSession, folder: str, rounds: int = 24) -> Fit:
+    """The benchmark fit: all candidates on the customer-level panel."""
+    spec = FitSpec(I.PERIODS, levels=NESTED.levels, max_iterations=rounds)
+    return fit(I.panel_scale(spark, folder), spec, COUNT_CANDIDATES)
+
+
 def fallback_model(spark: SparkSession, folder: str) -> DataFrame:
     """First family in the fallback order that fits, on the additive draft model without unit effects."""
     chain = [c for c in COUNT_CANDIDATES if c.mod == "inla" and c.name in FALLBACK_ORDER]
