@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from panelweave.llm import content_sort, line_rules
+from panelweave.llm import byte_bpe, content_sort, line_rules, token_counts
 
 QUERIES = {
+    "op7_byte_bpe": byte_bpe.bpe_query,
     "op8_exact_dedup": content_sort.exact_query,
     "op9_quality_rules": line_rules.rules_query,
+    "op10_token_counts": token_counts.counts_query,
 }
 ORACLES = {
     "op8_exact_dedup": content_sort.EXACT_SQL,
