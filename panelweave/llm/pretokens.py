@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 SLICE_CHARS = 1_000_000
@@ -18,7 +19,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLI
     Missing texts come as empty ones.
     """
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > chars:
