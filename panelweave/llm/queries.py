@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from panelweave.llm import byte_bpe, content_sort, line_rules, token_counts
+from panelweave.llm import byte_bpe, content_sort, line_rules, near_dup, token_counts
 
 QUERIES = {
+    "op1_minhash_near_dedup": near_dup.near_query,
     "op7_byte_bpe": byte_bpe.bpe_query,
     "op8_exact_dedup": content_sort.exact_query,
     "op9_quality_rules": line_rules.rules_query,

@@ -80,10 +80,8 @@ def shingle_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:
             own = np.sort(full[a : b - width + 1])
             out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
         elif b > a:
-            whole = np.zeros(1, np.uint64)
-            for k in range(b - a):
-                whole += words[a + k] * np.uint64(factors[k])
-            out.append(mixed(whole + np.uint64(b - a)))
+            few = words[a:b] * np.array(factors[: b - a], np.uint64)
+            out.append(mixed(few.sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
