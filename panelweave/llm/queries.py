@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from panelweave.llm import byte_bpe, content_sort, line_rules, near_dup, token_counts
+from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup, token_counts
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dup.near_query,
+    "op6_source_mixing": mixing.mixing_query,
     "op7_byte_bpe": byte_bpe.bpe_query,
     "op8_exact_dedup": content_sort.exact_query,
     "op9_quality_rules": line_rules.rules_query,
     "op10_token_counts": token_counts.counts_query,
 }
 ORACLES = {
+    "op6_source_mixing": mixing.MIXING_SQL,
     "op8_exact_dedup": content_sort.EXACT_SQL,
     "op9_quality_rules": line_rules.RULES_SQL,
 }
+
+
+def _pipeline(spark, folder: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES["pipeline"] = _pipeline
