@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup, token_counts
+from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup, token_counts, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dup.near_query,
+    "op4_url_filter": url_filter.urls_query,
     "op6_source_mixing": mixing.mixing_query,
     "op7_byte_bpe": byte_bpe.bpe_query,
     "op8_exact_dedup": content_sort.exact_query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_token_counts": token_counts.counts_query,
 }
 ORACLES = {
+    "op4_url_filter": url_filter.URLS_SQL,
     "op6_source_mixing": mixing.MIXING_SQL,
     "op8_exact_dedup": content_sort.EXACT_SQL,
     "op9_quality_rules": line_rules.RULES_SQL,
