@@ -18,12 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import quoted
+from panelweave.llm.common import quoted, sent_along, worker_store
 from panelweave.llm.pretokens import pieces, text_slices
 
+sent_along(__name__)
+
 CACHED_PIECES = 300_000
 CACHED_PAIRS = 500_000
-# Matches that the Rust libraries split by, stated by the tokenizer files' own package.
 _NONE = -1
 
 
@@ -180,15 +181,12 @@ def coded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(name: str, vocabulary, pattern: str) -> Codec:
     """The worker's codec, built once and used for all its tasks."""
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(*vocabulary.value, pattern)
-    return _CODECS[name]
+    store = worker_store()
+    if store.get("codec_name") != name:
+        store["codec"], store["codec_name"] = Codec(*vocabulary.value, pattern), name
+    return store["codec"]
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

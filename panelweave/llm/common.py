@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 import math
+import sys
+import types
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.session import scratch_folder
 
+def sent_along(name: str) -> None:
+    """Sends a module's code with the jobs that use it, so workers need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+sent_along(__name__)
+
+
+def worker_store() -> dict:
+    """What a worker process keeps from task to task; not part of what is sent along."""
+    return sys.modules.setdefault("_panelweave_store", types.ModuleType("_panelweave_store")).__dict__
+
+
 # A word is a run of characters other than the blank and the controls 9 to 13.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import new_folder, packed, quoted, written
+from panelweave.llm.common import new_folder, packed, quoted, sent_along, written
 from panelweave.llm.components import components
 from panelweave.llm.pretokens import text_slices
 from panelweave.llm.shingles import mixed, shingle_hashes, shingle_set
 from panelweave.session import BROADCAST_ROW_LIMIT
 
+sent_along(__name__)
+
 K = 80
 RUN = 3
 SETS_KEPT = 64

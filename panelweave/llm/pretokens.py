@@ -9,6 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from panelweave.llm.common import sent_along
+
+sent_along(__name__)
+
 SLICE_CHARS = 1_000_000
 PIECES_AT_ONCE = 200_000
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup, token_counts, url_filter, warc
+from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup, repeats, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dup.near_query,
     "op2_warc": warc.warc_query,
     "op4_url_filter": url_filter.urls_query,
+    "op5_repeated_spans": repeats.repeats_query,
     "op6_source_mixing": mixing.mixing_query,
     "op7_byte_bpe": byte_bpe.bpe_query,
     "op8_exact_dedup": content_sort.exact_query,

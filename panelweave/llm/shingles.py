@@ -6,6 +6,10 @@ import re
 
 import numpy as np
 
+from panelweave.llm.common import sent_along, worker_store
+
+sent_along(__name__)
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -21,7 +25,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -32,19 +36,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown as needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(cls.up):
-            up, down = _powers(_BASE, n), _powers(_INVERSE, n)
-            if n > 4_000_000:  # a very long text: not kept
-                return up, down
-            cls.up, cls.down = up, down
-        return cls.up[:n], cls.down[:n]
+def powers(n: int, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse; a worker keeps up to ``most`` of them."""
+    store = worker_store()
+    kept = store.get("powers")
+    if kept is None or n > len(kept[0]):
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        kept = _powers(_BASE, size), _powers(_INVERSE, size)
+        if size <= most:
+            store["powers"] = kept
+    return kept[0][:n], kept[1][:n]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +59,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     bounds = np.searchsorted(starts, offsets)
-    up, down = _Powers.of(len(raw))
+    up, down = powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * up, out=total[1:])
+    np.cumsum(BYTE[_LOWER[raw]] * up, out=total[1:])
     hashes = (total[ends] - total[starts]) * down[starts]
     return mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
 

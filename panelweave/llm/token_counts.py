@@ -17,9 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import quoted
+from panelweave.llm.common import quoted, sent_along, worker_store
 from panelweave.llm.pretokens import pieces, text_slices
 
+sent_along(__name__)
+
 CACHED_PIECES = 400_000
 NEVER = np.iinfo(np.int32).max
 # Fixed value: how byte-level vocabularies write bytes as characters. Printable bytes stand for themselves,
@@ -43,9 +45,9 @@ class Merges:
         self.made = np.zeros(int(ranks.max(initial=-1)) + 1, np.int64)
         self.made[ranks] = made
 
-    @classmethod
-    def read(cls, path: str) -> tuple[Merges, list[str]]:
-        """Merges and special strings of a tokenizer file; only plain byte-level BPE is understood."""
+    @staticmethod
+    def read(path: str) -> tuple[tuple, list[str]]:
+        """Arguments of this class and the special strings of a tokenizer file of plain byte-level BPE."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -59,7 +61,7 @@ class Merges:
         order = np.argsort(pairs, kind="stable")
         first = np.array([ids[c] for c in byte_characters()], np.int64)
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        return cls(first, pairs[order], np.arange(len(rows), dtype=np.int32)[order], made[order], width), special
+        return (first, pairs[order], np.arange(len(rows), dtype=np.int32)[order], made[order], width), special
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left * self.width + right
@@ -149,7 +151,8 @@ class Counter:
             self.cache.update(zip(new, self.merges.count([p.encode() for p in new]).tolist()))
 
 
-_COUNTERS: dict[str, Counter] = {}
+def _counter(arrays: tuple, special: list[str]) -> Counter:
+    return Counter(Merges(*arrays), special)
 
 
 def token_counts(
@@ -164,12 +167,13 @@ def token_counts(
     name = hashlib.sha1(tokenizer_file.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[name] = Counter(*broadcast.value)
+        store = worker_store()
+        if store.get("counter_name") != name:
+            store["counter"], store["counter_name"] = _counter(*broadcast.value), name
+        counter = store["counter"]
         for part, texts in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("n_bytes"), pa.array(_COUNTERS[name].counts(texts), pa.int64())],
+                [part.column("id"), part.column("n_bytes"), pa.array(counter.counts(texts), pa.int64())],
                 names=["id", "n_bytes", "n_tokens"],
             )
 

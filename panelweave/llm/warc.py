@@ -22,7 +22,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import new_folder, quoted, written
+from panelweave.llm.common import new_folder, quoted, sent_along, written
+
+sent_along(__name__)
 
 DATE = "2000-01-01T00:00:00Z"
 CRLF = b"\r\n"
