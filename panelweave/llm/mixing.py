@@ -16,7 +16,7 @@ from panelweave.operators.panel import number_rows
 from panelweave.session import BROADCAST_ROW_LIMIT
 
 HASH_BITS = 60
-LEVEL_BITS = 15
+LEVEL_BITS = 10
 
 
 def doc_hash(ident: Column) -> Column:
