@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup, repeats, token_counts, url_filter, warc
+from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup, repeats, token_counts, url_filter, warc, weak_labels
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dup.near_query,
     "op2_warc": warc.warc_query,
+    "op3_weak_label_quality": weak_labels.quality_query,
     "op4_url_filter": url_filter.urls_query,
     "op5_repeated_spans": repeats.repeats_query,
     "op6_source_mixing": mixing.mixing_query,
