@@ -38,7 +38,7 @@ LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 4_000_000
 SLICE_BYTES = 1_000_000
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 6_000_000
 SPREAD_OVER = 100_000
 LATE = np.iinfo(np.int64).max  # stands for a missing id: later than all others
 
@@ -172,6 +172,7 @@ def _dictionary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     del parts
     order = np.lexsort((doc, body, trigger))
     t, b, d, m = trigger[order], body[order], doc[order], more[order]
+    del trigger, body, doc, more
     new_t = np.ones(len(t), bool)
     new_t[1:] = t[1:] != t[:-1]
     new_b = new_t.copy()
