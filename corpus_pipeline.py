@@ -7,13 +7,14 @@ mixed to target weights (a document may come twice), and the rest is encoded.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelweave.llm import byte_bpe, content_sort, line_rules, mixing, near_dup
 from panelweave.llm.common import new_folder, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_rules.cleaned(docs)
+    return line_rules.cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,11 +144,11 @@ def judge_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
 
 def cleaned(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, with the columns of ``docs`` and the text of their remaining lines."""
-    judged = judge_lines(docs, text_col, rules).where("judged.kept")
-    fields = [
-        (F.col("judged.kept_text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns
-    ]
-    return judged.select(*fields)
+    judged = judge_lines(docs, text_col, rules)
+    # A filter would be moved below the steps above and repeat their expressions many times over; a generator isn't.
+    once = F.explode(F.when(F.col("judged.kept"), F.array(F.lit(True))))
+    fields = [(F.col("judged.kept_text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
+    return judged.select("row", "judged", once).select(*fields)
 
 
 def rules_query(spark, folder: str) -> DataFrame:
