@@ -37,7 +37,7 @@ sent_along(__name__)
 LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 4_000_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 BUCKET_BYTES = 6_000_000
 SPREAD_OVER = 100_000
 LATE = np.iinfo(np.int64).max  # stands for a missing id: later than all others
@@ -77,7 +77,8 @@ def _parse(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> list[
     after = np.append(np.flatnonzero(starts), windows)
     last = np.minimum(after[np.searchsorted(after, first, side="right")] - 1, bounds[1:][text[first]] - length)
     body = mixed((total[last + length] - total[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return [text[first], first, last, rolling[trigger[first]], body]
+    # the smallest hashes of windows crowd at the low end, so they are mixed again
+    return [text[first], first, last, mixed(rolling[trigger[first]] ^ np.uint64(0x9E3779B97F4A7C15)), body]
 
 
 class _Chunk:
@@ -245,8 +246,8 @@ def _suffixes(length: int):
         new[1:] = h[1:] != h[:-1]
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.flatnonzero(d[head] < d)
-        for k in range(0, len(later), 100_000):  # equal hashes are compared byte by byte
-            some = later[k : k + 100_000]
+        for k in range(0, len(later), 20_000):  # equal hashes are compared byte by byte
+            some = later[k : k + 20_000]
             span = np.arange(length)
             same = (raw[a[some][:, None] + span] == raw[a[head[some]][:, None] + span]).all(1)
             if not same.all():
