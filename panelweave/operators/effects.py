@@ -23,9 +23,13 @@ Z = NormalDist().inv_cdf(0.975)
 PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89]
 
 
+# How a fit can end with an estimate.
+FINISHED = ("ok", "period_unobserved", "at_bound")
+
+
 def usable(fit: Fit) -> DataFrame:
-    """Keys with an estimate; failed and never-counted keys drop out here."""
-    return fit.coef.filter(F.col("status").isin("ok", "not_converged"))
+    """Keys whose fit has ended; failed, unfinished and never-counted keys drop out here."""
+    return fit.coef.filter(F.col("status").isin(*FINISHED))
 
 
 def on_grid(fit: Fit, at: DataFrame | None, labels: list[str]) -> DataFrame:

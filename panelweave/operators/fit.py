@@ -95,7 +95,8 @@ def model_rows(panel: DataFrame, spec: FitSpec) -> DataFrame:
     x = F.col(spec.covariate).cast("double") if spec.covariate else F.lit(0.0)
     constant = lgamma(n + 1.0) - lgamma(y + 1.0) - lgamma(n - y + 1.0) if spec.trials else lgamma(y + 1.0)
     rows = panel.select(
-        *spec.keys, *spec.levels, d.alias("d"), x.alias("x"), y.alias("y"), n.alias("n"), constant.alias("lgy")
+        *spec.keys, *spec.levels, d.alias("d"), x.alias("x"), y.alias("y"), n.alias("n"), constant.alias("lgy"),
+        F.monotonically_increasing_id().alias("rid"),
     )
     return rows.filter(
         F.col("d").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull() & F.col("n").isNotNull()
@@ -103,11 +104,13 @@ def model_rows(panel: DataFrame, spec: FitSpec) -> DataFrame:
 
 
 def period_cells(rows: DataFrame, spec: FitSpec) -> DataFrame:
-    """Totals per (entity, period). A period in which nothing (or, for proportions, everything) was hit has
-    its estimate at the boundary; it is reported as such and does not enter the iteration."""
+    """Totals per (entity, period). In a period that isn't ``live`` nothing (or, for proportions, everything)
+    was hit, so its own coefficient lies at the boundary unless a prior holds it. ``loose`` counts rows that
+    miss a unit name."""
+    missing = reduce(Column.__or__, [F.col(c).isNull() for c in spec.levels], F.lit(False))
     cells = rows.groupBy(*spec.keys, "d").agg(
         F.count("*").alias("rows"), F.sum("y").alias("total"), F.sum("n").alias("trials"),
-        F.count_if(F.col("y") == 0).alias("zeros"),
+        F.count_if(F.col("y") == 0).alias("zeros"), F.count_if(missing).alias("loose"),
     )
     live = F.col("total") > 0
     if spec.trials:
@@ -119,37 +122,45 @@ def starting_values(cells: DataFrame, entities: DataFrame, spec: FitSpec, candid
     """One row per key with starting parameters; ``kid`` numbers the keys."""
     spark = cells.sparkSession
     P = spec.n_periods
-    mean = F.col("total") / F.col("trials") if spec.trials else F.col("total") / F.col("rows")
+    used = F.lit(True) if spec.prior_sd else F.col("live")
+    edge = F.when(F.col("live"), 0.0).otherwise(0.5)  # a start for periods that only the prior holds
+    of = F.col("trials") if spec.trials else F.col("rows")
+    mean = (F.col("total") + edge) / (of + 2.0 * edge)
     start = F.ln(mean / (1.0 - mean)) if spec.trials else F.ln(mean)
     zero_share = F.least(F.greatest(F.col("zeros") / F.col("rows"), F.lit(0.02)), F.lit(0.95))
     half = 0.5 * zero_share
-    live = cells.filter("live")
 
     def by_period(value: Column, missing: float) -> Column:
         return F.array(*[
-            F.coalesce(F.max(F.when(F.col("d") == i, value)), F.lit(missing)) for i in range(P)
+            F.coalesce(F.max(F.when((F.col("d") == i) & used, value)), F.lit(missing)) for i in range(P)
         ])
 
     slopes = F.array_repeat(F.lit(0.0), spec.size - P)
-    entity = live.groupBy(*spec.keys).agg(
+    entity = cells.groupBy(*spec.keys).agg(
         by_period(start, float("nan")).alias("levels_"),
         by_period(F.ln(half / (1.0 - half)), 0.0).alias("zbeta"),
-        (F.sum("zeros") / F.sum("rows")).alias("zero_share"),
+        (F.sum(F.when(used, F.col("zeros"))) / F.sum(F.when(used, F.col("rows")))).alias("zero_share"),
+        (F.sum("zeros") / F.sum("rows")).alias("hurdle_share"),
         F.sum("total").alias("total"),
         F.sum("rows").alias("n_rows"),
-    )
+        F.sum("loose").alias("n_loose"),
+        F.max(used).alias("any"),
+        (F.count("*") < P).alias("gap"),
+    ).filter("any")
     table = []
     for i, c in enumerate(candidates):
         form = {"binomial": 0, "betabinomial": 2}.get(c.name, FORMS[c.variance])
         table.append((i + 1, form, ZEROS[c.zero], c.successes, c.restricted))
     chosen = spark.createDataFrame(table, "cand int, form int, zero int, fixed boolean, restricted boolean")
-    share = F.least(F.greatest(F.col("zero_share"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    share = F.least(F.greatest(F.col("hurdle_share"), F.lit(1e-9)), F.lit(1 - 1e-9))
     half_all = F.least(F.greatest(0.5 * F.col("zero_share"), F.lit(0.01)), F.lit(0.9))
     size = spec.size
     start_k = F.lit(-3.0) if spec.trials else F.lit(-0.7)
     numbered = bounded_join(entity, entities, list(spec.keys))
     return numbered.crossJoin(F.broadcast(chosen)).select(
-        (F.col("eid") * len(candidates) + F.col("cand") - 1).alias("kid"), "eid", *spec.key, "form", "zero", "fixed", "restricted", "n_rows",
+        (F.col("eid") * len(candidates) + F.col("cand") - 1).alias("kid"), "eid", *spec.key, "form", "zero", "fixed", "restricted",
+        F.when(F.col("restricted"), F.col("n_rows") - F.col("n_loose")).otherwise(F.col("n_rows")).alias("n_rows"),
+        F.when(F.col("restricted"), F.col("n_loose")).otherwise(F.lit(0)).alias("n_dropped"), "gap",
         F.concat("levels_", slopes).alias("beta"),
         F.array_repeat(F.lit(0.0), size + 2).alias("solution"),
         F.array_repeat(F.lit(float("nan")), size * size).alias("cov"),
@@ -211,7 +222,7 @@ def lay_out(rows: DataFrame, unit: str, limit: int) -> tuple[DataFrame, DataFram
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n_hot == 0:
         return rows.repartition(partitions, unit).sortWithinPartitions(unit), None
-    part = F.pmod(F.xxhash64("d", "x", "y", F.monotonically_increasing_id()), F.coalesce(F.col("parts"), F.lit(1)))
+    part = F.pmod(F.xxhash64("rid"), F.coalesce(F.col("parts"), F.lit(1)))  # the same part on every attempt
     laid = bounded_join(rows, hot, [unit], "left", rows=n_hot).withColumn("part", part.cast("int")).drop("parts")
     return laid.repartition(partitions, unit, "part").sortWithinPartitions(unit, "part"), hot
 
@@ -227,12 +238,16 @@ def spread_state(state: DataFrame, hot: DataFrame | None, unit: str) -> DataFram
 
 # --- one round ------------------------------------------------------------------------------------------
 
-PARAMETERS = ["kid", "form", "zero", "beta", "zbeta", "logk", "zpar"]
+PARAMETERS = ["kid", "form", "zero", "restricted", "beta", "zbeta", "logk", "zpar"]
 
 
 def linked_rows(rows: DataFrame, coef: DataFrame, state: DataFrame | None, hot: DataFrame | None,
-                spec: FitSpec, n_keys: int) -> DataFrame:
-    """Rows with the parameters and linear predictors of every key."""
+                spec: FitSpec, n_keys: int, units: list[str]) -> DataFrame:
+    """Rows with the parameters and linear predictors of every key.
+
+    Rows of a period that isn't live say nothing about the mean without a prior; a hurdle's zero part needs them
+    all the same.
+    """
     P = spec.n_periods
     if state is None:
         linked = bounded_join(rows, coef.select("eid", *PARAMETERS), ["eid"], rows=n_keys)
@@ -243,6 +258,8 @@ def linked_rows(rows: DataFrame, coef: DataFrame, state: DataFrame | None, hot:
         linked = rows.join(spread, [unit] + (["part"] if hot is not None else []))
         linked = bounded_join(linked, coef.select(*PARAMETERS), ["kid"], rows=n_keys)
         offset, zoffset = F.col("o"), F.col("zo")
+    if not spec.prior_sd:
+        linked = linked.filter(F.col("live") | (F.col("zero") == ZEROS["hurdle"]))
     d = F.col("d")
     eta = F.nanvl(F.col("beta")[d], F.lit(0.0)) + offset
     if spec.covariate:
@@ -253,8 +270,8 @@ def linked_rows(rows: DataFrame, coef: DataFrame, state: DataFrame | None, hot:
         return F.greatest(F.least(c, F.lit(ETA_LIMIT)), F.lit(-ETA_LIMIT))
 
     return linked.select(
-        "kid", *unit_ids(len(spec.levels)), "d", "x", "y", "n", "lgy", clipped(eta).alias("eta"),
-        clipped(ez).alias("ez"), "form", "zero", "logk", "zpar",
+        "kid", *units, "d", "x", "y", "n", "lgy", clipped(eta).alias("eta"),
+        clipped(ez).alias("ez"), "form", "zero", "restricted", "logk", "zpar",
     )
 
 
@@ -346,12 +363,17 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
     )
     n_entities = entities.count()
     n_keys = n_entities * len(candidates)
-    live = bounded_join(cells.filter("live").select(*spec.keys, "d"), entities, list(spec.keys), rows=n_entities)
+    live = bounded_join(cells.select(*spec.keys, "d", "live"), entities, list(spec.keys), rows=n_entities)
     rows = bounded_join(rows, live, [*spec.keys, "d"], rows=n_entities * spec.n_periods).drop(*spec.keys)
-    hot, unit_table = None, None
+    hot, unit_table, loose = None, None, None
     if spec.levels:
+        named = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.levels])
+        if cells.agg(F.sum("loose")).first()[0]:
+            loose = ledger.keep(rows.filter(~named).drop(*spec.levels), "loose")
+        rows = rows.filter(named)
         unit_table = number_units(rows, spec, ledger)
-        rows = rows.join(unit_table, ["eid", *spec.levels]).drop(*spec.levels)
+        n_units = unit_table.count()
+        rows = bounded_join(rows, unit_table, ["eid", *spec.levels], rows=n_units).drop(*spec.levels)
         rows, hot = lay_out(rows, units[-1], spec.hot_unit_rows)
     else:
         rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -366,13 +388,17 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
     while True:
         began = time.time()
         rounds += 1
-        linked = linked_rows(rows, coef, state, hot, spec, n_keys)
+        linked = linked_rows(rows, coef, state, hot, spec, n_keys, units)
         sums = summed(linked, make_row_sums(layout, units, spec.trials is not None), layout, units)
+        free = []
+        if loose is not None:  # rows without a unit: no effect on the draws path, no part in the other one
+            alone = linked_rows(loose, coef, None, None, spec, n_keys, []).filter("NOT restricted")
+            free = [summed(alone, make_row_sums(layout, [], spec.trials is not None), layout, [])]
         if not spec.levels:
             coef = ledger.write(per_key(packed_by_key([sums], layout), coef, step, n_keys), "coef")
         else:
             tables = climb(sums, coef, spec, layout, ledger, n_keys)
-            coef = ledger.write(per_key(packed_by_key(tables, layout), coef, step, n_keys), "step")
+            coef = ledger.write(per_key(packed_by_key(tables + free, layout), coef, step, n_keys), "step")
             effects = descend(tables[1:], coef, spec, layout, ledger, n_keys)
             end = solve.make_round_end(layout, len(spec.levels), spec.variance_tolerance, spec.tolerance)
             coef = ledger.write(per_key(packed_by_key(effects, layout), coef, end, n_keys), "coef")
@@ -400,7 +426,9 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
     rows.unpersist()
     whole_state = reduce(DataFrame.unionByName, finished_state) if finished_state else None
     result = finish(reduce(DataFrame.unionByName, finished), cells, spec, candidates)
-    return Fit(spec, candidates, ledger.keep(result, "fit"), rows, whole_state, n_keys, rounds, cells, unit_table, seconds)
+    result = ledger.keep(result, "fit")
+    ledger.clear()
+    return Fit(spec, candidates, result, rows, whole_state, n_keys, rounds, cells, unit_table, seconds)
 
 
 def unit_effects(fitted: Fit) -> DataFrame:
@@ -413,6 +441,16 @@ def unit_effects(fitted: Fit) -> DataFrame:
     )
 
 
+def named_end(spec: FitSpec) -> Column:
+    """What a finished fit ended as: a parameter on its bound and a period without rows are told apart from ``ok``."""
+    low, high = np.exp(np.array(solve.LOG_PRECISION_RANGE))
+    scalar = (F.col("form") > 0) & ~F.col("fixed") & ~F.col("logk").between(solve.LOGK_RANGE[0] + 1e-6, solve.LOGK_RANGE[1] - 1e-6)
+    scalar = scalar | (F.col("zero").isin(2, 3) & ~F.col("zpar").between(solve.ZPAR_RANGE[0] + 1e-6, solve.ZPAR_RANGE[1] - 1e-6))
+    spread = F.exists("prec", lambda v: ~v.between(low * 1.001, high * 0.999)) if spec.levels else F.lit(False)
+    ended = F.when(F.col("gap") & F.lit(spec.period is not None), "period_unobserved").when(scalar | spread, "at_bound")
+    return F.when(F.col("status") == "ok", ended.otherwise("ok")).otherwise(F.col("status"))
+
+
 def finish(coef: DataFrame, cells: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> DataFrame:
     """Add names and treatment coding; entities that were never counted appear with status ``all_zero``."""
     spark = coef.sparkSession
@@ -421,12 +459,13 @@ def finish(coef: DataFrame, cells: DataFrame, spec: FitSpec, candidates: list[Ca
           float(np.log(spec.successes)) if c.successes else 0.0) for i, c in enumerate(candidates)],
         "cand int, mod string, name string, fam string, type string, zi boolean, sign double, shift double",
     )
-    named = coef.join(F.broadcast(names), "cand")
+    named = coef.join(F.broadcast(names), "cand").withColumn("status", named_end(spec))
     schema = T.StructType([
         *named.schema.fields,
         *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("coef", "coef_cov", "coef_chol")],
     ])
     full = named.mapInPandas(solve.make_recode(spec.n_periods, spec.covariate is not None), schema)
-    empty = cells.groupBy(*spec.keys).agg(F.max("live").alias("any")).filter(~F.col("any")).drop("any")
+    held = F.max("live") if not spec.prior_sd else F.lit(True)
+    empty = cells.groupBy(*spec.keys).agg(held.alias("any")).filter(~F.col("any")).drop("any")
     missing = empty.crossJoin(F.broadcast(names)).withColumn("status", F.lit("all_zero"))
     return full.unionByName(missing, allowMissingColumns=True)

@@ -109,9 +109,8 @@ def make_step(layout: Layout, prior: tuple[np.ndarray, np.ndarray] | None, level
         zero, form = pdf["zero"].to_numpy(), pdf["form"].to_numpy()
         xx, xz, ll = unpack(part["xx"], layout.full), part["xz"].copy(), part["ll"][:, 0]
         if prior is not None:
-            seen = np.einsum("kii->ki", xx)[:, :p] > 1e-10
-            xx[:, :p, :p] += np.where(seen[:, :, None] & seen[:, None, :], prior[0], 0.0)
-            xz[:, :p] += np.where(seen, prior[1], 0.0)
+            xx[:, :p, :p] += prior[0]  # it also holds periods without rows
+            xz[:, :p] += prior[1]
         active = np.stack([(zero == 2) | (zero == 3), (form > 0) & ~pdf["fixed"].to_numpy()], axis=1).astype(float)
         scalars = pdf[["zpar", "logk"]].to_numpy()
         low, high = np.array([ZPAR_RANGE, LOGK_RANGE]).T

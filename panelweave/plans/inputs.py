@@ -44,10 +44,10 @@ OVERRIDES = [
 
 def period_label(year):
     return (
-        F.when(year.between(1995, 1996), "P1")
-        .when(year.between(1997, 1998), "P2")
+        F.when(year <= 1996, "P1")
+        .when(year <= 1998, "P2")
         .when(year == 1999, "P3")
-        .when(year.between(2000, 2001), "P4")
+        .when(year > 1999, "P4")
     )
 
 
@@ -79,26 +79,36 @@ def order_counts(orders: DataFrame) -> list:
     return [*counts, F.count_if(rare).cast("double").alias("Rare_urgent")]
 
 
-def orders_of(spark: SparkSession, folder: str) -> DataFrame:
+def orders_of(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """Orders with their year; the bound on the year is put on the stored date, where the scan can use it."""
     orders = read_table(spark, folder, "orders")
+    if before is not None:
+        orders = orders.filter(F.col("o_orderdate") < F.make_timestamp_ntz(*[F.lit(v) for v in (before, 1, 1, 0, 0, 0)]))
     return orders.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
         F.year("o_orderdate").cast("double").alias("report_year"),
     )
 
 
-def counts_wide(spark: SparkSession, folder: str) -> DataFrame:
-    orders = orders_of(spark, folder).drop("o_orderkey")
-    joined = orders.join(units(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
-    wide = joined.groupBy("reef", "site_no", "transect_no", "report_year").agg(*order_counts(orders))
+def counts_wide(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """Counts per unit and year; orders are counted per customer and year before they meet the units."""
+    orders = orders_of(spark, folder, before).drop("o_orderkey")
+    by_customer = orders.groupBy("o_custkey", "report_year").agg(*order_counts(orders))
+    joined = by_customer.join(units(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
+    names = [*PRIORITIES, "Rare_urgent"]
+    wide = joined.groupBy("reef", "site_no", "transect_no", "report_year").agg(*[F.sum(n).alias(n) for n in names])
     return wide.withColumn("reef_name", F.col("reef"))
 
 
-def cover_raw(spark: SparkSession, folder: str, split_status: bool = False) -> DataFrame:
-    """Raw cover rows: one per unit, year and family, in the column order of the survey export."""
+def cover_raw(spark: SparkSession, folder: str, split_status: bool = False, whole: bool = False) -> DataFrame:
+    """Raw cover rows: one per unit, year and family, in the column order of the survey export.
+
+    Unless ``whole``, transects 9 have no cover, so that the panel join meets counts without a cover side.
+    """
     lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
     orders = orders_of(spark, folder).select("o_orderkey", "o_custkey", "report_year")
-    unit = units(spark, folder).filter(F.col("transect_no") != "9")
+    unit = units(spark, folder)
+    unit = unit if whole else unit.filter(F.col("transect_no") != "9")
     extra = ["l_linestatus"] if split_status else []
     keys = ["reef", "site_no", "transect_no", "report_year"]
     counted = (
@@ -141,7 +151,7 @@ def benthic_cover(spark: SparkSession, folder: str, split_status: bool = False)
 
 def coral_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Cover pass: only families that ever have cover, with hits and trials kept."""
-    raw = cover_raw(spark, folder)
+    raw = cover_raw(spark, folder, whole=True)
     present = raw.filter(F.col("hc") > 0).select("family")
     kept = P.keep_matching(raw, present, ["family"])
     return benthic(kept).select(
@@ -151,7 +161,7 @@ def coral_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def join_panel(spark: SparkSession, folder: str) -> DataFrame:
-    counts = counts_wide(spark, folder).filter(F.col("report_year") < 2001)
+    counts = counts_wide(spark, folder, before=2001)
     return P.full_join_panel(counts, benthic_cover(spark, folder), JOIN_KEYS)
 
 

@@ -23,7 +23,7 @@ from panelweave.sources.candidates import (
 
 PERIOD_ONLY = FitSpec(I.PERIODS, covariate=None)
 COVER_ONLY = FitSpec(I.PERIODS, keys=("species",), response="n_points", trials="total_points", covariate=None)
-NESTED = FitSpec(I.PERIODS, levels=("reef", "site", "transect"), max_iterations=24)
+NESTED = FitSpec(I.PERIODS, levels=("reef", "site", "transect"), max_iterations=60)
 POISSON_DRAWS = pick("inla", "poisson", False)
 POISSON_WALD = pick("glmmTMB", "poisson", False)
 DRAWS = 1000
@@ -66,7 +66,9 @@ def fit_poisson(spark: SparkSession, folder: str) -> DataFrame:
 def fit_poisson_prior(spark: SparkSession, folder: str) -> DataFrame:
     """Weakly informative Gaussian priors on intercept and slopes."""
     spec = FitSpec(I.PERIODS, covariate=None, prior_mean=(-2.3, 0.0), prior_sd=(2.0, 3.0))
-    return parameters(fit_counts(spark, folder, POISSON_WALD, spec=spec))
+    fitted = fit_counts(spark, folder, POISSON_WALD, spec=spec)
+    names = ["intercept", *I.PERIODS[1:]]
+    return rounded(fitted.coef.select("species", *[F.col("coef")[i].alias(n) for i, n in enumerate(names)]), *names, digits=5)
 
 
 def _means(fitted: Fit) -> DataFrame:
@@ -457,13 +459,30 @@ SELECT t.species, t.reef, t.site, transect, round(beta, 6) AS mean, round((t.c -
   round(o + (t.c - t.a * (beta + o)) / (t.a + 16), 6) + 0.0 AS total
 FROM t JOIN se ON t.species = se.species AND t.reef = se.reef AND t.site = se.site"""
 
+# Newton steps on intercept a and contrasts b: the matrix is an arrow, so b is eliminated.
+PRIOR_SQL = """, w AS (SELECT species, """ + ", ".join(
+    f"coalesce(sum(value) FILTER (WHERE period = 'P{i}'), 0) AS s{i}, (count(*) FILTER (WHERE period = 'P{i}'))::DOUBLE AS n{i}"
+    for i in range(1, 5)
+) + """ FROM seen GROUP BY species),
+newton AS (
+  SELECT species, 0 AS turn, ln((s1 + s2 + s3 + s4 + 0.5) / (n1 + n2 + n3 + n4)) AS a, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, 0.0::DOUBLE AS b4 FROM w
+  UNION ALL
+  SELECT species, turn + 1, a + da, b2 + (g2 - m2 * da) / (m2 + 1 / 9), b3 + (g3 - m3 * da) / (m3 + 1 / 9), b4 + (g4 - m4 * da) / (m4 + 1 / 9)
+  FROM (SELECT *, greatest(least((g0 - m2 * g2 / (m2 + 1 / 9) - m3 * g3 / (m3 + 1 / 9) - m4 * g4 / (m4 + 1 / 9))
+      / (m1 + m2 + m3 + m4 + 0.25 - m2 * m2 / (m2 + 1 / 9) - m3 * m3 / (m3 + 1 / 9) - m4 * m4 / (m4 + 1 / 9)), 2), -2) AS da
+    FROM (SELECT *, s1 + s2 + s3 + s4 - m1 - m2 - m3 - m4 - (a + 2.3) / 4 AS g0, s2 - m2 - b2 / 9 AS g2, s3 - m3 - b3 / 9 AS g3, s4 - m4 - b4 / 9 AS g4
+      FROM (SELECT *, n1 * exp(a) AS m1, n2 * exp(a + b2) AS m2, n3 * exp(a + b3) AS m3, n4 * exp(a + b4) AS m4 FROM newton JOIN w USING (species))))
+  WHERE turn < 60)
+SELECT species, round(a, 5) + 0.0 AS intercept, round(b2, 5) + 0.0 AS P2, round(b3, 5) + 0.0 AS P3, round(b4, 5) + 0.0 AS P4 FROM newton WHERE turn = 60"""
+
 ORACLES = {
+    "fit_poisson_prior": SQL.replace("WITH ", "WITH RECURSIVE ", 1) + PRIOR_SQL,
     "fit_poisson": SQL + CELLS + "SELECT species, period, round(m, 6) AS mean, round(sqrt(v), 6) AS se_log FROM pm",
     "fit_nb": SQL + CELLS + "SELECT species, period, round(m, 5) AS mean FROM pm",
     "fit_nb_successes": SQL + CELLS + "SELECT species, period, round(1 / (1 + m), 5) AS mean FROM pm",
     "fit_binomial": SQL + "SELECT 'cover' AS species, period, round(sum(n_points) / sum(total_points), 5) AS mean FROM coral GROUP BY period",
-    "fit_hurdle": SQL + CELLS + """, z AS (SELECT species, avg((value = 0)::INT) AS zs FROM seen JOIN cells USING (species, period)
-      WHERE s > 0 GROUP BY species) SELECT species, name, round(greatest(zs, 1e-9), 6) AS zero_share FROM z
+    "fit_hurdle": SQL + """, z AS (SELECT species, avg((value = 0)::INT) AS zs FROM seen GROUP BY species
+      HAVING sum(value) > 0) SELECT species, name, round(greatest(zs, 1e-9), 6) AS zero_share FROM z
       CROSS JOIN (VALUES ('zeroinflatedpoisson0'), ('zeroinflatednbinomial0')) c(name)""",
     "nested_effects": SQL + NESTED_SQL,
     "cellmeans_wald": SQL + CELLS + f"""SELECT species, period, round(m, 6) AS mean, round(exp(ln(m) - {Z} * sqrt(v)), 6) AS lower,

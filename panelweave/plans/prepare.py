@@ -10,6 +10,8 @@ from panelweave.functions.links import LINKS, inverse_link
 from panelweave.operators import design, levels, lookup, summary
 from panelweave.operators import panel as P
 from panelweave.plans import inputs as I
+from panelweave.session import scratch_folder
+from panelweave.sources import tables
 from panelweave.sources.candidates import COUNT_CANDIDATES, PROPORTION_CANDIDATES, candidate_table
 
 # Shared SQL prefix: the derived survey tables.
@@ -32,25 +34,25 @@ WITH units AS (
 ), raw0 AS (
   SELECT reef, site_no, transect_no, report_year, l_returnflag AS family, {status} AS p_code, count(*) AS n_points
   FROM lineitem JOIN ord ON l_orderkey = o_orderkey JOIN units ON o_custkey = c_custkey
-  WHERE transect_no <> '9' GROUP BY ALL
+  GROUP BY ALL
 ), raw1 AS (
   SELECT *, CAST(sum(n_points) OVER (PARTITION BY reef, site_no, transect_no, report_year) AS BIGINT) AS total_points
   FROM raw0
-), raw AS (
+), every AS (
   SELECT p_code, reef, report_year, site_no, transect_no, family,
     reef || '_S' || site_no AS reefsite, reef || '_S' || site_no || '_T' || transect_no AS reefsitetransect,
     CASE WHEN report_year <= 1996 THEN 'P1' WHEN report_year <= 1998 THEN 'P2' WHEN report_year = 1999 THEN 'P3'
          ELSE 'P4' END AS period,
     CASE WHEN family IN ('A', 'R') THEN 100.0 * n_points / total_points ELSE 0.0 END AS hc, n_points, total_points
   FROM raw1
-), cover AS (
+), raw AS (SELECT * FROM every WHERE transect_no <> '9'), cover AS (
   SELECT p_code, reef, reefsite, reefsitetransect, report_year, period, CAST(sum(hc) AS DOUBLE) AS hc,
          site_no, transect_no
   FROM raw GROUP BY ALL
 ), coral AS (
   SELECT reef, reefsite AS site, reefsitetransect AS transect, report_year, period,
          CAST(sum(hc) AS DOUBLE) AS hc, CAST(sum(n_points) AS BIGINT) AS n_points, total_points, site_no, transect_no
-  FROM raw WHERE family IN (SELECT family FROM raw WHERE hc > 0)
+  FROM every WHERE family IN (SELECT family FROM every WHERE hc > 0)
   GROUP BY p_code, reef, reefsite, reefsitetransect, report_year, period, total_points, site_no, transect_no
 ), joined AS (
   SELECT coalesce(a.reef, b.reef) AS reef, coalesce(a.site_no, b.site_no) AS site_no,
@@ -296,7 +298,41 @@ RATIO_SQL = """, cell AS (SELECT species, site, period, sum(value) AS total, cou
   WHERE c.period <> 'P1' AND c.total > 0 AND b.total > 0)
 """
 
+# --- sources and sinks ------------------------------------------------------------------------------------
+
+
+def cover_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The cover table written as CSV and read again with its declared schema; the text NA means missing."""
+    cover = I.benthic_cover(spark, folder)
+    path = f"{scratch_folder(spark)}/cover.csv"
+    cover.write.csv(path, header=True, nullValue="NA")
+    schema = ", ".join(f"{name} {kind}" for name, kind in cover.dtypes)
+    return rounded(tables.read_lookup_csv(spark, path, schema), "hc")
+
+
+def join_panel_from_stage(spark: SparkSession, folder: str) -> DataFrame:
+    """The joined panel written as a stage in folders by period and read again; a first synonym gives the year its name."""
+    path = f"{scratch_folder(spark)}/panel"
+    tables.write_stage(I.join_panel(spark, folder).withColumnRenamed("report_year", "year"), path, ["period"])
+    stage = tables.read_stage(spark, path)
+    return rounded(P.rename_first(stage, {"report_year": ["report_year", "year"]}).select(
+        "reef", "site_no", "transect_no", "report_year", "period", "hc", *I.ENTITIES), "hc")
+
+
+def ratios_from_artefacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Entity totals by period stored as artefacts of two engines and read again for one of them."""
+    totals = I.model_input(spark, folder).groupBy("species", "period").agg(F.sum("value").alias("total"))
+    path = f"{scratch_folder(spark)}/artefacts"
+    named = totals.withColumn("name", F.lit("poisson"))
+    both = named.withColumn("engine", F.lit("inla")).unionByName(named.withColumn("engine", F.lit("glmmTMB")))
+    tables.write_artefacts(both, path, "cellmeans")
+    return tables.read_artefacts(spark, path, "cellmeans", "inla", ["poisson"]).select("species", "period", "total", "engine")
+
+
 QUERIES = {
+    "cover_from_csv": cover_from_csv,
+    "join_panel_from_stage": join_panel_from_stage,
+    "ratios_from_artefacts": ratios_from_artefacts,
     "benthic_cover": benthic_cover,
     "benthic_cover_by_status": benthic_cover_by_status,
     "join_panel": join_panel,
@@ -325,6 +361,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "cover_from_csv": SQL + COVER_SQL,
+    "join_panel_from_stage": SQL + """SELECT reef, site_no, transect_no, report_year, period, round(hc, 6) AS hc, Priority_urgent,
+      Priority_high, Priority_medium, Priority_unspecified, Priority_low, Rare_urgent FROM joined""",
+    "ratios_from_artefacts": SQL + "SELECT species, period, sum(value) AS total, 'inla' AS engine FROM seen GROUP BY species, period",
     "benthic_cover": SQL + COVER_SQL,
     "benthic_cover_by_status": SQL_STATUS + COVER_SQL,
     "join_panel": SQL + "SELECT * REPLACE (round(hc, 6) AS hc) FROM joined",

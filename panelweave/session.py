@@ -43,6 +43,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/panelweave/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own making, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Ledger:
     """Cuts lineage by writing tables to the shared scratch folder, reusing a few slots per name."""
 
@@ -59,6 +65,13 @@ class Ledger:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Delete the slots; what ``keep`` wrote stays."""
+        for name in self._turn:
+            for slot in range(self.slots):
+                remove(self.spark, f"{self.root}/{name}/slot{slot}")
+        self._turn.clear()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write to a slot of its own, for tables the caller holds on to."""
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"

@@ -117,12 +117,42 @@ def test_degenerate_entities_get_a_status(spark):
     panel = spark.createDataFrame(data, "species string, period string, value double")
     fitted = fit(panel, FitSpec(PERIODS, covariate=None), [pick("glmmTMB", "poisson", False)])
     status = {r["species"]: r["status"] for r in fitted.coef.collect()}
-    assert status == {"zero": "all_zero", "gap": "ok"}
+    assert status == {"zero": "all_zero", "gap": "period_unobserved"}
     means = {r["period"]: r["mean"] for r in effects.cellmeans_wald(fitted).collect()}
     assert means["P1"] == pytest.approx(2.0) and means["P2"] == pytest.approx(2.0)
     assert means["P3"] is None and means["P4"] is None
 
 
+def test_periods_of_zeros_count_for_hurdles_and_priors(spark):
+    """12 rows with 7 zeros, of which the third period has nothing else."""
+    data = [("P1", 2.0), ("P1", 1.0), ("P2", 3.0), ("P2", 1.0), ("P2", 0.0), ("P4", 2.0)] + [("P3", 0.0)] * 6
+    panel = spark.createDataFrame([("s", *r) for r in data], "species string, period string, value double")
+    hurdle = fit(panel, FitSpec(PERIODS, covariate=None), [pick("inla", "zeroinflatedpoisson0", True)]).coef.first()
+    assert hurdle["status"] == "ok" and hurdle["n_rows"] == 12
+    assert 1 / (1 + np.exp(-hurdle["zpar"])) == pytest.approx(7 / 12)
+    spec = FitSpec(PERIODS, covariate=None, prior_mean=(0.0, 0.0), prior_sd=(2.0, 1.0))
+    held = fit(panel, spec, [pick("glmmTMB", "poisson", False)]).coef.first()
+    mu = np.exp(held["beta"])
+    assert held["status"] == "ok" and np.isfinite(mu).all()
+    assert -6 * mu[2] - held["coef"][2] == pytest.approx(0.0, abs=1e-5)
+
+
+def test_rows_without_a_unit_are_kept_or_counted(spark):
+    frame = simulate(seed=6, reefs=3)
+    frame.loc[:7, "transect"] = None
+    spec = FitSpec(PERIODS, levels=("reef", "site", "transect"), max_iterations=3)
+    fitted = fit(spark.createDataFrame(frame), spec, [pick("inla", "poisson", False), pick("glmmTMB", "poisson", False)])
+    rows = {r["mod"]: r for r in fitted.coef.collect()}
+    assert rows["inla"]["n_rows"] == len(frame) and rows["inla"]["n_dropped"] == 0
+    assert rows["glmmTMB"]["n_rows"] == len(frame) - 8 and rows["glmmTMB"]["n_dropped"] == 8
+
+
+def test_unfinished_fits_are_not_used(spark):
+    panel = spark.createDataFrame(simulate(seed=2, reefs=2).assign(x=0.0))
+    fitted = fit(panel, FitSpec(PERIODS, covariate=None, max_iterations=1), [pick("inla", "poisson", False)])
+    assert fitted.coef.first()["status"] == "not_converged" and effects.usable(fitted).count() == 0
+
+
 def test_mixture_and_regression_recover_zero_share(spark):
     rng = np.random.default_rng(11)
     n = 4000
