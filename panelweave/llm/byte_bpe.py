@@ -55,13 +55,13 @@ class PerfectHash:
             elif own:
                 d = 0
                 while True:
-                    at = {(halves[i][1] + d * halves[i][2]) % n for i in own}
+                    at = {self._place(*halves[i][1:], d) for i in own}
                     if len(at) == len(own) and all(slots[s] == _NONE for s in at):
                         break
                     d += 1
                 self.shift[b] = d
                 for i in own:
-                    slots[(halves[i][1] + d * halves[i][2]) % n] = i
+                    slots[self._place(*halves[i][1:], d)] = i
         self.slots = slots
 
     @staticmethod
@@ -69,11 +69,15 @@ class PerfectHash:
         a, b, c = struct.unpack("<QQQ", hashlib.blake2b(key, digest_size=24).digest())
         return a, b, c | 1
 
+    def _place(self, b: int, c: int, d: int) -> int:
+        """Slot under displacement ``d``; each displacement scatters the keys anew."""
+        return ((b + d * 0x9E3779B97F4A7C15) * c % (1 << 64) >> 20) % self.n
+
     def slot(self, key: bytes) -> int:
         """The key number at the only slot where ``key`` can be; the caller compares the key itself."""
         a, b, c = self._halves(key)
         d = self.shift[a % self.m]
-        return self.slots[-d - 1 if d < 0 else (b + d * c) % self.n]
+        return self.slots[-d - 1 if d < 0 else self._place(b, c, d)]
 
 
 class Codec:
