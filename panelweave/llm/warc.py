@@ -137,7 +137,7 @@ def write_archives(
         F.lit(0).alias("kind"),
     ).unionByName(rows.withColumn("first", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
     merged = merged.withColumn("shard", shard_of("id")).repartition(shards, "shard").sortWithinPartitions(
-        F.col("shard"), F.col("id").asc_nulls_first(), "kind", "sha"
+        F.col("shard"), F.col("id").asc_nulls_first(), "kind", "sha", F.col("url").asc_nulls_first()
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
