@@ -37,10 +37,11 @@ def _vote(bad: Column, good: Column) -> Column:
 def votes(text: Column, words: Column) -> Column:
     """One letter per labeller, in the order of LABELLERS; all abstain on a text without words."""
     n, chars = F.size(words), F.length(text)
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    symbols, shouts, bars = count("[#*$%&|<>]"), count("!!"), count(" \\| ")
+    left = lambda pattern: F.length(F.regexp_replace(text, pattern, F.lit("")))
+    without = lambda part: F.length(F.replace(text, F.lit(part), F.lit("")))
+    symbols, shouts, bars = chars - left("[#*$%&|<>]"), (chars - without("!!")) / 2, (chars - without(" | ")) / 3
     distinct = F.size(F.array_distinct(words))
-    capitals, ends = count("\\p{Lu}"), count("[.!?]")
+    capitals, ends = chars - left("\\p{Lu}+"), chars - left("[.!?]")
     few = F.size(F.filter(words, lambda w: F.length(w) <= 3))
     same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(words, i) == F.get(words, i - 1)))
     each = (
@@ -70,7 +71,7 @@ class LabelModel:
         return dict(zip(LABELLERS, right.round(4).tolist()))
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
-        at = np.array([["gb-".index(v) for v in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+        at = np.array([["gb-".index(v) for v in p] for p in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
         labeller = np.arange(at.shape[1])
         silent = np.zeros((*self.chance.shape[:2], 1))
         logs = np.concatenate((np.log(self.chance), silent), 2)
@@ -84,7 +85,7 @@ class LabelModel:
 def estimate(patterns: list[str], counts: list[int], rounds: int = 200) -> LabelModel:
     """Expectation-maximisation; an abstention says nothing. There are at most 3^labellers patterns."""
     n = np.array(counts, float)
-    at = np.array([["gb-".index(v) for v in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+    at = np.array([["gb-".index(v) for v in p] for p in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
     good = 0.9 * 0.1 ** (at == 1).sum(1)  # each labeller looks for one fault of many, so one bad vote counts at first
     model = LabelModel(0.5, np.full((len(LABELLERS), 2, 2), 1 / 2))
     for _ in range(rounds):
