@@ -43,11 +43,6 @@ def lgamma(x: Column) -> Column:
     return (x - 0.5) * F.ln(x) - x + F.lit(HALF_LOG_2PI) + stirling_excess(x)
 
 
-def lbeta(a: Column, b: Column) -> Column:
-    return lgamma(a) + lgamma(b) - lgamma(a + b)
-
-
-# Numerator and denominator of a rational form of the normal tail (published by G. West, 2005).
 TAIL_NUMERATOR = [
     220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383,
     6.37396220353165, 0.700383064443688, 0.0352624965998911,
@@ -79,19 +74,3 @@ def norm_cdf(x: Column) -> Column:
 
 # Coefficients -B(2k) / (2k) of the digamma series.
 DIGAMMA_SERIES = [-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132, 691 / 32760]
-
-
-def digamma(x: Column) -> Column:
-    """Derivative of lgamma for x > 0."""
-
-    def series(v: Column) -> Column:
-        sq = 1.0 / (v * v)
-        total = F.lit(DIGAMMA_SERIES[-1])
-        for coefficient in reversed(DIGAMMA_SERIES[:-1]):
-            total = total * sq + F.lit(coefficient)
-        return F.ln(v) - 0.5 / v + total * sq
-
-    step = F.lit(0.0)
-    for i in range(SHIFT):
-        step = step + 1.0 / (x + F.lit(float(i)))
-    return F.when(x >= 10.0, series(x)).otherwise(series(x + F.lit(float(SHIFT))) - step)

@@ -37,8 +37,14 @@ def poisson_below(y: Column, mu: Column) -> Column:
 
 
 def fitted_rows(panel: DataFrame, fit: Fit, cand: int = 1) -> DataFrame:
-    """Panel rows with the fitted mean of a period-only fit of one candidate."""
+    """Panel rows with the fitted mean of a period-only Poisson fit of one candidate.
+
+    Other fits have no residual distribution here yet and are refused.
+    """
     spec = fit.spec
+    of = fit.candidates[cand - 1]
+    if spec.covariate or spec.levels or spec.trials or of.zi or of.variance != "poisson":
+        raise ValueError("residuals are defined for period-only Poisson fits")
     chosen = fit.coef.filter((F.col("cand") == cand) & F.col("beta").isNotNull())
     cells = chosen.select(*spec.keys, "form", "logk", F.posexplode("beta").alias("d", "b"))
     means = cells.select(*spec.keys, "form", "logk", "d", F.exp(known(F.col("b"))).alias("fitted"))

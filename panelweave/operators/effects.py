@@ -24,7 +24,7 @@ PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67
 
 
 # How a fit can end with an estimate.
-FINISHED = ("ok", "period_unobserved", "at_bound")
+FINISHED = ("ok", "period_unobserved", "no_overdispersion", "no_extra_zeros", "no_unit_variance")
 
 
 def usable(fit: Fit) -> DataFrame:

@@ -442,13 +442,26 @@ def unit_effects(fitted: Fit) -> DataFrame:
 
 
 def named_end(spec: FitSpec) -> Column:
-    """What a finished fit ended as: a parameter on its bound and a period without rows are told apart from ``ok``."""
-    low, high = np.exp(np.array(solve.LOG_PRECISION_RANGE))
-    scalar = (F.col("form") > 0) & ~F.col("fixed") & ~F.col("logk").between(solve.LOGK_RANGE[0] + 1e-6, solve.LOGK_RANGE[1] - 1e-6)
-    scalar = scalar | (F.col("zero").isin(2, 3) & ~F.col("zpar").between(solve.ZPAR_RANGE[0] + 1e-6, solve.ZPAR_RANGE[1] - 1e-6))
-    spread = F.exists("prec", lambda v: ~v.between(low * 1.001, high * 0.999)) if spec.levels else F.lit(False)
-    ended = F.when(F.col("gap") & F.lit(spec.period is not None), "period_unobserved").when(scalar | spread, "at_bound")
-    return F.when(F.col("status") == "ok", ended.otherwise("ok")).otherwise(F.col("status"))
+    """What a finished fit ended as, told apart from ``ok``.
+
+    ``at_bound``: the dispersion or the zero part grew to its limit, so the estimates mean nothing. The others are
+    usable limits: no over-dispersion, no extra zeros, no variance between units, or a period without rows.
+    """
+    dispersion = (F.col("form") > 0) & ~F.col("fixed")
+    zeros = F.col("zero").isin(2, 3)
+    (k_low, k_high), (z_low, z_high) = solve.LOGK_RANGE, solve.ZPAR_RANGE
+    lost = (dispersion & (F.col("logk") > k_high - 1e-6)) | (zeros & (F.col("zpar") > z_high - 1e-6))
+    top = float(np.exp(solve.LOG_PRECISION_RANGE[1]))
+    still = F.exists("prec", lambda v: v > 0.999 * top) if spec.levels else F.lit(False)
+    ended = (
+        F.when(lost, "at_bound")
+        .when(F.col("gap") & F.lit(spec.period is not None), "period_unobserved")
+        .when(dispersion & (F.col("logk") < k_low + 1e-6), "no_overdispersion")
+        .when(zeros & (F.col("zpar") < z_low + 1e-6), "no_extra_zeros")
+        .when(still, "no_unit_variance")
+        .otherwise("ok")
+    )
+    return F.when(F.col("status") == "ok", ended).otherwise(F.col("status"))
 
 
 def finish(coef: DataFrame, cells: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> DataFrame:

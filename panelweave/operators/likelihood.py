@@ -159,24 +159,28 @@ def count_terms(y, lgy, eta, ez, form, zero, logk, zpar) -> dict[str, np.ndarray
 def proportion_terms(y, n, lgy, eta, form, logk) -> dict[str, np.ndarray]:
     """Hits y out of n on the logit scale: binomial (form 0) or beta-binomial (form 2, correlation
     exp(logk) / (1 + exp(logk))). The beta-binomial score is exact; its weight is the binomial one over
-    1 + (n - 1) times the correlation."""
+    1 + (n - 1) times the correlation, and its cross information with the dispersion is a central difference of
+    the score."""
     p = 1.0 / (1.0 + np.exp(-eta))
     base = n * p * (1.0 - p)
     plain = y * np.log(p) + (n - y) * np.log1p(-p) + lgy
-
-    def total(shift):
-        m = np.exp(-logk - shift)
-        a, b = p * m, (1.0 - p) * m
-        value = lgamma(y + a) + lgamma(n - y + b) - lgamma(n + m) - lgamma(a) - lgamma(b) + lgamma(m) + lgy
-        return np.where(form == 0, plain, value)
-
-    m = np.exp(-logk)
-    a, b = p * m, (1.0 - p) * m
-    score = m * p * (1.0 - p) * (digamma(y + a) - digamma(a) - digamma(n - y + b) + digamma(b))
     none = np.zeros_like(p)
-    return {
-        "w": np.where(form == 0, base, base / (1.0 + (n - 1.0) / (1.0 + m))),
-        "s": np.where(form == 0, y - n * p, score),
-        "zs": none, "zi": none, "hz": none, "hk": none, "hzk": none,
-        "ll": total(0.0), "ll_lo": total(-LOGK_STEP), "ll_hi": total(LOGK_STEP),
+    out = {
+        "w": base.copy(), "s": y - n * p, "zs": none, "zi": none, "hz": none, "hk": none.copy(), "hzk": none,
+        "ll": plain, "ll_lo": plain.copy(), "ll_hi": plain.copy(),
     }
+    at = form != 0
+    if at.any():
+        yy, nn, pp, ly, lk = y[at], n[at], p[at], lgy[at], logk[at]
+
+        def parts(shift):
+            m = np.exp(-lk - shift)
+            a, b = pp * m, (1.0 - pp) * m
+            value = lgamma(yy + a) + lgamma(nn - yy + b) - lgamma(nn + m) - lgamma(a) - lgamma(b) + lgamma(m) + ly
+            return value, m * pp * (1.0 - pp) * (digamma(yy + a) - digamma(a) - digamma(nn - yy + b) + digamma(b))
+
+        (low, low_score), (here, score), (high, high_score) = (parts(s) for s in (-LOGK_STEP, 0.0, LOGK_STEP))
+        out["w"][at] = base[at] / (1.0 + (nn - 1.0) / (1.0 + np.exp(-lk)))
+        out["s"][at], out["ll"][at], out["ll_lo"][at], out["ll_hi"][at] = score, here, low, high
+        out["hk"][at] = -(high_score - low_score) / (2 * LOGK_STEP)
+    return out

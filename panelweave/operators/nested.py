@@ -75,13 +75,6 @@ def eliminate(df: DataFrame, keys: list[str], systems: dict[System, str], carry:
     return df.selectExpr("*", *factors).groupBy(*keys).agg(*sums)
 
 
-def packed(system: System) -> list[str]:
-    """The key-level system as two array columns, XX (upper triangle by rows) and Xz."""
-    pairs = ", ".join(system.xx(i, j) for i, j in system.pairs)
-    rights = ", ".join(system.xz(i) for i in range(system.size))
-    return [f"array({pairs}) AS {system.col('xx')}", f"array({rights}) AS {system.col('xz')}"]
-
-
 def effects(
     system: System, precision: str, beta: str, cov: str | None, top: bool, restricted: str | None = None,
     cov_size: int = 0,

@@ -16,7 +16,7 @@ from panelweave.operators.fit import Fit, FitSpec, fit
 from panelweave.operators.nested import System, eliminate, with_effects
 from panelweave.operators.nested import effects as nested_effect_stages
 from panelweave.plans import inputs as I
-from panelweave.plans.prepare import SQL, lookup_table, rounded
+from panelweave.plans.prepare import SQL, best_model, lookup_table, rounded
 from panelweave.sources.candidates import (
     COUNT_CANDIDATES, FALLBACK_ORDER, PROPORTION_CANDIDATES, Candidate, pick,
 )
@@ -263,6 +263,24 @@ def _published(spark: SparkSession, folder: str, group: str, overlay: bool) -> D
     return rounded(table, *numbers, digits=5)
 
 
+def collate_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Contrasts of every count candidate of every entity and of every cover candidate, in one table."""
+    fits = [fit_counts(spark, folder, *COUNT_CANDIDATES), fit_cover(spark, folder, *PROPORTION_CANDIDATES)]
+    return rounded(publish.collate_contrasts(fits, DRAWS), "mean", "lower", "upper", digits=4)
+
+
+def chosen_family_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Effect table in which each listed entity has the candidate that the lookup chooses, with beta-binomial cover beside it."""
+    names = best_model(spark, folder)
+    wanted = [c for c in COUNT_CANDIDATES if c.mod == "inla"]
+    results = publish.collate_contrasts([fit_counts(spark, folder, *wanted)], DRAWS)
+    chosen = publish.chosen_contrasts(results, names.select("species", "family", "name"), "species", rows=len(I.LOOKUP))
+    cover = effects.draw_summary(fit_cover(spark, folder, pick("inla", "betabinomial", False)), DRAWS)
+    side = cover.filter("variable = 'Ratio'").select("period", "mean", "lower", "upper")
+    table = publish.effect_table(chosen, "family", "species", overlay=side)
+    return rounded(table, *[c for c in table.columns if c.split("_")[-1] in ("mean", "lower", "upper")], digits=4)
+
+
 def family_effects(spark: SparkSession, folder: str) -> DataFrame:
     return _published(spark, folder, "family", overlay=True)
 
@@ -341,6 +359,8 @@ QUERIES = {
     "linear_combination": linear_combination,
     "collate_contrasts": collate_contrasts,
     "candidate_comparison": candidate_comparison,
+    "collate_all": collate_all,
+    "chosen_family_effects": chosen_family_effects,
     "family_effects": family_effects,
     "trophic_effects": trophic_effects,
     "pit_residuals": pit_residuals,

@@ -67,7 +67,6 @@ PROPORTION_CANDIDATES = [
 
 # Order in which families are tried until one fit succeeds.
 FALLBACK_ORDER = ["zeroinflatednbinomial2", "zeroinflatednbinomial1", "zeroinflatedpoisson1", "nbinomial2"]
-DRAFT_FALLBACK_ORDER = ["zeroinflatednbinomial1", "zeroinflatednbinomial2", "zeroinflatedpoisson1", "nbinomial2"]
 
 
 def candidate_table(spark: SparkSession, candidates: list[Candidate]) -> DataFrame:
