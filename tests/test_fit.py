@@ -149,7 +149,7 @@ def test_rows_without_a_unit_are_kept_or_counted(spark):
 
 def test_unfinished_fits_are_not_used(spark):
     panel = spark.createDataFrame(simulate(seed=2, reefs=2).assign(x=0.0))
-    fitted = fit(panel, FitSpec(PERIODS, covariate=None, max_iterations=1), [pick("inla", "poisson", False)])
+    fitted = fit(panel, FitSpec(PERIODS, covariate=None, max_iterations=1), [pick("inla", "nbinomial", False)])
     assert fitted.coef.first()["status"] == "not_converged" and effects.usable(fitted).count() == 0
 
 
