@@ -23,7 +23,7 @@ from panelweave.sources.candidates import (
 
 PERIOD_ONLY = FitSpec(I.PERIODS, covariate=None)
 COVER_ONLY = FitSpec(I.PERIODS, keys=("species",), response="n_points", trials="total_points", covariate=None)
-NESTED = FitSpec(I.PERIODS, levels=("reef", "site", "transect"), max_iterations=60)
+NESTED = FitSpec(I.PERIODS, levels=("reef", "site", "transect"), max_iterations=40)
 POISSON_DRAWS = pick("inla", "poisson", False)
 POISSON_WALD = pick("glmmTMB", "poisson", False)
 DRAWS = 1000

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from panelweave.operators import effects
 from panelweave.operators.batches import Layout, make_level_sums, split
