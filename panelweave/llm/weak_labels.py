@@ -34,16 +34,24 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
 
 
-def votes(text: Column, words: Column) -> Column:
-    """One letter per labeller, in the order of LABELLERS; all abstain on a text without words."""
-    n, chars = F.size(words), F.length(text)
-    left = lambda pattern: F.length(F.regexp_replace(text, pattern, F.lit("")))
-    without = lambda part: F.length(F.replace(text, F.lit(part), F.lit("")))
-    symbols, shouts, bars = chars - left("[#*$%&|<>]"), (chars - without("!!")) / 2, (chars - without(" | ")) / 3
-    distinct = F.size(F.array_distinct(words))
-    capitals, ends = chars - left("\\p{Lu}+"), chars - left("[.!?]")
-    few = F.size(F.filter(words, lambda w: F.length(w) <= 3))
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(words, i) == F.get(words, i - 1)))
+def voted_rows(base: DataFrame) -> DataFrame:
+    """``base`` (id, text) with votes, one letter per labeller in the order of LABELLERS, and n, the number of words.
+
+    All abstain on a text without words. What the labellers look at is a column each, so it is counted once.
+    """
+    text, words = F.col("text"), F.col("words")
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    pairs = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    seen = base.select("id", "text", words_of(text).alias("words")).select(
+        "id", "text", F.size(words).alias("n"), F.length(text).alias("chars"),
+        count("[#*$%&|<>]").alias("symbols"), count("!!").alias("shouts"), count(" \\| ").alias("bars"),
+        F.size(F.array_distinct(words)).alias("distinct"), count("\\p{Lu}").alias("capitals"), count("[.!?]").alias("ends"),
+        F.size(F.filter(words, lambda w: F.length(w) <= 3)).alias("few"),
+        F.size(F.filter(pairs, lambda i: F.get(words, i) == F.get(words, i - 1))).alias("same"),
+    )
+    n, chars, symbols, shouts, bars, distinct, capitals, ends, few, same = (
+        F.col(c) for c in ("n", "chars", "symbols", "shouts", "bars", "distinct", "capitals", "ends", "few", "same")
+    )
     each = (
         _vote(100 * symbols > 3 * chars, 200 * symbols <= chars),
         _vote(100 * shouts > 8 * n, shouts == 0),
@@ -54,7 +62,7 @@ def votes(text: Column, words: Column) -> Column:
         _vote((n >= 20) & ((100 * few < 8 * n) | (100 * few > 80 * n)), (n >= 20) & (100 * few >= 15 * n)),
         _vote(100 * same > 10 * n, (n >= 10) & (100 * same <= 5 * n)),
     )
-    return F.when(n == 0, NONE * len(each)).otherwise(F.concat(*each))
+    return seen.select("id", "text", F.when(n == 0, NONE * len(each)).otherwise(F.concat(*each)).alias("votes"), "n")
 
 
 @dataclass(frozen=True)
@@ -165,8 +173,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     """
     folder = new_folder(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
-    worded = base.select("id", "text", words_of(F.col("text")).alias("words"))
-    voted = written(worded.select("id", votes(F.col("text"), F.col("words")).alias("votes"), (F.size("words") > 0).alias("worded")), folder, "votes")
+    voted = written(voted_rows(base).select("id", "votes", (F.col("n") > 0).alias("worded")), folder, "votes")
     counts = voted.where("worded").groupBy("votes").count().orderBy("votes").collect()  # at most 3^8 rows
     patterns = [r["votes"] for r in counts]
     model = estimate(patterns, [r["count"] for r in counts])
@@ -191,9 +198,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("votes"), pa.array(p)], names=["id", "votes", "score"])
 
     kind = base.schema["id"].dataType.simpleString()
-    scored = worded.select("id", "text", votes(F.col("text"), F.col("words")).alias("votes")).mapInArrow(
-        score, f"id {kind}, votes string, score double"
-    )
+    scored = voted_rows(base).select("id", "text", "votes").mapInArrow(score, f"id {kind}, votes string, score double")
     out = scored.join(F.broadcast(table), "votes", "left").select(
         F.col("id").alias(id_col), "votes", "posterior", "score", (F.col("score") >= 0.5).alias("kept")
     )
