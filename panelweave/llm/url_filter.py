@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import new_folder, packed, quoted, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Filters up to this size travel with the expression; beyond it keys are split over more filters.
+# Filters up to this size travel with the expression; beyond it keys are split over more filters, which are joined.
 LEVEL_BITS_LIMIT = 1 << 24
+# About the size of a filter of split keys, which is one row.
+PART_BITS = 1 << 17
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -129,11 +131,91 @@ class Cascade:
         return F.coalesce(answer & key.isNotNull(), F.lit(False))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, rate: float = 0.01, later_rate: float = 0.5) -> Cascade:
+def _need(count: int, rate: float) -> float:
+    """Bits for ``count`` keys and a share ``rate`` of false positives."""
+    return count * -math.log(rate) / math.log(2) ** 2
+
+
+def _split_positions(key: Column, level: Column) -> Column:
+    """Bit numbers of a key in a filter of its part."""
+    first = F.pmod(F.xxhash64(key, 2 * level["number"]), level["bits"])
+    second = F.pmod(F.xxhash64(key, 2 * level["number"] + 1), level["bits"])
+    return F.transform(F.sequence(F.lit(0), level["hashes"] - 1), lambda i: F.pmod(first + i * second, level["bits"]))
+
+
+def _split_holds(key: Column, level: Column) -> Column:
+    return F.forall(
+        _split_positions(key, level),
+        lambda at: F.getbit(F.get(level["words"], F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1,
+    )
+
+
+def _split_level(keys: DataFrame, number: int, rate: float) -> DataFrame:
+    """A filter for each part of ``keys`` (key, part), of a size by the part's own count: part, level."""
+    n = F.count("*")
+    bits = F.greatest(F.lit(64), 64 * F.ceil(n * (-math.log(rate) / math.log(2) ** 2 / 64))).cast("long")
+    sizes = keys.groupBy("part").agg(n.alias("n"), bits.alias("bits")).select(
+        "part", F.lit(number).alias("number"), "bits",
+        F.greatest(F.lit(1), F.least(F.lit(24), F.round(F.col("bits") / F.col("n") * math.log(2)))).cast("int").alias("hashes"),
+    )
+    level = F.struct("number", "bits", "hashes")
+    at = keys.join(sizes, "part").select("part", F.explode(_split_positions(F.col("key"), level)).alias("at"))
+    ones = at.select(
+        "part", F.shiftright("at", 6).alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")).alias("bit"),
+    )
+    empty = sizes.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright("bits", 6) - 1)).alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = ones.unionByName(empty).groupBy("part", "word").agg(F.bit_or("bit").alias("bit")).groupBy("part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("word", "bit"))), lambda w: w["bit"]).alias("words")  # a filter's words
+    )
+    return sizes.join(words, "part").select("part", F.struct("number", "bits", "hashes", "words").alias("level"))
+
+
+@dataclass
+class SplitCascade:
+    """A cascade for each part of the keys by hash; ``filters`` has a row a part: part, levels."""
+
+    filters: DataFrame
+    parts: int
+
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.parts))
+
+    def only_listed(self, rows: DataFrame) -> DataFrame:
+        """The rows whose column ``key`` is listed. A part's filters come by a join on the part."""
+        key, levels = F.col("key"), F.col("levels")
+        fails = F.array_position(F.transform(levels, lambda level: _split_holds(key, level)), False)
+        listed = F.when(~_split_holds(key, levels[0]), False).otherwise(F.when(fails > 0, fails % 2 == 0).otherwise(F.size(levels) % 2 == 1))
+        return rows.withColumn("part", self.part(key)).join(self.filters, "part").where(listed).select(*rows.columns)
+
+
+def _split_cascade(inside: DataFrame, folder: str, need: float, rate: float, later_rate: float) -> SplitCascade:
+    """Cascades over ``inside`` (key, is_listed), with ``need`` bits in all at the largest level. Nothing but counts comes to the driver."""
+    cascade = SplitCascade(inside.limit(0), math.ceil(need / PART_BITS))
+    keys = written(inside.withColumn("part", cascade.part(F.col("key"))), folder, "parts")
+    wrong, other = (keys.where(w).select("key", "part") for w in ("is_listed", "NOT is_listed"))
+    paths, schema = [], None
+    while not wrong.isEmpty():
+        number = len(paths)
+        level = written(_split_level(wrong, number, later_rate if number else rate), folder, f"split-level-{number}")
+        paths.append(f"{folder}/split-level-{number}")
+        schema = level.schema
+        # parts without a level here are settled
+        held = other.join(level, "part").where(_split_holds(F.col("key"), F.col("level"))).select("key", "part")
+        other, wrong = wrong, written(held, folder, f"split-held-{number}")
+    every = inside.sparkSession.read.schema(schema).parquet(*paths)
+    levels = every.groupBy("part").agg(F.array_sort(F.collect_list("level")).alias("levels"))  # a part's levels start with their numbers
+    cascade.filters = written(levels, folder, "split-filters")
+    return cascade
+
+
+def build_cascade(
+    universe: DataFrame, listed: DataFrame, rate: float = 0.01, later_rate: float = 0.5
+) -> Cascade | SplitCascade:
     """Cascade over two tables with one column ``key``; listed keys beyond the universe are of no use and left out.
 
     Only counts come to the driver, and a level's bits, whose number is checked against ``LEVEL_BITS_LIMIT``: about
-    ten bits a listed key at the first level. Longer lists are split by a hash of the key in several tables.
+    ten bits a listed key at the first level. Beyond it keys are split by a hash, and their filters stay in a table.
     """
     folder = new_folder(universe.sparkSession)
     universe = universe.where(F.col("key").isNotNull()).distinct()
@@ -147,8 +229,10 @@ def build_cascade(universe: DataFrame, listed: DataFrame, rate: float = 0.01, la
     other = inside.where("NOT is_listed")
     while count := wrong.count():
         share = rate if not levels else later_rate
-        if count * -math.log(share) / math.log(2) ** 2 > LEVEL_BITS_LIMIT:
-            raise ValueError(f"{count} keys need more than {LEVEL_BITS_LIMIT} bits: build one cascade for each part of the keys")
+        if _need(count, share) > LEVEL_BITS_LIMIT:
+            total, first = inside.count(), inside.where("is_listed").count()
+            need = max(_need(first, rate), _need(math.ceil((total - first) * rate), later_rate))
+            return _split_cascade(inside, folder, need, rate, later_rate)
         level = _level(wrong.select("key"), count, len(levels), share)
         levels.append(level)
         # what this level holds of the other side is what the next one must take out again
@@ -171,6 +255,16 @@ def judge_urls(
     hosts = pages.select(host.alias("host")).distinct()
     universe = hosts.select(F.explode(suffixes(F.col("host"))).alias("key"))
     cascade = build_cascade(universe, listed, rate)
+    if isinstance(cascade, SplitCascade):
+        pairs = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+        bad = cascade.only_listed(pairs).select("host").distinct().withColumn("blocked", F.lit(True))
+        rows = packed(pages, host=host, path=path).join(bad, "host", "left")
+        blocked = F.coalesce("blocked", F.lit(False))
+        fit = matched(F.col("host"), F.col("path"), rules)
+        return rows.select("row", "host", "path", fit.alias("fit"), "blocked").select(
+            "row", "host", "path", F.col("fit.rule").alias("rule"),
+            F.when(F.col("fit").isNotNull(), F.col("fit.verdict")).when(blocked, "block").otherwise("allow").alias("verdict"),
+        )
     rows = packed(pages, host=host, path=path)
     rows = rows.select("row", "host", "path", matched(F.col("host"), F.col("path"), rules).alias("fit"), suffixes(F.col("host")).alias("parents"))
     blocked = F.exists("parents", cascade.listed)
