@@ -143,13 +143,23 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 ROUNDS, PENALTY = 300, 1e-5
 
 
+def _packed_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, seen) of (id, text): a text's features, places then values; at most two WIDTH and one, however long it is."""
+    for part, texts in text_slices(batches, "text"):
+        row, place, value = features([t.encode() for t in texts])
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(len(texts) + 1))
+        place, value = place[order].astype("<u2"), value[order].astype("<f8")
+        seen = [place[a:b].tobytes() + value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(seen, pa.binary())], names=["id", "seen"])
+
+
 def _fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Logistic weights for soft labels by accelerated gradient steps over the whole sample."""
-    found = []
-    for a in range(0, len(rows), 500):
-        row, place, value = features([(t or "").encode() for t in rows["text"].iloc[a : a + 500]])
-        found.append((row + a, place, value))
-    row, place, value = map(np.concatenate, zip(*found))
+    sizes = np.array([len(b) // 10 for b in rows["seen"]], np.int64)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    place = np.concatenate([np.frombuffer(b, "<u2", n) for b, n in zip(rows["seen"], sizes)]).astype(np.int64)
+    value = np.concatenate([np.frombuffer(b, "<f8", n, 2 * n) for b, n in zip(rows["seen"], sizes)])
     goal, n = rows["posterior"].to_numpy(float), len(rows)
     share = np.clip(goal.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(goal >= 0.5, 0.5 / share, 0.5 / (1 - share))  # both classes count alike
@@ -168,12 +178,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     """A row per row of ``docs``: its id, votes, posterior, score (double), kept (score of 0.5 or more), and the model.
 
     All documents are voted on and counted. ``sample`` bounds the documents that train the scorer: those with the smallest hashes
-    of their ids, about so many. A text without words (null, empty, blank) has no features and the score of the
+    of their ids, about so many. An id that repeats gives one of them, of its smallest posterior and then its smallest text hash. A text without words (null, empty, blank) has no features and the score of the
     bias alone, 0.5 or less, and isn't kept. Repeated rows are judged alike; an empty table gives an empty table.
     """
     folder = new_folder(docs.sparkSession)
     base = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
-    voted = written(voted_rows(base).select("id", "votes", (F.col("n") > 0).alias("worded")), folder, "votes")
+    voted = written(voted_rows(base).select("id", "votes", (F.col("n") > 0).alias("worded"), F.xxhash64("text").alias("h")), folder, "votes")
     counts = voted.where("worded").groupBy("votes").count().orderBy("votes").collect()  # at most 3^8 rows
     patterns = [r["votes"] for r in counts]
     model = estimate(patterns, [r["count"] for r in counts])
@@ -183,9 +193,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 
     table = docs.sparkSession.createDataFrame([*of_pattern.items()] or [("", 0.0)], "votes string, posterior double")
     chosen = voted.where(F.col("worded") & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    chosen = chosen.join(F.broadcast(table), "votes").groupBy("id").agg(F.min("posterior").alias("posterior"))  # the table is a row a pattern
+    chosen = chosen.join(F.broadcast(table), "votes").groupBy("id").agg(F.min(F.struct("posterior", "h")).alias("least"))  # the table is a row a pattern
+    chosen = chosen.select("id", "least.posterior", "least.h")
     # the sample is bounded, so its ids are few
-    train = base.join(F.broadcast(chosen), "id").select("text", "posterior", F.lit(0).alias("all"))
+    texts = base.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen.select("id", "h")), ["id", "h"]).select("id", "text")
+    kind = base.schema["id"].dataType.simpleString()
+    seen = texts.mapInArrow(_packed_features, f"id {kind}, seen binary").groupBy("id").agg(F.min("seen").alias("seen"))  # equal texts as one
+    train = seen.join(F.broadcast(chosen), "id").select("seen", "posterior", F.lit(0).alias("all"))
     fitted = train.groupBy("all").applyInPandas(_fit, "weights binary").first()
     weights = np.frombuffer(fitted["weights"], "<f8") if fitted else np.zeros(WIDTH + 1)
 
@@ -197,7 +211,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
             p = np.where(worded, 1 / (1 + np.exp(-np.clip(raw, -500, 500))), 0.0)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("votes"), pa.array(p)], names=["id", "votes", "score"])
 
-    kind = base.schema["id"].dataType.simpleString()
     scored = voted_rows(base).select("id", "text", "votes").mapInArrow(score, f"id {kind}, votes string, score double")
     out = scored.join(F.broadcast(table), "votes", "left").select(
         F.col("id").alias(id_col), "votes", "posterior", "score", (F.col("score") >= 0.5).alias("kept")
