@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.diagnostics import ranked_within
+from panelweave.session import bounded_join
 
 
 def zero_share(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -23,13 +25,19 @@ def _log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
-def raw_log_summary(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Log of mean, median and standard deviation; the log of zero is missing."""
-    return long.groupBy(*keys).agg(
-        _log(F.avg(value)).alias("log_mean"),
-        _log(F.median(value)).alias("log_median"),
-        _log(F.stddev_samp(value)).alias("log_sd"),
-    )
+def raw_log_summary(long: DataFrame, keys: list[str], n_keys: int, value: str = "value") -> DataFrame:
+    """Log of mean, median and standard deviation; the log of zero is missing. There are at most ``n_keys`` groups.
+
+    The median is picked by position, so no group is gathered in one task; a hash of the row deals equal values out.
+    """
+    keyed = long.withColumn("__key", F.to_json(F.struct(*keys)))  # never missing, unlike the keys
+    known = keyed.filter(F.col(value).isNotNull()).select("__key", value, F.xxhash64(*long.columns).alias("__tie"))
+    ranked = ranked_within(known, ["__key"], [value, "__tie"], n_keys)
+    middle = F.col("rank").between(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    medians = ranked.filter(middle).groupBy("__key").agg(F.avg(value).alias("__median"))
+    stats = keyed.groupBy(*keys, "__key").agg(_log(F.avg(value)).alias("log_mean"), _log(F.stddev_samp(value)).alias("log_sd"))
+    joined = bounded_join(stats, medians, ["__key"], "left", rows=n_keys)
+    return joined.select(*keys, "log_mean", _log(F.col("__median")).alias("log_median"), "log_sd")
 
 
 def t_quantile(df: Column, level: float = 0.975) -> Column:

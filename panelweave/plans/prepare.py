@@ -189,7 +189,9 @@ def zero_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_log_summary(spark: SparkSession, folder: str) -> DataFrame:
-    out = summary.raw_log_summary(I.model_input(spark, folder), ["species", "period"])
+    out = summary.raw_log_summary(
+        I.model_input(spark, folder), ["species", "period"], len(I.ENTITIES) * (len(I.PERIODS) + 1)
+    )
     return rounded(out, "log_mean", "log_median", "log_sd")
 
 
