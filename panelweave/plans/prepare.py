@@ -45,10 +45,10 @@ WITH units AS (
          ELSE 'P4' END AS period,
     CASE WHEN family IN ('A', 'R') THEN 100.0 * n_points / total_points ELSE 0.0 END AS hc, n_points, total_points
   FROM raw1
-), raw AS (SELECT * FROM every WHERE transect_no <> '9'), cover AS (
+), cover AS (
   SELECT p_code, reef, reefsite, reefsitetransect, report_year, period, CAST(sum(hc) AS DOUBLE) AS hc,
          site_no, transect_no
-  FROM raw GROUP BY ALL
+  FROM every GROUP BY ALL
 ), coral AS (
   SELECT reef, reefsite AS site, reefsitetransect AS transect, report_year, period,
          CAST(sum(hc) AS DOUBLE) AS hc, CAST(sum(n_points) AS BIGINT) AS n_points, total_points, site_no, transect_no
@@ -406,8 +406,8 @@ ORACLES = {
       FROM seen GROUP BY species, period""",
     "raw_mean_ci": None,
     "inverse_links": SQL + SCALED_SQL + """, r AS (SELECT species, site, transect, report_year, round(x, 6) AS x FROM scaled),
-      p AS (SELECT *, 0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80),
-        lambda n: sign(x) * exp((2 * n + 1) * ln(greatest(abs(x), 1e-300)) + n * ln(2) + lgamma(n + 1.0) - lgamma(2.0 * n + 2)))) AS phi FROM r)
+      p AS (SELECT *, CASE WHEN abs(x) > 6 THEN (x > 0)::INT::DOUBLE ELSE 0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80),
+        lambda n: sign(x) * exp((2 * n + 1) * ln(greatest(abs(x), 1e-300)) + n * ln(2) + lgamma(n + 1.0) - lgamma(2.0 * n + 2)))) END AS phi FROM r)
       SELECT species, site, transect, report_year, x, round(x, 6) + 0.0 AS inv_identity, round(exp(x), 6) AS inv_log,
         round(exp(x) + 1, 6) AS inv_logm1, round(exp(x) - 1, 6) + 0.0 AS inv_log1p,
         CASE WHEN x <> 0 THEN round(1 / x, 6) + 0.0 END AS inv_inverse, round(x * x, 6) AS inv_sqrt,

@@ -7,22 +7,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
-from compare import connect, differences
 from panelweave.plans import inputs as I
 
 FOLDER = "/root/testdata/sf0.001"
-CUT, WHOLE = "SELECT * FROM every WHERE transect_no <> '9'", "SELECT * FROM every"
-
-
-@pytest.mark.parametrize("name", [
-    "benthic_cover", "benthic_cover_by_status", "cover_from_csv", "join_panel", "join_panel_from_stage", "panel_keys", "panel_long",
-    "drop_zero_sites", "fit_poisson",
-])
-def test_query_covers_every_unit(spark, name):
-    sql = entry.oracle_sql()[name]
-    assert CUT in sql  # when the SQL takes the whole table too, test_queries.py says the same and this test can go
-    assert differences(entry.queries()[name](spark, FOLDER), connect(FOLDER), sql.replace(CUT, WHOLE)) == []
 
 
 def test_no_line_is_left_out(spark):
