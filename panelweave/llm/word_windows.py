@@ -34,8 +34,9 @@ PRIME = (1 << 61) - 1
 BASES = (0x0F1BBCDCBFA53E0B % PRIME, 0x1CC5D03A5F1E9F2D % PRIME)
 NO_ID = (1 << 63) - 1
 BUCKET_BYTES = 32_000_000
-HELD_WORDS = 2_000_000
-KEPT_HASHES = 300_000
+HELD_WORDS = 500_000
+PASS_WINDOWS = 1_000_000
+KEPT_HASHES = 150_000
 
 
 def times_mod(a: np.ndarray, b: int) -> np.ndarray:
@@ -104,16 +105,16 @@ def packed_runs(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> dict[
     }
 
 
-def unpacked_runs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked_runs(ids: bytes, marks: bytes, counts: bytes, gaps: bytes, far: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, marks and starts of packed positions."""
-    counts = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
-    gap = np.frombuffer(row["gaps"], np.uint8).astype(np.int64)
-    gap[gap == 255] = np.frombuffer(row["far"], np.uint32)
+    counts = np.frombuffer(counts, np.uint32).astype(np.int64)
+    gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
+    gap[gap == 255] = np.frombuffer(far, np.uint32)
     upto = np.cumsum(gap)
     first = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
     starts = upto - np.repeat(upto[first] - gap[first], counts) if len(gap) else gap
-    return (np.repeat(np.frombuffer(row["ids"], np.int64), counts),
-            np.repeat(np.frombuffer(row["marks"], np.uint32).astype(np.int64), counts), starts)
+    return (np.repeat(np.frombuffer(ids, np.int64), counts),
+            np.repeat(np.frombuffer(marks, np.uint32).astype(np.int64), counts), starts)
 
 
 def later_ones(hashes: tuple[np.ndarray, ...], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,16 +213,24 @@ def window_blobs(texts: DataFrame, width: int, buckets: int, held: int = HELD_WO
 
 def _removed(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
     """Windows of a bucket that also start earlier, packed by text."""
-    sure, parts, hashes = [], [], []
-    for row in blobs.to_dict("records"):
-        if row["hashes"]:
-            parts.append(unpacked_runs(row))
-            hashes.append(np.frombuffer(row["hashes"], np.uint64))
+    columns = [blobs[c].tolist() for c in (*COLUMNS, "hashes")]
+    sure, n = [], 0
+    for row in zip(*columns):
+        if row[-1]:
+            n += len(row[-1]) // 8
         else:
-            sure.append(unpacked_runs(row))
-    if parts:
-        ids, marks, starts = (np.concatenate(x) for x in zip(*parts))
-        later, _ = later_ones((np.concatenate(hashes),), ids, starts)
+            sure.append(unpacked_runs(*row[:-1]))
+    passes = -(-n // PASS_WINDOWS)
+    for k in range(passes):  # the windows of a share of the hashes at once
+        parts = []
+        for row in zip(*columns):
+            if row[-1]:
+                hashes = np.frombuffer(row[-1], np.uint64)
+                use = (hashes >> np.uint64(30)) % np.uint64(passes) == k
+                parts.append((hashes[use], *(x[use] for x in unpacked_runs(*row[:-1]))))
+        hashes, ids, marks, starts = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        later, _ = later_ones((hashes,), ids, starts)
         sure.append((ids[later], marks[later], starts[later]))
     ids, marks, starts = (np.concatenate(x) for x in zip(*sure))
     order = np.lexsort((starts, marks, ids))
