@@ -5,7 +5,7 @@ there; of a hash found more than once only the earliest occurrence stays, all ot
 windows that overlap or touch merge into maximal intervals of words to remove.
 
 Volume: a window costs about ten bytes in the one shuffle of hashes. A task packs the windows of many texts by bucket (hashes
-as they are, starts as gaps, one id per text), and keeps only the earliest of equal windows of its own, so a window that is everywhere comes
+as they are, starts as gaps, ids as differences), and keeps only the earliest of equal windows of its own, so a window that is everywhere comes
 once per ``held`` words. Texts are read again at the end and meet their intervals by id.
 
 Hashes: words by BLAKE2b, the polynomial modulo the prime 2^61 - 1, so no text makes windows collide by its structure. Two
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.arrow_words import numbered, rows_of, slices, split_words
-from panelweave.llm.common import new_folder, packed, partitions_for, quoted, sent_along, written
+from panelweave.llm.arrow_words import slices
+from panelweave.llm.common import new_folder, partitions_for, quoted, sent_along, written
+from panelweave.session import bounded_join
 
 sent_along(__name__)
 
-SEPARATORS = r"[\x20\x09-\x0D]+"
 PRIME = (1 << 61) - 1
 BASES = (0x0F1BBCDCBFA53E0B % PRIME, 0x1CC5D03A5F1E9F2D % PRIME)
 NO_ID = (1 << 63) - 1
@@ -73,48 +74,64 @@ def window_hashes(values: np.ndarray, width: int, base: int) -> np.ndarray:
         part = reduced(times_mod(part[:n], pow(base, size // 2, PRIME)) + part[size // 2 : size // 2 + n])
 
 
-class WordHashes:
-    """Two hashes for every word; remembers a bounded number of words."""
+class WordHashes(dict):
+    """16 bytes of hash for every word asked for."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, bytes] = {}
+    def __missing__(self, word: bytes) -> bytes:
+        out = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return out
 
-    def of(self, names: list[bytes]) -> np.ndarray:
-        if len(self.known) > KEPT_HASHES:
-            self.known.clear()
-        known, digest = self.known, []
-        for name in names:
-            found = known.get(name)
-            if found is None:
-                found = known[name] = hashlib.blake2b(name, digest_size=16).digest()
-            digest.append(found)
-        return np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2) % np.uint64(PRIME)
 
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of other bytes than blanks and controls 9 to 13, which is what splitting of bytes takes as blank."""
+    return text.split()
 
-def packed_runs(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> dict[str, bytes]:
-    """Positions sorted by text and start: a row of (id, mark, count) a text, and gaps between starts, long ones apart."""
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers by byte position, so that small ones compress to little."""
+    return np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def packed_gaps(gap: np.ndarray) -> tuple[bytes, bytes]:
+    return np.minimum(gap, 255).astype(np.uint8).tobytes(), gap[gap >= 255].astype(np.uint32).tobytes()
+
+
+def unpacked_gaps(gaps: bytes, far: bytes) -> np.ndarray:
+    gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
+    gap[gap == 255] = np.frombuffer(far, np.uint32)
+    return gap
+
+
+def text_starts(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where a new text begins in positions sorted by text."""
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]) | (starts[1:] < starts[:-1])
-    first = np.flatnonzero(new)
+    new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
+    return np.flatnonzero(new)
+
+
+def packed_runs(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> dict[str, bytes]:
+    """Positions sorted by text and start: id, mark and count of every text, and gaps between starts, long ones apart."""
+    first = text_starts(ids, marks)
     gap = np.diff(starts, prepend=0)
     gap[first] = starts[first]
-    return {
-        "ids": ids[first].tobytes(), "marks": marks[first].astype(np.uint32).tobytes(),
-        "counts": np.diff(np.append(first, len(ids))).astype(np.uint32).tobytes(),
-        "gaps": np.minimum(gap, 255).astype(np.uint8).tobytes(), "far": gap[gap >= 255].astype(np.uint32).tobytes(),
-    }
+    gaps, far = packed_gaps(gap)
+    return {"ids": planes(np.diff(ids[first], prepend=0)), "marks": planes(marks[first]),
+            "counts": planes(np.diff(np.append(first, len(ids)))), "gaps": gaps, "far": far}
 
 
 def unpacked_runs(ids: bytes, marks: bytes, counts: bytes, gaps: bytes, far: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, marks and starts of packed positions."""
-    counts = np.frombuffer(counts, np.uint32).astype(np.int64)
-    gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
-    gap[gap == 255] = np.frombuffer(far, np.uint32)
+    n, gap = from_planes(counts), unpacked_gaps(gaps, far)
+    if not len(gap):
+        return gap, gap, gap
     upto = np.cumsum(gap)
-    first = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
-    starts = upto - np.repeat(upto[first] - gap[first], counts) if len(gap) else gap
-    return (np.repeat(np.frombuffer(ids, np.int64), counts),
-            np.repeat(np.frombuffer(marks, np.uint32).astype(np.int64), counts), starts)
+    first = np.concatenate(([0], np.cumsum(n)[:-1]))
+    return (np.repeat(np.cumsum(from_planes(ids)), n), np.repeat(from_planes(marks), n),
+            upto - np.repeat(upto[first] - gap[first], n))
 
 
 def later_ones(hashes: tuple[np.ndarray, ...], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +163,7 @@ def window_blobs(texts: DataFrame, width: int, buckets: int, held: int = HELD_WO
     """Windows of all rows of ``texts`` (id, mark, text), packed by bucket. Blobs without hashes hold windows to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, turn = WordHashes(), 0
+        hash_of, turn = WordHashes(), 0
         parts: list[tuple[np.ndarray, ...]] = []
 
         def blob(at: np.ndarray, bucket: int, arrays, hashes: np.ndarray | None) -> dict:
@@ -191,16 +208,20 @@ def window_blobs(texts: DataFrame, width: int, buckets: int, held: int = HELD_WO
 
         n = 0
         for part in slices(batches):
-            words, bounds = split_words(part.column("text"), SEPARATORS, lower=False)
-            names, own = numbered(words)
-            values = words_of.of(names)[own] if len(own) else np.zeros((0, 2), np.uint64)
-            text = rows_of(bounds)
-            count = max(len(own) - width + 1, 0)
+            texts_words = [words_of(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            lengths = np.fromiter(map(len, texts_words), np.int64, len(texts_words))
+            if len(hash_of) > KEPT_HASHES:
+                hash_of.clear()
+            digests = b"".join(map(hash_of.__getitem__, chain.from_iterable(texts_words)))
+            del texts_words
+            values = np.frombuffer(digests, np.uint64).reshape(-1, 2) % np.uint64(PRIME)
+            text, begins = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+            count = max(len(text) - width + 1, 0)
             whole = text[:count] == text[len(text) - count :]
             one, two = (window_hashes(np.ascontiguousarray(values[:, k]), width, BASES[k])[:count][whole] for k in (0, 1))
             text = text[:count][whole]
             ids, marks = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("id", "mark"))
-            parts.append((one, two, ids, marks, np.flatnonzero(whole) - bounds[text]))
+            parts.append((one, two, ids, marks, np.flatnonzero(whole) - begins[text]))
             n += len(text)
             if n >= held:
                 yield from told()
@@ -235,37 +256,49 @@ def _removed(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
     ids, marks, starts = (np.concatenate(x) for x in zip(*sure))
     order = np.lexsort((starts, marks, ids))
     ids, marks, starts = ids[order], marks[order], starts[order]
-    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(ids))
-    return pd.DataFrame({
-        "id": ids[first], "mark": marks[first],
-        "starts": [starts[a:b].astype(np.uint32).tobytes() for a, b in zip(first.tolist(), ends.tolist())],
-    })
+    first = text_starts(ids, marks)[: len(ids)]
+    gap = np.diff(starts, prepend=0)
+    gap[first] = starts[first]
+    lists = [packed_gaps(x) for x in np.split(gap, first[1:])] if len(ids) else []
+    return pd.DataFrame({"id": ids[first], "mark": marks[first], "gaps": pd.Series([x for x, _ in lists], dtype=object),
+                         "far": pd.Series([x for _, x in lists], dtype=object)})
 
 
-def removed_windows(texts: DataFrame, width: int, folder: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(id, mark, starts): for every text with something to remove, lists of window starts as packed 32-bit numbers."""
+def removed_windows(texts: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(id, mark, starts): for every text with something to remove, lists of window starts as packed gaps."""
+    spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_bytes))
-    blobs = window_blobs(texts, width, buckets)
-    parts = partitions_for(texts.sparkSession, buckets, 1)
-    found = blobs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_removed, "id long, mark long, starts binary")
-    return found.groupBy("id", "mark").agg(F.collect_list("starts").alias("starts"))
+    parts = partitions_for(spark, size, bucket_bytes)
+    blobs = window_blobs(texts, width, parts)
+    found = blobs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(
+        _removed, "id long, mark long, gaps binary, far binary")
+    return found.groupBy("id", "mark").agg(F.collect_list(F.struct("gaps", "far")).alias("starts"))
 
 
-def spans_of(lists: list[bytes], width: int) -> np.ndarray:
+def spans_of(lists: list[dict], width: int) -> np.ndarray:
     """Maximal intervals (from, to) of words covered by the windows that start where the lists say."""
-    starts = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64)
+    starts = np.unique(np.concatenate([np.cumsum(unpacked_gaps(x["gaps"], x["far"])) for x in lists]))
     new = np.flatnonzero(np.concatenate(([True], np.diff(starts) > width)))
     last = np.append(new[1:], len(starts)) - 1
     return np.stack([starts[new], starts[last] + width], axis=1)
 
 
+def without(words: list[bytes], spans: np.ndarray) -> list[bytes]:
+    left, at = [], 0
+    for a, b in spans.tolist():
+        left += words[at:a]
+        at = b
+    return left + words[at:]
+
+
 def cleaned(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, bucket_bytes: int = BUCKET_BYTES,
+    with_text: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed (long), kept (string), kept_sha256, and spans, an array of (start, end).
 
+    ``with_text=False`` leaves ``kept`` null, for callers that need the digest only.
+
     Words are runs of other characters than blanks and controls 9 to 13, unchanged. A word goes if it lies in a run of ``width``
     words of its text that also starts earlier: at a smaller id, or at an earlier place of the same id. Windows are judged on the
     input. ``kept`` holds the other words joined by one blank; spans are maximal, in words from 0, the end excluded.
@@ -275,35 +308,35 @@ def cleaned(
     results. An empty table gives an empty table; other columns are not looked at. No task holds more than the
     windows of a bucket (about ``bucket_bytes`` of text, and of hot windows one for each ``HELD_WORDS`` words) or one text.
     """
-    folder = new_folder(docs.sparkSession)
     ident = F.coalesce(quoted(id_col).cast("long"), F.lit(NO_ID))
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    texts = docs.select(ident.alias("id"), F.crc32(text).alias("mark"), text.alias("text"))
-    removed = removed_windows(texts, width, folder, bucket_bytes)
-    own = docs.select(ident.alias("id"), F.crc32(text).alias("mark"), text.alias("text"), quoted(id_col).isNull().alias("no_id"))
-    joined = own.join(removed, ["id", "mark"], "left").select("id", "no_id", "text", "starts")
+    texts = docs.select(ident.alias("id"), quoted(id_col).isNull().alias("no_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
+    again = texts.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", F.lit(True).alias("again"))
+    again = written(again, new_folder(docs.sparkSession), "again")
+    n_again = again.count()
+    mark = F.lit(0).cast("long")
+    if n_again:  # versions of one id are told apart by a hash of the text
+        texts = bounded_join(texts, again, ["id"], "left", rows=n_again)
+        mark = F.when(F.col("again"), F.xxhash64("text")).otherwise(mark)
+    texts = texts.select("id", mark.alias("mark"), "no_id", "text")
+    removed = removed_windows(texts.select("id", "mark", "text"), width, bucket_bytes)
+    joined = texts.join(removed, ["id", "mark"], "left").select("id", "no_id", "text", "starts")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words, bounds = split_words(part.column("text"), SEPARATORS, lower=False)
             out = []
-            for i, lists in enumerate(part.column("starts").to_pylist()):
-                own = words.slice(bounds[i], bounds[i + 1] - bounds[i])
+            for text, lists in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("starts").to_pylist()):
+                own = words_of(text)
                 spans = spans_of(lists, width) if lists else np.zeros((0, 2), np.int64)
-                if len(spans):
-                    edge = np.zeros(len(own) + 1, np.int8)
-                    edge[spans[:, 0]] += 1
-                    edge[spans[:, 1]] -= 1
-                    left = own.filter(pa.array(np.cumsum(edge[:-1]) == 0))
-                else:
-                    left = own
-                kept = " ".join(left.to_pylist())
-                out.append((len(own), len(own) - len(left), kept, hashlib.sha256(kept.encode()).hexdigest(),
-                            [{"start": int(a), "end": int(b)} for a, b in spans]))
+                left = without(own, spans)
+                kept = b" ".join(left)
+                out.append((len(own), len(own) - len(left), kept if with_text else None, hashlib.sha256(kept).hexdigest(),
+                            [{"start": a, "end": b} for a, b in spans.tolist()]))
             columns = list(zip(*out)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            arrays[2] = arrays[2].cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("no_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                [part.column("id"), part.column("no_id"), *arrays],
                 names=["id", "no_id", "n_words", "n_removed", "kept", "kept_sha256", "spans"],
             )
 
@@ -316,7 +349,8 @@ def cleaned(
 
 
 def windows_query(spark, folder: str) -> DataFrame:
-    return cleaned(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return cleaned(spark.read.parquet(f"{folder}/documents.parquet"), with_text=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 WINDOWS_SQL = r"""
