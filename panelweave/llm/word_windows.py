@@ -233,7 +233,7 @@ def window_blobs(texts: DataFrame, width: int, buckets: int, held: int = HELD_WO
 
 
 def _removed(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
-    """Windows of a bucket that also start earlier, packed by text."""
+    """Windows of a bucket that also start earlier."""
     columns = [blobs[c].tolist() for c in (*COLUMNS, "hashes")]
     sure, n = [], 0
     for row in zip(*columns):
@@ -254,30 +254,23 @@ def _removed(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
         later, _ = later_ones((hashes,), ids, starts)
         sure.append((ids[later], marks[later], starts[later]))
     ids, marks, starts = (np.concatenate(x) for x in zip(*sure))
-    order = np.lexsort((starts, marks, ids))
-    ids, marks, starts = ids[order], marks[order], starts[order]
-    first = text_starts(ids, marks)[: len(ids)]
-    gap = np.diff(starts, prepend=0)
-    gap[first] = starts[first]
-    lists = [packed_gaps(x) for x in np.split(gap, first[1:])] if len(ids) else []
-    return pd.DataFrame({"id": ids[first], "mark": marks[first], "gaps": pd.Series([x for x, _ in lists], dtype=object),
-                         "far": pd.Series([x for _, x in lists], dtype=object)})
+    return pd.DataFrame({"id": ids, "mark": marks, "start": starts})
 
 
 def removed_windows(texts: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(id, mark, starts): for every text with something to remove, lists of window starts as packed gaps."""
+    """(id, mark, starts): for every text with something to remove, the starts of the windows."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(spark, size, bucket_bytes)
     blobs = window_blobs(texts, width, parts)
     found = blobs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(
-        _removed, "id long, mark long, gaps binary, far binary")
-    return found.groupBy("id", "mark").agg(F.collect_list(F.struct("gaps", "far")).alias("starts"))
+        _removed, "id long, mark long, start int")
+    return found.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"))
 
 
-def spans_of(lists: list[dict], width: int) -> np.ndarray:
-    """Maximal intervals (from, to) of words covered by the windows that start where the lists say."""
-    starts = np.unique(np.concatenate([np.cumsum(unpacked_gaps(x["gaps"], x["far"])) for x in lists]))
+def spans_of(starts: list[int], width: int) -> np.ndarray:
+    """Maximal intervals (from, to) of words covered by the windows that start there."""
+    starts = np.unique(np.array(starts, np.int64))
     new = np.flatnonzero(np.concatenate(([True], np.diff(starts) > width)))
     last = np.append(new[1:], len(starts)) - 1
     return np.stack([starts[new], starts[last] + width], axis=1)
@@ -324,9 +317,9 @@ def cleaned(
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = []
-            for text, lists in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("starts").to_pylist()):
+            for text, starts in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("starts").to_pylist()):
                 own = words_of(text)
-                spans = spans_of(lists, width) if lists else np.zeros((0, 2), np.int64)
+                spans = spans_of(starts, width) if starts else np.zeros((0, 2), np.int64)
                 left = without(own, spans)
                 kept = b" ".join(left)
                 out.append((len(own), len(own) - len(left), kept if with_text else None, hashlib.sha256(kept).hexdigest(),
