@@ -3,8 +3,8 @@
 Words are counted with Spark. For the search a word is a vector of letter counts: one edit changes the squared distance of two
 vectors by at most two, so NumPy products of blocks of vectors give all candidates, and the edits of those are verified.
 
-Blocks: the alphabet is dealt into four sets of letters. One edit touches at most two letters, so two words one edit apart agree on
-the counts of at least two whole sets. A word therefore stands in six blocks, one for each two sets and its counts there, and a
+Blocks: the alphabet is dealt into five sets of letters. One edit touches at most two letters, so two words one edit apart agree on
+the counts of at least three whole sets. A word therefore stands in ten blocks, one for each three sets and its counts there, and a
 pair is told only in the first block it shares. Large blocks are cut into parts of bounded size that meet in pairs. So no task holds
 an unbounded block and no pair of near words is lost.
 """
@@ -32,11 +32,11 @@ sent_along(__name__)
 
 SEPARATORS = r"[^A-Za-z\x{00C0}-\x{00FF}]+"
 LETTERS = "etaoinshrdlcumwfgypbvkjxqz" + "".join(map(chr, range(0xC0, 0x100)))
-SETS = 4
+SETS = 5
 SET_OF = [i % SETS if (i // SETS) % 2 == 0 else SETS - 1 - i % SETS for i in range(len(LETTERS))]
-TWO_SETS = list(combinations(range(SETS), 2))
+AGREEING = list(combinations(range(SETS), SETS - 2))
 BLOCK_ROWS = 3000
-ROWS_AT_ONCE = 2000
+ROWS_AT_ONCE = 1000
 HELD_WORDS = 400_000
 
 
@@ -106,17 +106,17 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def _block_keys(words: DataFrame) -> DataFrame:
-    """(block, word, n): six rows a word; the block names two sets of letters and holds a hash of the counts there."""
+    """(block, word, n): ten rows a word; the block names three sets of letters and holds a hash of the counts there."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = np.array(SET_OF)
         mixing = np.random.default_rng(5).integers(1, 1 << 62, len(LETTERS), dtype=np.int64) | 1
         for batch in batches:
             counts = letter_counts(batch.column("word").to_pylist())
-            for k, two in enumerate(TWO_SETS):
-                use = np.isin(sets, two)
+            for k, sets_kept in enumerate(AGREEING):
+                use = np.isin(sets, sets_kept)
                 with np.errstate(over="ignore"):
-                    key = (counts[:, use] * mixing[use]).sum(axis=1) // len(TWO_SETS) * len(TWO_SETS) + k
+                    key = (counts[:, use] * mixing[use]).sum(axis=1) // len(AGREEING) * len(AGREEING) + k
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("word"), batch.column("n")], names=["block", "word", "n"])
 
     return words.mapInArrow(keys, "block long, word string, n long")
@@ -141,23 +141,24 @@ def near_pairs(words: list[str], group: np.ndarray, block: np.ndarray, part: np.
     order = np.argsort(size, kind="stable")
     words, size = [words[i] for i in order.tolist()], size[order]
     group, block, part, within = group[order], block[order], part[order], within[order]
-    counts = letter_counts(words).astype(np.float32)
-    norms = (counts * counts).sum(axis=1)
+    counts = letter_counts(words)
+    half = (counts * counts).sum(axis=1, dtype=np.float32)[:, None] / 2
+    used, one = counts[:, counts.any(axis=0)].astype(np.float32), np.ones_like(half)
+    left, right = np.concatenate([used, -half, one], axis=1), np.concatenate([used, one, -half], axis=1).T.copy()
     starts = {int(s): (int(np.searchsorted(size, s)), int(np.searchsorted(size, s, "right"))) for s in np.unique(size)}
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for s, (a0, a1) in starts.items():
         for b0, b1 in (starts[t] for t in (s, s + 1) if t in starts):
             for at in range(a0, a1, 1024):
                 end = min(at + 1024, a1)
-                squared = norms[at:end, None] + norms[None, b0:b1] - 2.0 * (counts[at:end] @ counts[b0:b1].T)
-                i, j = np.nonzero(squared < 2.5)
+                i, j = np.nonzero(left[at:end] @ right[:, b0:b1] > -1.25)  # minus half the squared distance, at most two
                 i, j = i + at, j + b0
                 use = (i < j) & (group[i] == group[j]) & (within[i] | (part[i] != part[j]))
                 found.append((i[use], j[use]))
     a, b = (np.concatenate(x) for x in zip(*found))
-    sets, own = np.array(SET_OF), block[a] % len(TWO_SETS)
+    sets, own = np.array(SET_OF), block[a] % len(AGREEING)
     same = np.stack([(counts[a][:, sets == k] == counts[b][:, sets == k]).all(axis=1) for k in range(SETS)])
-    agree = np.stack([same[list(two)].all(axis=0) for two in TWO_SETS])  # the block itself is only a hash of the counts
+    agree = np.stack([same[list(kept)].all(axis=0) for kept in AGREEING])  # the block itself is only a hash of the counts
     here = agree.any(axis=0) & (agree.argmax(axis=0) == own)
     pairs = zip(a[here].tolist(), b[here].tolist())
     return [(int(order[i]), int(order[j])) for i, j in pairs if one_edit(words[i], words[j])]
