@@ -95,14 +95,23 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return flat.reshape(len(words), len(LETTERS))
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one inserted, deleted or replaced code point turns one word into the other."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+def one_edit(words: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of positions, the word at ``a`` no longer than that at ``b``, whether exactly one inserted, deleted or replaced
+    code point turns one into the other."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    most = int(sizes.max(initial=0)) + 1
+    codes = np.frombuffer("".join(w.ljust(most, "\0") for w in words).encode("utf-32-le"), np.uint32)
+    codes = codes.astype(np.uint16).reshape(len(words), most)  # letters end at U+00FF
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 100_000):
+        i, j = a[at : at + 100_000], b[at : at + 100_000]
+        x, y = codes[i], codes[j]
+        differs = x != y
+        first = differs.argmax(axis=1)
+        moved = (x[:, :-1] != y[:, 1:]) & (np.arange(most - 1) >= first[:, None])
+        longer = sizes[j] - sizes[i]
+        out[at : at + 100_000] = np.where(longer == 0, differs.sum(axis=1) == 1, (longer == 1) & ~moved.any(axis=1))
+    return out
 
 
 def _block_keys(words: DataFrame) -> DataFrame:
@@ -160,8 +169,9 @@ def near_pairs(words: list[str], group: np.ndarray, block: np.ndarray, part: np.
     same = np.stack([(counts[a][:, sets == k] == counts[b][:, sets == k]).all(axis=1) for k in range(SETS)])
     agree = np.stack([same[list(kept)].all(axis=0) for kept in AGREEING])  # the block itself is only a hash of the counts
     here = agree.any(axis=0) & (agree.argmax(axis=0) == own)
-    pairs = zip(a[here].tolist(), b[here].tolist())
-    return [(int(order[i]), int(order[j])) for i, j in pairs if one_edit(words[i], words[j])]
+    a, b = a[here], b[here]
+    near = one_edit(words, a, b)
+    return list(zip(order[a[near]].tolist(), order[b[near]].tolist()))
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,10 +194,13 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         rows = pd.concat(held, ignore_index=True)
         key = rows[["block", "p", "q"]].to_numpy()
-        open_from = int((key != key[-1]).any(axis=1).nonzero()[0][-1]) + 1 if (key != key[-1]).any() else 0
-        if open_from:
-            yield told(rows.iloc[:open_from])
-        held = [rows.iloc[open_from:]]
+        begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+        at = 0
+        while begins[-1] - at >= ROWS_AT_ONCE:  # whole groups, the last one stays open
+            end = int(begins[np.searchsorted(begins, at + ROWS_AT_ONCE)])
+            yield told(rows.iloc[at:end])
+            at = end
+        held = [rows.iloc[at:]]
     if held and sum(map(len, held)):
         yield told(pd.concat(held, ignore_index=True))
 
