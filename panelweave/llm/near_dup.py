@@ -235,6 +235,40 @@ def _block_links(width: int, percent: int, k: int):
     return run
 
 
+def _across(open_rows: DataFrame, pairs: DataFrame, small_list: int, folder: str) -> DataFrame:
+    """Pairs across components within lists of at most ``small_list`` members."""
+    short = open_rows.where(F.col("members") <= small_list)
+    left, right = short.alias("l"), short.alias("r")
+    across = left.join(right, F.col("l.key") == F.col("r.key")).where(
+        (F.col("l.id") > F.col("r.id")) & (F.col("l.comp") != F.col("r.comp"))
+    ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return written(across.distinct().join(pairs, ["a", "b"], "left_anti"), folder, "across")
+
+
+def _within(long: DataFrame, texts: DataFrame, block_rows: int, block_bytes: int, told, folder: str) -> DataFrame:
+    """Links between members of families of long lists, which are compared in blocks by ``told``."""
+    tops = long.groupBy("key").agg(F.min("id").alias("top"))
+    joined = components(
+        long.join(tops, "key").where("id <> top").select(F.col("id").alias("a"), F.col("top").alias("b")), folder, "family"
+    )
+    members = joined.select(F.col("node").alias("id"), F.col("component").alias("family")).unionByName(
+        joined.select(F.col("component").alias("id"), F.col("component").alias("family")).distinct()
+    )
+    members = members.join(long.select("id", "comp").distinct(), "id")
+    with_text = written(_semi(texts, members.select("id"), "id").join(members, "id"), folder, "members")
+    counted = with_text.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks")
+    )
+    placed = with_text.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.select(
+        "family", "id", "comp", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select(
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "text", "block"
+    )
+    within = met.groupBy("family", "p", "q").applyInPandas(told, "a long, b long")
+    return written(within, folder, "within")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -274,46 +308,26 @@ def near_groups(
     pairs = written(stars.distinct(), folder, "stars")
     texts = texts.where("id IS NOT NULL")
     links = _confirmed(pairs, reps, texts, width, percent, k, folder, "first")
-    first = components(links, folder, "first-comp")
 
-    # Lists that still span several components.
-    of_node = first.withColumnsRenamed({"node": "id", "component": "comp"})
+    # Lists that still seem to span several components: nodes are known by the smallest one two links away.
+    one_step = links.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("comp"))
+    onward = one_step.toDF("comp", "further")
+    of_node = one_step.join(onward, "comp", "left").select("id", F.coalesce("further", "comp").alias("comp"))
     known = lists.join(of_node, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     spans = known.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")
     ).where("low <> high").select("key", "members")
     open_rows = written(known.join(spans, "key").select("key", "id", "comp", "members"), folder, "open")
-    short = open_rows.where(F.col("members") <= small_list)
-    left, right = short.alias("l"), short.alias("r")
-    across = left.join(right, F.col("l.key") == F.col("r.key")).where(
-        (F.col("l.id") > F.col("r.id")) & (F.col("l.comp") != F.col("r.comp"))
-    ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    across = written(across.distinct().join(pairs, ["a", "b"], "left_anti"), folder, "across")
-    more = _confirmed(across, reps, texts, width, percent, k, folder, "second")
-
-    long = open_rows.where(F.col("members") > small_list)
-    tops = long.groupBy("key").agg(F.min("id").alias("top"))
-    joined = components(
-        long.join(tops, "key").where("id <> top").select(F.col("id").alias("a"), F.col("top").alias("b")), folder, "family"
-    )
-    members = joined.select(F.col("node").alias("id"), F.col("component").alias("family")).unionByName(
-        joined.select(F.col("component").alias("id"), F.col("component").alias("family")).distinct()
-    )
-    members = members.join(long.select("id", "comp").distinct(), "id")
-    with_text = written(_semi(texts, members.select("id"), "id").join(members, "id"), folder, "members")
-    counted = with_text.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks")
-    )
-    placed = with_text.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = placed.select(
-        "family", "id", "comp", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "text", "block"
-    )
-    within = met.groupBy("family", "p", "q").applyInPandas(_block_links(width, percent, k), "a long, b long")
-    within = written(within, folder, "within")
-
-    last = components(links.unionByName(more).unionByName(within), folder, "last-comp")
+    found = open_rows.agg(F.count_if(F.col("members") <= small_list), F.count_if(F.col("members") > small_list)).first()
+    every_link = links
+    if found[0]:
+        across = _across(open_rows, pairs, small_list, folder)
+        every_link = every_link.unionByName(_confirmed(across, reps, texts, width, percent, k, folder, "second"))
+    if found[1]:
+        long = open_rows.where(F.col("members") > small_list)
+        every_link = every_link.unionByName(_within(long, texts, block_rows, block_bytes, _block_links(width, percent, k), folder))
+
+    last = components(every_link, folder, "components")
     class_of = reps.select("d1", "d2", "n", F.col("id").alias("rep")).join(
         last.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left"
     ).select("d1", "d2", "n", F.coalesce("comp", "rep").alias("comp"))

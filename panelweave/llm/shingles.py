@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -66,9 +68,27 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
 
 
+class WordDigests(dict):
+    """Eight bytes of BLAKE2b for every word asked for: no text makes words collide by its structure."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self[word] = hashlib.blake2b(word, digest_size=8).digest()
+        return out
+
+
+def word_digests(texts: list[bytes], most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of all texts, A-Z lower-cased, and the bounds; a worker remembers about ``most`` words."""
+    known = worker_store().setdefault("word_digests", WordDigests())
+    if len(known) > most:
+        known.clear()
+    words = [t.lower().split() for t in texts]  # of bytes: ASCII letters and blanks only
+    bounds = np.cumsum([0, *map(len, words)])
+    return np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(words))), np.uint64), bounds
+
+
 def shingle_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles; a text with fewer words is one shingle."""
-    words, bounds = word_hashes(texts)
+    words, bounds = word_digests(texts)
     factors = [int(x) | 1 for x in mixed(np.arange(1, width + 1, dtype=np.uint64))]
     n = len(words)
     full = np.zeros(max(n - width + 1, 0), np.uint64)
