@@ -44,7 +44,7 @@ class Layout:
     def parts(self) -> list[tuple[str, int]]:
         f, P = self.full, self.periods
         count = [("xx", f * (f + 1) // 2), ("xz", f), ("ll", 1), ("ld", 1)]
-        return count + ([("zxx", P * (P + 1) // 2), ("zxz", P), ("zld", 1)] if self.zero else [])
+        return count + ([("zxx", P * (P + 1) // 2), ("zxz", P), ("zld", 1), ("cross", 3 * P)] if self.zero else [])
 
     def slots(self, length: int) -> int:
         return -(-length // self.width)
@@ -102,8 +102,12 @@ def _sum(code: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
     return np.bincount(code, weights=weights, minlength=n)
 
 
-def make_row_sums(layout: Layout, units: list[str], proportions: bool):
-    """Rows with predictors to sums per unit and per key."""
+def make_row_sums(layout: Layout, units: list[str], proportions: bool, joint: bool = False):
+    """Rows with predictors to sums per unit and per key.
+
+    ``joint``: count part and zero regression are solved together, so the sums hold their cross information (by period: with
+    levels, slopes and log dispersion).
+    """
     P, p, f = layout.periods, layout.size, layout.full
     upper = {pair: i for i, pair in enumerate(zip(*np.triu_indices(f)))}
 
@@ -151,8 +155,15 @@ def make_row_sums(layout: Layout, units: list[str], proportions: bool):
             pieces = [xx, xz, _sum(kid_code, n, t["ll"])[:, None], np.zeros((n, 1))]
             if layout.zero:
                 i, j = np.triu_indices(P)
-                zw = by_period(t["zi"])
-                pieces += [np.where(i == j, zw[:, i], 0.0), by_period(zwz), np.zeros((n, 1))]
+                zw, both = by_period(t["zi"]), np.zeros((n, 3 * P))
+                if joint:
+                    zwz = zwz + t["hr"] * eta
+                    both = np.concatenate([by_period(t["hr"]), by_period(t["hr"] * x), by_period(t["hrk"])], axis=1)
+                    xz[:, :P] += by_period(t["hr"] * c["ez"])
+                    if p > P:
+                        xz[:, P:p] += by_period(t["hr"] * c["ez"] * x)
+                    xz[:, p + 1] += _sum(kid_code, n, t["hrk"] * c["ez"])
+                pieces += [np.where(i == j, zw[:, i], 0.0), by_period(zwz), np.zeros((n, 1)), both]
             yield _key_frame(layout, np.asarray(kids), np.concatenate(pieces, axis=1), units)
             if not units:
                 continue

@@ -389,7 +389,7 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
         began = time.time()
         rounds += 1
         linked = linked_rows(rows, coef, state, hot, spec, n_keys, units)
-        sums = summed(linked, make_row_sums(layout, units, spec.trials is not None), layout, units)
+        sums = summed(linked, make_row_sums(layout, units, spec.trials is not None, not spec.levels), layout, units)
         free = []
         if loose is not None:  # rows without a unit: no effect on the draws path, no part in the other one
             alone = linked_rows(loose, coef, None, None, spec, n_keys, []).filter("NOT restricted")

@@ -120,7 +120,7 @@ def count_scores(y, eta, ez, mu, mass, log_zero, kmu, form, zero, zpar) -> dict[
 
 def count_terms(y, lgy, eta, ez, form, zero, logk, zpar) -> dict[str, np.ndarray]:
     """Scores, information and cross information (hz: predictor and zero parameter, hk: predictor and log
-    dispersion, hzk: zero parameter and log dispersion) per row."""
+    dispersion, hzk: zero parameter and log dispersion; hr and hrk: the same of a zero regression's own predictor) per row."""
     mu = np.exp(eta)
     mass, log_zero, kmu = count_logs(y, lgy, eta, mu, form, logk)
     v = count_scores(y, eta, ez, mu, mass, log_zero, kmu, form, zero, zpar)
@@ -138,6 +138,7 @@ def count_terms(y, lgy, eta, ez, form, zero, logk, zpar) -> dict[str, np.ndarray
         "zi": np.where(zero >= 2, p0 * zs0 * zs0 + q * occ * t * t, 0.0),
         "hz": np.where(scalar_zero, p0 * s0 * zs0 + q * t * (tie * occ - f0 * dz), 0.0),
         "hk": np.zeros_like(mu), "hzk": np.zeros_like(mu),
+        "hr": np.where(zero == 4, p0 * s0 * zs0 - q * t * f0 * dz, 0.0), "hrk": np.zeros_like(mu),
         "ll": observed_log(mass, log_zero, y, q, zero),
     }
     out["ll_lo"], out["ll_hi"] = out["ll"].copy(), out["ll"].copy()
@@ -152,7 +153,9 @@ def count_terms(y, lgy, eta, ez, form, zero, logk, zpar) -> dict[str, np.ndarray
             moved = count_scores(yy, et, ezz, m, mass_, log_zero_, kmu_, fo, ze, zp)
             ends.append((moved["s"], moved["zs"]))
         out["hk"][at] = -(ends[1][0] - ends[0][0]) / (2 * LOGK_STEP)
-        out["hzk"][at] = np.where(scalar_zero[at], -(ends[1][1] - ends[0][1]) / (2 * LOGK_STEP), 0.0)
+        zero_move = -(ends[1][1] - ends[0][1]) / (2 * LOGK_STEP)
+        out["hzk"][at] = np.where(scalar_zero[at], zero_move, 0.0)
+        out["hrk"][at] = np.where(ze == 4, zero_move, 0.0)
     return out
 
 
@@ -166,7 +169,7 @@ def proportion_terms(y, n, lgy, eta, form, logk) -> dict[str, np.ndarray]:
     plain = y * np.log(p) + (n - y) * np.log1p(-p) + lgy
     none = np.zeros_like(p)
     out = {
-        "w": base.copy(), "s": y - n * p, "zs": none, "zi": none, "hz": none, "hk": none.copy(), "hzk": none,
+        "w": base.copy(), "s": y - n * p, "zs": none, "zi": none, "hz": none, "hk": none.copy(), "hzk": none, "hr": none, "hrk": none,
         "ll": plain, "ll_lo": plain.copy(), "ll_hi": plain.copy(),
     }
     at = form != 0

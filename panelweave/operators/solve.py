@@ -81,6 +81,27 @@ def joint_step(xx, rhs, p, active, settled_below, at_low, at_high):
     return beta, cov + share @ np.swapaxes(share, 1, 2), change, left
 
 
+def with_zero_part(xx, xz, zxx, zxz, cross, p: int, regression: np.ndarray):
+    """The system of count coefficients, zero coefficients and scalars of keys with a zero regression.
+
+    ``cross`` holds by period the cross information of the zero coefficient with the level, the slope and the log dispersion.
+    Other keys have no zero coefficients.
+    """
+    n, P = zxz.shape
+    size = p + P
+    order = [*range(p), *range(size, size + 2)]
+    both, right = np.zeros((n, size + 2, size + 2)), np.zeros((n, size + 2))
+    both[np.ix_(range(n), order, order)], right[:, order] = xx, xz
+    own = regression[:, None].astype(float)
+    both[:, p:size, p:size], right[:, p:size] = zxx * own[:, :, None], zxz * own
+    at = np.arange(P)
+    columns = [at] + ([P + at] if p > P else []) + [np.full(P, size + 1)]
+    parts = [cross[:, :P]] + ([cross[:, P : 2 * P]] if p > P else []) + [cross[:, 2 * P :]]
+    for column, values in zip(columns, parts):
+        both[:, p + at, column] = both[:, column, p + at] = values * own
+    return both, right
+
+
 def with_columns(function, columns: list[str]):
     """Run a function on each batch and keep the named columns."""
 
@@ -115,7 +136,15 @@ def make_step(layout: Layout, prior: tuple[np.ndarray, np.ndarray] | None, level
         scalars = pdf[["zpar", "logk"]].to_numpy()
         low, high = np.array([ZPAR_RANGE, LOGK_RANGE]).T
         settled = 1e-7 * (1.0 + np.abs(ll))
-        new, cov, change, gradient = joint_step(xx, xz, p, active, settled, scalars <= low, scalars >= high)
+        regression, P = zero == 4, layout.periods
+        together = layout.zero and not levels
+        if together:
+            both, right = with_zero_part(xx, xz, unpack(part["zxx"], P), part["zxz"], part["cross"], p, regression)
+            new, cov, change, gradient = joint_step(both, right, p + P, active, settled, scalars <= low, scalars >= high)
+            znew, zcov = new[:, p:], cov[:, p:, p:]
+            new, cov = new[:, :p], cov[:, :p, :p]
+        else:
+            new, cov, change, gradient = joint_step(xx, xz, p, active, settled, scalars <= low, scalars >= high)
         old = np.stack(pdf["beta"]).astype(float)
         beta = move(old, new)
         delta = np.max(np.abs(np.nan_to_num(beta - old)), axis=1)
@@ -124,13 +153,14 @@ def make_step(layout: Layout, prior: tuple[np.ndarray, np.ndarray] | None, level
         logdet = np.where(pdf["restricted"], np.linalg.slogdet(filled)[1], 0.0)
         ld = part["ld"][:, 0]
         if layout.zero:
-            regression = zero == 4
-            znew, zcov = solve_scaled(unpack(part["zxx"], layout.periods), part["zxz"])
+            if not together:
+                znew, zcov = solve_scaled(unpack(part["zxx"], P), part["zxz"])
             zold = np.stack(pdf["zbeta"]).astype(float)
             zbeta = np.clip(move(zold, znew), *ZPAR_RANGE)
             zdelta = np.max(np.abs(np.nan_to_num(zbeta - zold)), axis=1)
             delta = np.where(regression, np.maximum(delta, zdelta), delta)
             ld = ld + np.where(regression, part["zld"][:, 0], 0.0)
+            zbeta = np.where(regression[:, None], zbeta, zold)
             pdf["zbeta"], pdf["zcov"] = list(zbeta), [m.ravel() for m in zcov]
         scalars_new = np.where(active > 0, np.clip(scalars + change, low, high), scalars)
         # movement along a direction that no longer changes the likelihood does not count
@@ -147,7 +177,7 @@ def make_step(layout: Layout, prior: tuple[np.ndarray, np.ndarray] | None, level
         if levels:
             return pdf
         pdf.loc[(pdf["status"] == "running") & (pdf["delta"] < tolerance), "status"] = "ok"
-        return accelerate(pdf)
+        return pdf  # both parts have moved together, which needs no extrapolation
 
     return step
 

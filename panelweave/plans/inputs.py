@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from panelweave.operators import panel as P
 from panelweave.operators.design import with_scaled_covariate
+from panelweave.session import Ledger
 from panelweave.sources.tables import read_table
 
 PERIODS = ("P1", "P2", "P3", "P4")
@@ -175,8 +176,12 @@ def panel_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_input(spark: SparkSession, folder: str) -> DataFrame:
-    """Long panel without missing counts and without sites where the entity never occurs."""
-    return P.drop_zero_units(panel_long(spark, folder).filter(F.col("value").isNotNull()))
+    """Long panel without missing counts and without sites where the entity never occurs.
+
+    The long panel is written once, as it is read for the sums per site and again for the rows.
+    """
+    long = panel_long(spark, folder).filter(F.col("value").isNotNull())
+    return P.drop_zero_units(Ledger(spark).keep(long, "panel"))
 
 
 def model_panel(spark: SparkSession, folder: str) -> DataFrame:
