@@ -156,6 +156,8 @@ def make_step(layout: Layout, prior: tuple[np.ndarray, np.ndarray] | None, level
             if not together:
                 znew, zcov = solve_scaled(unpack(part["zxx"], P), part["zxz"])
             zold = np.stack(pdf["zbeta"]).astype(float)
+            if together:  # a coefficient at its limit, of which the rows say nothing more, stays there
+                znew = np.where(np.isnan(znew), zold, znew)
             zbeta = np.clip(move(zold, znew), *ZPAR_RANGE)
             zdelta = np.max(np.abs(np.nan_to_num(zbeta - zold)), axis=1)
             delta = np.where(regression, np.maximum(delta, zdelta), delta)
