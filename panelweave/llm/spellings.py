@@ -95,6 +95,15 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return flat.reshape(len(words), len(LETTERS))
 
 
+def set_marks(counts: np.ndarray) -> np.ndarray:
+    """A number for each set of letters (rows) and word (columns): its counts weighted by 1, 2, 3 and so on.
+
+    Words one edit apart differ by one letter, or by one letter for another, so their marks of a set are equal only if its counts are.
+    """
+    sets = np.array(SET_OF)
+    return np.stack([counts[:, sets == k] @ np.arange(1, (sets == k).sum() + 1) for k in range(SETS)])
+
+
 def one_edit(words: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For pairs of positions, the word at ``a`` no longer than that at ``b``, whether exactly one inserted, deleted or replaced
     code point turns one into the other."""
@@ -165,8 +174,9 @@ def near_pairs(words: list[str], group: np.ndarray, block: np.ndarray, part: np.
                 use = (i < j) & (group[i] == group[j]) & (within[i] | (part[i] != part[j]))
                 found.append((i[use], j[use]))
     a, b = (np.concatenate(x) for x in zip(*found))
-    sets, own = np.array(SET_OF), block[a] % len(AGREEING)
-    same = np.stack([(counts[a][:, sets == k] == counts[b][:, sets == k]).all(axis=1) for k in range(SETS)])
+    own = block[a] % len(AGREEING)
+    marks = set_marks(counts)
+    same = marks[:, a] == marks[:, b]
     agree = np.stack([same[list(kept)].all(axis=0) for kept in AGREEING])  # the block itself is only a hash of the counts
     here = agree.any(axis=0) & (agree.argmax(axis=0) == own)
     a, b = a[here], b[here]
