@@ -6,70 +6,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.special import lgamma
-from panelweave.operators.effects import LABELS, known, posterior_draws
-from panelweave.operators.fit import Fit
+from panelweave.operators.effects import LABELS, known, posterior_draws, usable
+from panelweave.operators.fit import ETA_LIMIT, Fit, unit_effects
+from panelweave.operators.laws import chances
 from panelweave.operators.levels import level_index
+from panelweave.operators.likelihood import ZEROS
 from panelweave.operators.panel import number_rows
 from panelweave.session import bounded_join
 
 GOLDEN = 0.6180339887498949
 
 
-def poisson_mass(y: Column, mu: Column) -> Column:
-    return F.exp(y * F.ln(mu) - mu - lgamma(y + 1.0))
+def fitted_rows(panel: DataFrame, fit: Fit, cand: int | DataFrame = 1) -> DataFrame:
+    """Panel rows with ``fitted`` (the mean, or the share of hits), ``variance`` (of the count or the hits) and ``law``.
 
-
-def poisson_below(y: Column, mu: Column) -> Column:
-    """Probability of a Poisson count below y.
-
-    Sums the masses by their ratio, starting twelve standard deviations below the mean (what lies below that
-    is under 1e-30), so large means cost the width of the distribution and not the count itself.
-    """
-    start = F.greatest(F.floor(mu - 12.0 * F.sqrt(mu) - 12.0), F.lit(0)).cast("long")
-    steps = F.when(y.cast("long") > start, F.sequence(start, y.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-    first = F.struct(F.lit(0.0).alias("total"), poisson_mass(start.cast("double"), mu).alias("mass"))
-
-    def add(acc: Column, j: Column) -> Column:
-        following = acc["mass"] * mu / (j.cast("double") + 1.0)
-        return F.struct((acc["total"] + acc["mass"]).alias("total"), following.alias("mass"))
-
-    return F.least(F.aggregate(steps, first, add)["total"], F.lit(1.0))
-
-
-def fitted_rows(panel: DataFrame, fit: Fit, cand: int = 1) -> DataFrame:
-    """Panel rows with the fitted mean of a period-only Poisson fit of one candidate.
-
-    Other fits have no residual distribution here yet and are refused.
+    ``cand`` is the number of a candidate, or a table with the keys and the ``cand`` of each. Rows of keys without a usable fit drop
+    out. Covariate and unit effects are in the mean; a row that misses a unit name, or whose unit took no part, has none. A period
+    that has no estimate, as nothing or everything was hit, has all its mass at that end.
     """
     spec = fit.spec
-    of = fit.candidates[cand - 1]
-    if spec.covariate or spec.levels or spec.trials or of.zi or of.variance != "poisson":
-        raise ValueError("residuals are defined for period-only Poisson fits")
-    chosen = fit.coef.filter((F.col("cand") == cand) & F.col("beta").isNotNull())
-    cells = chosen.select(*spec.keys, "form", "logk", F.posexplode("beta").alias("d", "b"))
-    means = cells.select(*spec.keys, "form", "logk", "d", F.exp(known(F.col("b"))).alias("fitted"))
-    rows = panel.withColumn("d", level_index(spec.period, spec.periods))
-    joined = bounded_join(rows, means, [*spec.keys, "d"], rows=fit.n_keys * spec.n_periods)
-    return joined.withColumn("fitted", F.coalesce("fitted", F.lit(0.0))).drop("d")
+    P, keys = spec.n_periods, list(spec.keys)
+    names = ["mod", "name", "zi"]
+    table = usable(fit)
+    if isinstance(cand, int):
+        table = table.filter(F.col("cand") == cand)
+    else:
+        table = table.join(cand.select(*keys, "cand"), [*keys, "cand"])
+    table = table.select(*keys, *names, "form", "zero", "logk", "zpar", "beta", "zbeta")
+    of = F.col("trials") if spec.trials else F.col("rows")
+    ends = fit.cells.select(*keys, F.col("d").alias("__d"), (F.col("total") / of).alias("__end"))
+    place = level_index(spec.period, spec.periods) if spec.period else F.lit(0)
+    rows = bounded_join(panel.withColumn("__d", place), ends, [*keys, "__d"], rows=fit.n_keys * P)
+    inner = table.select(*keys, F.struct(*[c for c in table.columns if c not in keys]).alias("__fit"))
+    rows = bounded_join(rows, inner, keys, rows=fit.n_keys)
+    effect, zero_effect = F.lit(0.0), F.lit(0.0)
+    if spec.levels:
+        units = unit_effects(fit).select(
+            *keys, *spec.levels, F.struct(*names).alias("__of"), F.struct("effect", "zero_effect").alias("__unit"))
+        if isinstance(cand, int):
+            of_one = fit.candidates[cand - 1]
+            units = units.filter((F.col("__of.mod") == of_one.mod) & (F.col("__of.name") == of_one.name) & (F.col("__of.zi") == of_one.zi))
+        rows = rows.withColumn("__of", F.struct(*[f"__fit.{n}" for n in names]))
+        rows = rows.join(units, [*keys, *spec.levels, "__of"], "left")
+        effect, zero_effect = (F.coalesce(f"__unit.{n}", F.lit(0.0)) for n in ("effect", "zero_effect"))
+    d = F.col("__d")
+    eta = known(F.col("__fit.beta")[d]) + effect
+    if spec.covariate:
+        eta = eta + F.nanvl(F.col("__fit.beta")[d + P], F.lit(0.0)) * F.col(spec.covariate)
+    ez = F.nanvl(F.col("__fit.zbeta")[d], F.lit(0.0)) + zero_effect
+    eta, ez = (F.greatest(F.least(v, F.lit(ETA_LIMIT)), F.lit(-ETA_LIMIT)) for v in (eta, ez))
+    alive = ~F.isnan(F.col("__fit.beta")[d])
+    mean = 1.0 / (1.0 + F.exp(-eta)) if spec.trials else F.exp(eta)
+    rows = rows.withColumn("__mu", F.when(alive, mean).otherwise(F.col("__end")))
+    mu, zero, zpar = F.col("__mu"), F.col("__fit.zero"), F.col("__fit.zpar")
+    q = (
+        F.when((zero == ZEROS["none"]) | (mu <= 0), 1.0)
+        .when(zero == ZEROS["tied"], F.exp(-F.exp(zpar) * F.log1p(1.0 / mu)))
+        .when(zero == ZEROS["regression"], 1.0 / (1.0 + F.exp(ez)))
+        .otherwise(1.0 / (1.0 + F.exp(zpar)))
+    )
+    n = F.col(spec.trials).cast("double") if spec.trials else F.lit(None).cast("double")
+    law = F.struct(n.alias("n"), mu.alias("mu"), q.alias("q"), F.col("__fit.form").alias("form"), zero.alias("zero"),
+                   F.col("__fit.logk").alias("logk"))
+    rows = rows.withColumn("law", law)
+    fitted, variance = moments("law")
+    return rows.withColumns({"fitted": fitted, "variance": variance}).drop("__d", "__end", "__fit", "__of", "__unit", "__mu")
+
+
+def moments(law: str) -> tuple[Column, Column]:
+    """Mean (the share of hits for proportions) and variance of a law, its zero model included."""
+    n, mu, q, form, zero, logk = (F.col(f"{law}.{name}") for name in ("n", "mu", "q", "form", "zero", "logk"))
+    k = F.exp(logk)
+    plain = F.when(form == 1, mu * (1 + k)).when(form == 2, mu * (1 + k * mu)).otherwise(mu)
+    log_zero = F.when(form == 1, -mu * F.log1p(k) / k).when(form == 2, -F.log1p(k * mu) / k).otherwise(-mu)
+    positive = F.when((zero == ZEROS["hurdle"]) & (mu > 0), q / -F.expm1(log_zero)).otherwise(q)
+    mean = positive * mu
+    counts = positive * (plain + mu * mu) - mean * mean
+    inflated = F.when(form == 2, 1.0 + (n - 1.0) * k / (1.0 + k)).otherwise(1.0)
+    hits = n * mu * (1.0 - mu) * inflated
+    return F.when(n.isNull(), mean).otherwise(mu), F.when(n.isNull(), counts).otherwise(hits)
 
 
 def pit_residuals(rows: DataFrame, order: list[str], response: str = "value") -> DataFrame:
     """Residual on (0, 1): probability of a smaller count plus a fixed fraction of the mass at the count.
 
-    The fraction comes from the observation number, so no counts are simulated. Equal (mean, count) pairs
-    share one evaluation.
+    ``rows`` come from ``fitted_rows``. The fraction comes from the observation number, so no counts are simulated. A missing count
+    has no residual.
     """
     numbered = number_rows(rows, [F.col(c) for c in order], "obs")
     fraction = F.col("obs") * F.lit(GOLDEN) - F.floor(F.col("obs") * F.lit(GOLDEN))
-    y, mu = F.col(response), F.col("fitted")
-    positive = mu > 0
-    pairs = rows.select("fitted", response).distinct().select(
-        "fitted", response,
-        F.when(positive, poisson_below(y, mu)).otherwise(F.when(y > 0, 1.0).otherwise(0.0)).alias("below"),
-        F.when(positive, poisson_mass(y, mu)).otherwise(F.when(y == 0, 1.0).otherwise(0.0)).alias("mass"),
-    )
-    joined = numbered.join(pairs, ["fitted", response])
-    return joined.withColumn("residual", F.col("below") + fraction * F.col("mass")).drop("below", "mass")
+    told = numbered.withColumn("__at", chances(F.col(response)))
+    return told.withColumn("residual", known(F.col("__at.below") + fraction * F.col("__at.mass"))).drop("__at", "law", "variance")
 
 
 def ranked_within(df: DataFrame, keys: list[str], order: list[str], n_keys: int) -> DataFrame:
@@ -116,11 +143,10 @@ def residual_trend(residuals: DataFrame, keys: list[str], n_keys: int, bins: int
 
 
 def dispersion_check(rows: DataFrame, keys: list[str], response: str = "value") -> DataFrame:
-    """Observed over expected squared residual, and its score; the variance follows the family."""
-    mu, y = F.col("fitted"), F.col(response)
-    k = F.exp("logk")
-    variance = F.when(F.col("form") == 1, mu * (1 + k)).when(F.col("form") == 2, mu * (1 + k * mu)).otherwise(mu)
-    squared = F.when(mu > 0, (y - mu) * (y - mu) / variance)
+    """Observed over expected squared residual, and its score; the variance is that of each row's law. Rows of laws without
+    variance and missing counts take no part."""
+    gap = F.col(response) - F.col("fitted") * F.coalesce("law.n", F.lit(1.0))
+    squared = F.when(F.col("variance") > 0, gap * gap / F.col("variance"))
     out = rows.groupBy(*keys).agg(F.sum(squared).alias("x2"), F.count(squared).alias("n"))
     return out.withColumns(
         {"ratio": F.col("x2") / F.col("n"), "score": (F.col("x2") - F.col("n")) / F.sqrt(2.0 * F.col("n"))}

@@ -326,6 +326,49 @@ def dispersion_check(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out, "x2", "ratio", "score", digits=5)
 
 
+def cover_residual_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cover_rows(spark, folder).filter("total_points > 0")
+    return diagnostics.fitted_rows(rows, fit(rows, COVER_ONLY, [pick("glmmTMB", "binomial", False)]))
+
+
+def pit_residuals_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Residuals of hits out of trials."""
+    out = diagnostics.pit_residuals(cover_residual_rows(spark, folder), ROW_ORDER, "n_points")
+    return rounded(out.select(*ROW_ORDER, "obs", "n_points", "total_points", "fitted", "residual"), "fitted", "residual")
+
+
+def dispersion_check_cover(spark: SparkSession, folder: str) -> DataFrame:
+    out = diagnostics.dispersion_check(cover_residual_rows(spark, folder), ["species"], "n_points")
+    return rounded(out, "x2", "ratio", "score", digits=5)
+
+
+def successes_rows(spark: SparkSession, folder: str) -> DataFrame:
+    panel = I.model_input(spark, folder)
+    return diagnostics.fitted_rows(panel, fit(panel, PERIOD_ONLY, [pick("inla", "nbinomial2", False)]))
+
+
+def pit_residuals_successes(spark: SparkSession, folder: str) -> DataFrame:
+    """Residuals of the negative binomial with a fixed count of one success."""
+    out = diagnostics.pit_residuals(successes_rows(spark, folder), ROW_ORDER)
+    return rounded(out.select(*ROW_ORDER, "obs", "value", "fitted", "residual"), "fitted", "residual")
+
+
+def dispersion_check_successes(spark: SparkSession, folder: str) -> DataFrame:
+    out = diagnostics.dispersion_check(successes_rows(spark, folder), ["species"])
+    return rounded(out, "x2", "ratio", "score", digits=5)
+
+
+def pit_residuals_chosen(spark: SparkSession, folder: str) -> DataFrame:
+    """Residuals of each listed entity under the candidate that the lookup chooses for it."""
+    wanted = [c for c in COUNT_CANDIDATES if c.mod == "inla"]
+    panel = I.model_input(spark, folder)
+    number = F.create_map(*[v for i, c in enumerate(wanted) for v in (F.lit(c.name), F.lit(i + 1))])
+    chosen = best_model(spark, folder).select("species", number[F.col("name")].alias("cand"))
+    rows = diagnostics.fitted_rows(panel, fit(panel, PERIOD_ONLY, wanted), chosen)
+    out = diagnostics.pit_residuals(rows, ROW_ORDER).select(*ROW_ORDER, "obs", "value", "fitted", "residual")
+    return rounded(out, "fitted", "residual", digits=4)
+
+
 def fit_scores(spark: SparkSession, folder: str) -> DataFrame:
     panel = I.model_input(spark, folder)
     out = diagnostics.fit_scores(panel, fit(panel, PERIOD_ONLY, [POISSON_DRAWS]), DRAWS)
@@ -367,6 +410,11 @@ QUERIES = {
     "uniformity_check": uniformity_check,
     "residual_trend": residual_trend,
     "dispersion_check": dispersion_check,
+    "pit_residuals_cover": pit_residuals_cover,
+    "dispersion_check_cover": dispersion_check_cover,
+    "pit_residuals_successes": pit_residuals_successes,
+    "dispersion_check_successes": dispersion_check_successes,
+    "pit_residuals_chosen": pit_residuals_chosen,
     "fit_scores": fit_scores,
 }
 
@@ -466,6 +514,19 @@ pit AS (SELECT *, CASE WHEN fitted = 0 THEN (value > 0)::INT + (obs * 0.61803398
     * exp(j * ln(fitted) - fitted - lgamma(j + 1.0)))) END AS residual FROM fr)
 """
 
+FRACTION = "(obs * 0.6180339887498949 - floor(obs * 0.6180339887498949))"
+SUCCESSES = f""", numbered AS (SELECT *, row_number() OVER (ORDER BY species, site, transect, report_year) AS obs FROM seen),
+fr AS (SELECT numbered.*, coalesce(m, 0) AS fitted FROM numbered JOIN pm USING (species, period)),
+pit AS (SELECT *, 1 - pow(fitted / (1 + fitted), value) + {FRACTION} * pow(fitted / (1 + fitted), value) / (1 + fitted) AS residual FROM fr)
+"""
+COVER_LAW = f""", bm AS (SELECT period, sum(n_points) / sum(total_points) AS p FROM coral GROUP BY period),
+fr AS (SELECT 'cover' AS species, site, transect, report_year, n_points, total_points, p AS fitted,
+  row_number() OVER (ORDER BY site, transect, report_year) AS obs FROM coral JOIN bm USING (period) WHERE total_points > 0),
+pit AS (SELECT *, list_sum(list_transform(range(0, CAST(n_points AS BIGINT) + 1), lambda j:
+  (CASE WHEN j < n_points THEN 1 ELSE {FRACTION} END) * exp(lgamma(total_points + 1.0) - lgamma(j + 1.0) - lgamma(total_points - j + 1.0)
+    + j * ln(fitted) + (total_points - j) * ln(1 - fitted)))) AS residual FROM fr)
+"""
+
 NESTED_SQL = """, t AS (SELECT species, reef, site, transect, CAST(count(*) AS DOUBLE) AS a, sum(ln(1 + value)) AS c FROM seen GROUP BY ALL),
 s AS (SELECT species, reef, site, sum(a * 16 / (a + 16)) AS a, sum(c * 16 / (a + 16)) AS c FROM t GROUP BY ALL),
 r AS (SELECT species, reef, sum(a * 8 / (a + 8)) AS a, sum(c * 8 / (a + 8)) AS c FROM s GROUP BY ALL),
@@ -548,6 +609,16 @@ ORACLES = {
     "dispersion_check": SQL + CELLS + RESIDUALS + """, x AS (SELECT species, sum((value - fitted) * (value - fitted) / fitted) AS x2,
       count(*) AS n FROM fr WHERE fitted > 0 GROUP BY species)
       SELECT species, round(x2, 5) AS x2, n, round(x2 / n, 5) AS ratio, round((x2 - n) / sqrt(2.0 * n), 5) AS score FROM x""",
+    "pit_residuals_cover": SQL + COVER_LAW + """SELECT species, site, transect, report_year, obs, n_points, total_points,
+      round(fitted, 6) AS fitted, round(residual, 6) + 0.0 AS residual FROM pit""",
+    "dispersion_check_cover": SQL + COVER_LAW + """, x AS (SELECT species, count(*) AS n,
+      sum(pow(n_points - total_points * fitted, 2) / (total_points * fitted * (1 - fitted))) AS x2 FROM fr GROUP BY species)
+      SELECT species, round(x2, 5) AS x2, n, round(x2 / n, 5) AS ratio, round((x2 - n) / sqrt(2.0 * n), 5) AS score FROM x""",
+    "pit_residuals_successes": SQL + CELLS + SUCCESSES + """SELECT species, site, transect, report_year, obs, value,
+      round(fitted, 6) AS fitted, round(residual, 6) + 0.0 AS residual FROM pit""",
+    "dispersion_check_successes": SQL + CELLS + SUCCESSES + """, x AS (SELECT species, count(*) AS n,
+      sum(pow(value - fitted, 2) / (fitted * (1 + fitted))) AS x2 FROM fr WHERE fitted > 0 GROUP BY species)
+      SELECT species, round(x2, 5) AS x2, n, round(x2 / n, 5) AS ratio, round((x2 - n) / sqrt(2.0 * n), 5) AS score FROM x""",
     "fit_scores": SQL + CELLS + DRAW + """, cy AS (SELECT species, period, value AS y, count(*) AS n FROM seen GROUP BY ALL),
       pt AS (SELECT species, period, y, n, ln(avg(exp(ll))) AS lpd, var_samp(ll) AS sp, avg(ll) AS ml, ln(avg(exp(-ll))) AS cpo, avg(mu) AS mu
         FROM (SELECT d.species, d.period, y, n, value AS mu, y * ln(value) - value - lgamma(y + 1) AS ll

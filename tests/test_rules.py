@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweave.functions import links, special, text
-from panelweave.operators import diagnostics, effects, levels, likelihood, lookup, panel, summary
+from panelweave.operators import effects, laws, levels, likelihood, lookup, panel, summary
 from panelweave.sources import tables
 
 
@@ -126,7 +126,9 @@ def test_special_functions(spark):
 
 def test_poisson_tail(spark):
     df = spark.createDataFrame([(0.0, 2.0), (3.0, 2.0), (900.0, 1000.0), (4000.0, 3.0)], "y double, mu double")
-    for y, mu, below in df.select("y", "mu", diagnostics.poisson_below(F.col("y"), F.col("mu"))).collect():
+    law = F.expr("named_struct('n', NULL, 'mu', mu, 'q', 1.0D, 'form', 0, 'zero', 0, 'logk', 0.0D)")
+    told = df.withColumn("law", law).withColumn("at", laws.chances(F.col("y")))
+    for y, mu, below in told.select("y", "mu", "at.below").collect():
         exact = math.fsum(math.exp(j * math.log(mu) - mu - math.lgamma(j + 1)) for j in range(int(y)))
         assert below == pytest.approx(exact, abs=1e-9)
 
