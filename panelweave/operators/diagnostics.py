@@ -50,14 +50,14 @@ def fitted_rows(panel: DataFrame, fit: Fit, cand: int | DataFrame = 1) -> DataFr
         rows = rows.join(units, [*keys, *spec.levels, "__of"], "left")
         effect, zero_effect = (F.coalesce(f"__unit.{n}", F.lit(0.0)) for n in ("effect", "zero_effect"))
     d = F.col("__d")
-    eta = known(F.col("__fit.beta")[d]) + effect
+    beta = known(F.col("__fit.beta")[d])
+    eta = beta + effect
     if spec.covariate:
         eta = eta + F.nanvl(F.col("__fit.beta")[d + P], F.lit(0.0)) * F.col(spec.covariate)
     ez = F.nanvl(F.col("__fit.zbeta")[d], F.lit(0.0)) + zero_effect
     eta, ez = (F.greatest(F.least(v, F.lit(ETA_LIMIT)), F.lit(-ETA_LIMIT)) for v in (eta, ez))
-    alive = ~F.isnan(F.col("__fit.beta")[d])
     mean = 1.0 / (1.0 + F.exp(-eta)) if spec.trials else F.exp(eta)
-    rows = rows.withColumn("__mu", F.when(alive, mean).otherwise(F.col("__end")))
+    rows = rows.withColumn("__mu", F.when(beta.isNotNull(), mean).otherwise(F.col("__end")))
     mu, zero, zpar = F.col("__mu"), F.col("__fit.zero"), F.col("__fit.zpar")
     q = (
         F.when((zero == ZEROS["none"]) | (mu <= 0), 1.0)

@@ -112,3 +112,19 @@ def test_residuals_of_a_nested_fit_with_covariate(spark):
     other = spark.createDataFrame([("sp", 2)], "species string, cand int")
     plain = diagnostics.fitted_rows(panel, fitted, other)
     assert plain.count() == len(rows) and plain.filter(F.col("law.zero") != 0).count() == 0
+
+
+@pytest.mark.parametrize("trials", [None, "n"])
+def test_residuals_of_a_period_without_estimate(spark, trials):
+    """Nothing was hit in P2 and, for proportions, everything in P3: all mass lies there."""
+    hits = {"P1": [1, 0, 2, 1], "P2": [0, 0, 0, 0], "P3": [3, 3, 3, 3]}
+    rows = [("sp", p, float(v), 3.0, 10 * int(p[1]) + i) for p, values in hits.items() for i, v in enumerate(values)]
+    panel = spark.createDataFrame(rows, "species string, period string, value double, n double, at int")
+    name = pick("glmmTMB", "binomial" if trials else "nbinom2", False)
+    fitted = fit(panel, FitSpec(("P1", "P2", "P3"), covariate=None, trials=trials), [name])
+    rows = diagnostics.fitted_rows(panel, fitted)
+    got = {r["at"]: r for r in diagnostics.pit_residuals(rows, ["at"]).collect()}
+    assert [got[20 + i]["fitted"] for i in range(4)] == [0.0] * 4 and got[10]["fitted"] == pytest.approx(1 / 3 if trials else 1.0)
+    assert [got[30 + i]["fitted"] for i in range(4)] == pytest.approx([1.0 if trials else 3.0] * 4)
+    assert all(0 <= r["residual"] <= 1 for r in got.values()) and len({got[20 + i]["residual"] for i in range(4)}) == 4
+    assert diagnostics.dispersion_check(rows, ["species"]).first()["n"] == (4 if trials else 8)
