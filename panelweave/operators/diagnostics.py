@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.special import lgamma
-from panelweave.operators.effects import LABELS, known, posterior_draws, usable
+from panelweave.operators.effects import LABELS, cellmeans_draws, known, posterior_draws, usable
 from panelweave.operators.fit import ETA_LIMIT, Fit, unit_effects
 from panelweave.operators.laws import chances
 from panelweave.operators.levels import level_index
@@ -99,6 +99,19 @@ def pit_residuals(rows: DataFrame, order: list[str], response: str = "value") ->
     return told.withColumn("residual", known(F.col("__at.below") + fraction * F.col("__at.mass"))).drop("__at", "law", "variance")
 
 
+def with_drawn_mean(rows: DataFrame, fit: Fit, draws: int = 1000) -> DataFrame:
+    """Rows with the mean over draws as ``fitted``, for one candidate without covariate and units.
+
+    Draws are averaged per key and period before they meet the rows. A key or period without draws has 0.
+    """
+    spec = fit.spec
+    if spec.covariate or spec.levels or len(fit.candidates) != 1:
+        raise ValueError("draws belong to periods of one candidate")
+    means = cellmeans_draws(fit, draws).select(*spec.keys, "period", F.col("mean").alias("__drawn"))
+    joined = bounded_join(rows, means, [*spec.keys, "period"], "left", rows=fit.n_keys * spec.n_periods)
+    return joined.withColumn("fitted", F.coalesce("__drawn", F.lit(0.0))).drop("__drawn")
+
+
 def ranked_within(df: DataFrame, keys: list[str], order: list[str], n_keys: int) -> DataFrame:
     """Rank inside each key and key size, by one global range sort (no key is gathered in one task)."""
     numbered = number_rows(df, [F.col(c) for c in [*keys, *order]], "__rank")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.text import effect_class
-from panelweave.operators.effects import contrasts_wald, draw_summary, FINISHED, LABELS
+from panelweave.operators.effects import contrasts_wald, draw_summary, LABELS
 from panelweave.operators.fit import Fit
 from panelweave.operators.levels import caterpillar_rank
 from panelweave.session import bounded_join
@@ -35,19 +35,6 @@ def candidate_comparison(results: DataFrame, entity: str, value: str, variable:
     )
 
 
-def first_success(coef: DataFrame, keys: list[str], order: list[str], mod: str = DRAWS) -> DataFrame:
-    """Per entity the first candidate in ``order`` whose fit succeeded."""
-    rank = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("name"))
-    tried = coef.filter((F.col("mod") == mod) & F.col("status").isin(*FINISHED)).withColumn("attempt", rank)
-    window = Window.partitionBy(*keys).orderBy("attempt")  # at most one row per candidate and entity
-    return (
-        tried.filter(F.col("attempt") > 0)
-        .withColumn("__first", F.row_number().over(window))
-        .filter("__first = 1")
-        .select(*keys, "name", "attempt", "status")
-    )
-
-
 def chosen_contrasts(results: DataFrame, chosen: DataFrame, entity: str, rows: int | None = None) -> DataFrame:
     """Contrasts of the candidate chosen for each entity, draws engine only."""
     return bounded_join(results.filter(F.col("mod") == DRAWS), chosen, [entity, "name"], rows=rows)

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import diagnostics, effects, publish
 from panelweave.operators.design import covariate_scale
+from panelweave.operators.fallback import fit_in_order
 from panelweave.operators.fit import Fit, FitSpec, fit
 from panelweave.operators.nested import System, eliminate, with_effects
 from panelweave.operators.nested import effects as nested_effect_stages
 from panelweave.plans import inputs as I
 from panelweave.plans.prepare import SQL, best_model, lookup_table, rounded
 from panelweave.sources.candidates import (
-    COUNT_CANDIDATES, FALLBACK_ORDER, PROPORTION_CANDIDATES, Candidate, pick,
+    COUNT_CANDIDATES, DRAFT_ORDER, FALLBACK_ORDER, PROPORTION_CANDIDATES, Candidate, pick,
 )
 
 PERIOD_ONLY = FitSpec(I.PERIODS, covariate=None)
@@ -141,11 +142,19 @@ def nested_scale(spark: SparkSession, folder: str, rounds: int = 24) -> Fit:
     return fit(I.panel_scale(spark, folder), spec, COUNT_CANDIDATES)
 
 
+def _fallback(spark: SparkSession, folder: str, order: list[str]) -> DataFrame:
+    chain = [pick("inla", name, name.startswith("zero")) for name in order]
+    return fit_in_order(I.model_input(spark, folder), PERIOD_ONLY, chain)[0]
+
+
 def fallback_model(spark: SparkSession, folder: str) -> DataFrame:
-    """First family in the fallback order that fits, on the additive draft model without unit effects."""
-    chain = [c for c in COUNT_CANDIDATES if c.mod == "inla" and c.name in FALLBACK_ORDER]
-    fitted = fit_counts(spark, folder, *chain)
-    return publish.first_success(fitted.coef, ["species"], FALLBACK_ORDER)
+    """First family in the fallback order with a usable fit, on period means without covariate and unit effects."""
+    return _fallback(spark, folder, FALLBACK_ORDER)
+
+
+def fallback_model_draft(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in the order of the draft analysis."""
+    return _fallback(spark, folder, DRAFT_ORDER)
 
 
 def nested_effects(spark: SparkSession, folder: str) -> DataFrame:
@@ -321,6 +330,15 @@ def residual_trend(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out, "fitted", "q25", "q50", "q75", digits=5)
 
 
+def residual_trend_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    """The trend over the mean of the draws."""
+    panel = I.model_input(spark, folder)
+    fitted = fit(panel, PERIOD_ONLY, [POISSON_DRAWS])
+    rows = diagnostics.pit_residuals(diagnostics.fitted_rows(panel, fitted), ROW_ORDER)
+    rows = diagnostics.with_drawn_mean(rows, fitted, DRAWS).withColumn("fitted", F.round("fitted", 9))
+    return rounded(diagnostics.residual_trend(rows, ["species"], len(I.ENTITIES)), "fitted", "q25", "q50", "q75", digits=5)
+
+
 def dispersion_check(spark: SparkSession, folder: str) -> DataFrame:
     out = diagnostics.dispersion_check(residual_rows(spark, folder), ["species"])
     return rounded(out, "x2", "ratio", "score", digits=5)
@@ -390,6 +408,7 @@ QUERIES = {
     "fit_all": fit_all,
     "fit_all_cover": fit_all_cover,
     "fallback_model": fallback_model,
+    "fallback_model_draft": fallback_model_draft,
     "nested_effects": nested_effects,
     "cellmeans_wald": cellmeans_wald,
     "cellmeans_at_mean_cover": cellmeans_at_mean_cover,
@@ -409,6 +428,7 @@ QUERIES = {
     "pit_residuals": pit_residuals,
     "uniformity_check": uniformity_check,
     "residual_trend": residual_trend,
+    "residual_trend_drawn": residual_trend_drawn,
     "dispersion_check": dispersion_check,
     "pit_residuals_cover": pit_residuals_cover,
     "dispersion_check_cover": dispersion_check_cover,
@@ -606,6 +626,13 @@ ORACLES = {
       SELECT species, CAST(floor((i - 1) * 4 / n) + 1 AS BIGINT) AS bin, count(*) AS n, round(avg(fitted), 5) AS fitted,
         round(quantile_cont(residual, 0.25), 5) AS q25, round(quantile_cont(residual, 0.5), 5) AS q50,
         round(quantile_cont(residual, 0.75), 5) AS q75 FROM q GROUP BY species, bin""",
+    "residual_trend_drawn": SQL + CELLS + DRAW + RESIDUALS + """, dm AS (SELECT species, period, avg(value) AS drawn FROM draws GROUP BY ALL),
+      w AS (SELECT species, residual, obs, coalesce(drawn, 0) AS fitted FROM pit LEFT JOIN dm USING (species, period)),
+      q AS (SELECT species, residual, fitted,
+        row_number() OVER (PARTITION BY species ORDER BY round(fitted, 9), obs) AS i, count(*) OVER (PARTITION BY species) AS n FROM w)
+      SELECT species, CAST(floor((i - 1) * 4 / n) + 1 AS BIGINT) AS bin, count(*) AS n, round(avg(fitted), 5) AS fitted,
+        round(quantile_cont(residual, 0.25), 5) AS q25, round(quantile_cont(residual, 0.5), 5) AS q50,
+        round(quantile_cont(residual, 0.75), 5) AS q75 FROM q GROUP BY species, bin""",
     "dispersion_check": SQL + CELLS + RESIDUALS + """, x AS (SELECT species, sum((value - fitted) * (value - fitted) / fitted) AS x2,
       count(*) AS n FROM fr WHERE fitted > 0 GROUP BY species)
       SELECT species, round(x2, 5) AS x2, n, round(x2 / n, 5) AS ratio, round((x2 - n) / sqrt(2.0 * n), 5) AS score FROM x""",

@@ -65,8 +65,9 @@ PROPORTION_CANDIDATES = [
     Candidate("glmmTMB", "betabinomial", "Beta-Binomial", "0", False),
 ]
 
-# Order in which families are tried until one fit succeeds.
+# Orders in which families are tried until one fit succeeds.
 FALLBACK_ORDER = ["zeroinflatednbinomial2", "zeroinflatednbinomial1", "zeroinflatedpoisson1", "nbinomial2"]
+DRAFT_ORDER = ["zeroinflatednbinomial1", "zeroinflatednbinomial2", "zeroinflatedpoisson1", "nbinomial2"]
 
 
 def candidate_table(spark: SparkSession, candidates: list[Candidate]) -> DataFrame:
