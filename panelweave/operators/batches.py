@@ -103,7 +103,7 @@ def _sum(code: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
 
 
 def make_row_sums(layout: Layout, units: list[str], proportions: bool, joint: bool = False):
-    """Rows with predictors to sums per unit and per key.
+    """Rows with predictors to sums per unit and per key; a row counts ``weight`` times.
 
     ``joint``: count part and zero regression are solved together, so the sums hold their cross information (by period: with
     levels, slopes and log dispersion).
@@ -123,6 +123,7 @@ def make_row_sums(layout: Layout, units: list[str], proportions: bool, joint: bo
                 t = proportion_terms(c["y"], c["n"], c["lgy"], c["eta"], c["form"], c["logk"])
             else:
                 t = count_terms(c["y"], c["lgy"], c["eta"], c["ez"], c["form"], c["zero"], c["logk"], c["zpar"])
+            t = {name: terms * c["weight"] for name, terms in t.items()}
             d, x, eta = c["d"].astype("int64"), c["x"], c["eta"]
             wz = t["w"] * eta + t["s"]
             zwz = t["zi"] * c["ez"] + t["zs"]

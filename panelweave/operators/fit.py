@@ -1,7 +1,7 @@
 """One distributed job that fits every candidate to every entity.
 
-A key is (entity, candidate). Rows are laid out once, by their lowest sampling unit; each round joins the
-unit effects and the key's parameters to the rows, reduces them to grouped sums, solves one small system per
+A key is (entity, candidate). Rows are laid out once, by their lowest sampling unit (without units, equal rows are
+counted first and the fit works on the counts); each round joins the unit effects and the key's parameters to the rows, reduces them to grouped sums, solves one small system per
 key, and walks back down the nesting to refresh the unit effects and variance components. Keys that have
 converged leave the loop. Every round ends in a written table, so the plan never grows and a lost executor
 costs one round at most.
@@ -227,6 +227,12 @@ def lay_out(rows: DataFrame, unit: str, limit: int) -> tuple[DataFrame, DataFram
     return laid.repartition(partitions, unit, "part").sortWithinPartitions(unit, "part"), hot
 
 
+def collapsed(rows: DataFrame) -> DataFrame:
+    """Equal rows as one with their number as ``weight``; counted within tasks before the shuffle."""
+    values = [c for c in rows.columns if c != "rid"]
+    return rows.groupBy(*values).agg(F.count("*").cast("double").alias("weight"))
+
+
 def spread_state(state: DataFrame, hot: DataFrame | None, unit: str) -> DataFrame:
     """Repeat the effects of split units once per part."""
     if hot is None:
@@ -270,7 +276,7 @@ def linked_rows(rows: DataFrame, coef: DataFrame, state: DataFrame | None, hot:
         return F.greatest(F.least(c, F.lit(ETA_LIMIT)), F.lit(-ETA_LIMIT))
 
     return linked.select(
-        "kid", *units, "d", "x", "y", "n", "lgy", clipped(eta).alias("eta"),
+        "kid", *units, "d", "x", "y", "n", "lgy", "weight", clipped(eta).alias("eta"),
         clipped(ez).alias("ez"), "form", "zero", "restricted", "logk", "zpar",
     )
 
@@ -369,14 +375,14 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
     if spec.levels:
         named = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.levels])
         if cells.agg(F.sum("loose")).first()[0]:
-            loose = ledger.keep(rows.filter(~named).drop(*spec.levels), "loose")
-        rows = rows.filter(named)
+            loose = ledger.keep(collapsed(rows.filter(~named).drop(*spec.levels)), "loose")
+        rows = rows.filter(named).withColumn("weight", F.lit(1.0))
         unit_table = number_units(rows, spec, ledger)
         n_units = unit_table.count()
         rows = bounded_join(rows, unit_table, ["eid", *spec.levels], rows=n_units).drop(*spec.levels)
         rows, hot = lay_out(rows, units[-1], spec.hot_unit_rows)
     else:
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = collapsed(rows)
     rows = rows.persist()
     coef = ledger.write(starting_values(cells, entities, spec, candidates), "coef")
     step = solve.make_step(layout, prior_terms(spec), bool(spec.levels), spec.tolerance)
