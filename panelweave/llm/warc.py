@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import new_folder, quoted, sent_along, written
+from panelweave.operators.panel import number_rows
 
 sent_along(__name__)
 
@@ -84,14 +85,19 @@ class _File:
 
 
 def _splitters(ids: DataFrame, shards: int, per_shard: int = 100) -> list[int]:
-    """Bounds of shards: quantiles of those ids whose hash is small, about ``per_shard`` for each shard."""
+    """Bounds of shards: quantiles of those ids whose hash is small, about ``per_shard`` for each shard.
+
+    They are ranked by Spark; only the bounds, one number a shard, reach the driver.
+    """
     rows = ids.count()
     if shards < 2 or not rows:
         return []
     share = min(1.0, per_shard * shards / rows)
-    seen = ids.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    found = np.sort(np.array([r[0] for r in seen.select("id").collect()], np.int64))  # about per_shard * shards ids
-    return np.unique(found[np.arange(1, shards) * len(found) // shards]).tolist() if len(found) else []
+    drawn = ids.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("id")
+    ranked = number_rows(drawn, [F.col("id")], "rank", start=0).withColumns({"shards": F.lit(shards).cast("long"), "n": F.lit(drawn.count())})
+    ranked = ranked.withColumn("k", F.expr("(rank * shards + n - 1) DIV n"))
+    bounds = ranked.where("k BETWEEN 1 AND shards - 1 AND (k * n) DIV shards = rank").select("id")
+    return sorted({r[0] for r in bounds.collect()})
 
 
 def write_archives(
@@ -101,15 +107,16 @@ def write_archives(
     url_col: str = "url",
     payload_col: str = "html",
     least_bytes: int = 0,
-    shard_bytes: int = 16_000_000,
-    file_bytes: int = 256_000_000,
+    shard_bytes: int = 256_000_000,
+    file_bytes: int = 32_000_000,
 ) -> DataFrame:
     """Writes a record for each row of ``pages`` below ``folder`` and returns the manifest, a row per file.
 
     Payloads are written as UTF-8, null as empty. Of equal payloads of ``least_bytes`` or more, the record with the
     smallest id is a response and the others revisit it; smaller payloads are all responses. Of rows that repeat the
     smallest id one is the response. Rows without id come first, always as responses. An empty table gives an empty
-    manifest. ``shard_bytes`` counts payload before and ``file_bytes`` after compression.
+    manifest. ``shard_bytes`` counts payload before and ``file_bytes`` after compression: a shard is what a task sorts and
+    holds several files, each of which ends with the record that reaches the limit. Rows of one id are in one shard.
     """
     data = f"{folder}/data"
     store, path = fs.FileSystem.from_uri(data)
@@ -136,7 +143,7 @@ def write_archives(
         "id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first",
         F.lit(0).alias("kind"),
     ).unionByName(rows.withColumn("first", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
-    merged = merged.withColumn("shard", shard_of("id")).repartition(shards, "shard").sortWithinPartitions(
+    merged = merged.withColumn("shard", shard_of("id")).repartitionById(shards, F.col("shard")).sortWithinPartitions(
         F.col("shard"), F.col("id").asc_nulls_first(), "kind", "sha", F.col("url").asc_nulls_first()
     )
 
