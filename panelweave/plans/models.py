@@ -14,10 +14,13 @@ from panelweave.operators import diagnostics, effects, publish
 from panelweave.operators.design import covariate_scale
 from panelweave.operators.fallback import fit_in_order
 from panelweave.operators.fit import Fit, FitSpec, fit
+from panelweave.operators.lookup import choose_models, override_values
 from panelweave.operators.nested import System, eliminate, with_effects
 from panelweave.operators.nested import effects as nested_effect_stages
 from panelweave.plans import inputs as I
-from panelweave.plans.prepare import SQL, best_model, lookup_table, rounded
+from panelweave.plans.prepare import SQL, best_model, rounded
+from panelweave.session import scratch_folder
+from panelweave.sources import tables
 from panelweave.sources.candidates import (
     COUNT_CANDIDATES, DRAFT_ORDER, FALLBACK_ORDER, PROPORTION_CANDIDATES, Candidate, pick,
 )
@@ -26,6 +29,7 @@ PERIOD_ONLY = FitSpec(I.PERIODS, covariate=None)
 COVER_ONLY = FitSpec(I.PERIODS, keys=("species",), response="n_points", trials="total_points", covariate=None)
 NESTED = FitSpec(I.PERIODS, levels=("reef", "site", "transect"), max_iterations=40)
 POISSON_DRAWS = pick("inla", "poisson", False)
+SUCCESSES_DRAWS = pick("inla", "nbinomial2", False)
 POISSON_WALD = pick("glmmTMB", "poisson", False)
 DRAWS = 1000
 
@@ -258,44 +262,78 @@ def candidate_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out, "mean", "lower", "upper", digits=5)
 
 
-def _published(spark: SparkSession, folder: str, group: str, overlay: bool) -> DataFrame:
-    """Effect table of the listed entities with the Poisson candidate chosen for each."""
-    results = collated(spark, folder)
-    listed = lookup_table(spark).filter("exclude != 'TRUE'").select("species", group, F.lit("poisson").alias("name"))
-    chosen = publish.chosen_contrasts(results, listed, "species", rows=len(I.LOOKUP))
+def listed_models(spark: SparkSession, fitted: Fit) -> DataFrame:
+    """Listed entities of a fit with the candidate of their label, each of which has a closed form."""
+    schema = "species string, trophic string, family string, best_model string, exclude string"
+    labels = override_values(spark.createDataFrame(I.LOOKUP, schema), [("Priority_medium", "Poisson")], "species", "best_model")
+    return choose_models(fitted.cells.select("species").distinct(), labels, lookup_rows=len(I.LOOKUP))
+
+
+def _table(fitted: Fit, names: DataFrame, group: str, cover: Fit | None, digits: int) -> DataFrame:
+    """Effect table of the candidate chosen for each entity; only those keys are drawn. ``cover`` goes beside it."""
+    drawn = effects.draw_summary(publish.only_chosen(fitted, names, "species", rows=len(I.LOOKUP)), DRAWS)
+    chosen = publish.chosen_contrasts(drawn, names.select("species", group, "name"), "species", rows=len(I.LOOKUP))
     side = None
-    if overlay:
-        cover = effects.draw_summary(fit_cover(spark, folder, pick("inla", "binomial", False)), DRAWS)
-        side = cover.filter("variable = 'Ratio'").select("period", "mean", "lower", "upper")
+    if cover is not None:
+        side = effects.draw_summary(cover, DRAWS).filter("variable = 'Ratio'").select("period", "mean", "lower", "upper")
     table = publish.effect_table(chosen, group, "species", overlay=side)
-    numbers = [c for c in table.columns if c.split("_")[-1] in ("mean", "lower", "upper")]
-    return rounded(table, *numbers, digits=5)
+    return rounded(table, *[c for c in table.columns if c.split("_")[-1] in ("mean", "lower", "upper")], digits=digits)
+
+
+def family_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Effects of the listed entities by family, each under the candidate of its label, with binomial cover beside them."""
+    fitted = fit_counts(spark, folder, POISSON_DRAWS, SUCCESSES_DRAWS)
+    cover = fit_cover(spark, folder, pick("inla", "binomial", False))
+    return _table(fitted, listed_models(spark, fitted), "family", cover, 5)
+
+
+def trophic_effects(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = fit_counts(spark, folder, POISSON_DRAWS, SUCCESSES_DRAWS)
+    return _table(fitted, listed_models(spark, fitted), "trophic", None, 5)
 
 
 def collate_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Contrasts of every count candidate of every entity and of every cover candidate, in one table."""
+    """Contrasts of every count candidate of every entity and of every cover candidate, from what the fits stored."""
     fits = [fit_counts(spark, folder, *COUNT_CANDIDATES), fit_cover(spark, folder, *PROPORTION_CANDIDATES)]
-    return rounded(publish.collate_contrasts(fits, DRAWS), "mean", "lower", "upper", digits=4)
+    path = f"{scratch_folder(spark)}/artefacts"
+    publish.store_results(fits, path, DRAWS)
+    return rounded(publish.collate_stored(spark, path), "mean", "lower", "upper", digits=4)
+
+
+def contrasts_from_artefacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Contrasts of two engines, stored and collated again."""
+    path = f"{scratch_folder(spark)}/artefacts"
+    publish.store_results([fit_counts(spark, folder, POISSON_DRAWS, POISSON_WALD)], path, DRAWS)
+    return rounded(publish.collate_stored(spark, path), "mean", "lower", "upper", digits=5)
+
+
+def chosen_from_artefacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored ratios of each listed entity's candidate; folders of other candidates aren't read."""
+    root = scratch_folder(spark)
+    fitted = fit_counts(spark, folder, POISSON_DRAWS, SUCCESSES_DRAWS, POISSON_WALD)
+    publish.store_results([fitted], f"{root}/artefacts", DRAWS)
+    names = listed_models(spark, fitted).select("species", "family", F.lit(POISSON_DRAWS.mod).alias("engine"), "name")
+    tables.write_stage(names, f"{root}/chosen")
+    stored = publish.stored_choice(spark, f"{root}/artefacts", tables.read_stage(spark, f"{root}/chosen"), "species", rows=len(I.LOOKUP))
+    out = stored.filter("variable = 'Ratio'").select("family", "species", "name", "period", "mean", "lower", "upper")
+    return rounded(out, "mean", "lower", "upper", digits=5)
 
 
-def chosen_family_effects(spark: SparkSession, folder: str) -> DataFrame:
-    """Effect table in which each listed entity has the candidate that the lookup chooses, with beta-binomial cover beside it."""
+def _chosen(spark: SparkSession, folder: str, group: str, overlay: bool) -> DataFrame:
     names = best_model(spark, folder)
-    wanted = [c for c in COUNT_CANDIDATES if c.mod == "inla"]
-    results = publish.collate_contrasts([fit_counts(spark, folder, *wanted)], DRAWS)
-    chosen = publish.chosen_contrasts(results, names.select("species", "family", "name"), "species", rows=len(I.LOOKUP))
-    cover = effects.draw_summary(fit_cover(spark, folder, pick("inla", "betabinomial", False)), DRAWS)
-    side = cover.filter("variable = 'Ratio'").select("period", "mean", "lower", "upper")
-    table = publish.effect_table(chosen, "family", "species", overlay=side)
-    return rounded(table, *[c for c in table.columns if c.split("_")[-1] in ("mean", "lower", "upper")], digits=4)
+    fitted = fit_counts(spark, folder, *[c for c in COUNT_CANDIDATES if c.mod == "inla"])
+    cover = fit_cover(spark, folder, pick("inla", "betabinomial", False)) if overlay else None
+    return _table(fitted, names, group, cover, 4)
 
 
-def family_effects(spark: SparkSession, folder: str) -> DataFrame:
-    return _published(spark, folder, "family", overlay=True)
+def chosen_family_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Effect table in which each listed entity has the candidate that the lookup chooses, with beta-binomial cover beside it."""
+    return _chosen(spark, folder, "family", True)
 
 
-def trophic_effects(spark: SparkSession, folder: str) -> DataFrame:
-    return _published(spark, folder, "trophic", overlay=False)
+def chosen_trophic_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by trophic group, without cover."""
+    return _chosen(spark, folder, "trophic", False)
 
 
 # --- diagnostics ------------------------------------------------------------------------------------------
@@ -423,6 +461,9 @@ QUERIES = {
     "candidate_comparison": candidate_comparison,
     "collate_all": collate_all,
     "chosen_family_effects": chosen_family_effects,
+    "chosen_trophic_effects": chosen_trophic_effects,
+    "contrasts_from_artefacts": contrasts_from_artefacts,
+    "chosen_from_artefacts": chosen_from_artefacts,
     "family_effects": family_effects,
     "trophic_effects": trophic_effects,
     "pit_residuals": pit_residuals,
@@ -504,9 +545,15 @@ COLLATED = f""", res AS (
   SELECT species, 'glmmTMB', 'poisson', 'Poisson', '', FALSE, period, variable, mean, lower, upper FROM wald)
 """
 DRAWN = SQL + CELLS + DRAW + DRAW_CONTRASTS + SUMMARY
-LISTED = """, listed(species, trophic, family) AS (VALUES ('Priority_urgent', 'Upper', 'Fast'), ('Priority_high', 'Upper', 'Fast'),
-  ('Priority_medium', 'Lower', 'Slow'))
-"""
+# Draws of the candidate chosen for each entity: log means, or success probabilities for one success.
+CHOSEN = """, listed(species, trophic, family, name) AS (VALUES ('Priority_urgent', 'Upper', 'Fast', 'poisson'),
+  ('Priority_high', 'Upper', 'Fast', 'nbinomial2'), ('Priority_medium', 'Lower', 'Slow', 'poisson')),
+mix AS (SELECT species, draw, period, CASE name WHEN 'poisson' THEN exp(ln(m) + e * sqrt(v))
+    ELSE 1 / (1 + exp(ln(m) - e * sqrt(v * (1 + m)))) END AS value
+  FROM pb JOIN deviates USING (period) JOIN listed USING (species) WHERE m IS NOT NULL AND m1 IS NOT NULL),
+mixl AS (SELECT a.species, a.period, exp(ln(a.value) - ln(b.value)) AS x FROM mix a JOIN mix b USING (species, draw)
+  WHERE b.period = 'P1' AND a.period <> 'P1')
+""" + _summary("mixl", "ms", "species, period")
 
 
 def _published_sql(group: str, overlay: bool) -> str:
@@ -516,9 +563,8 @@ def _published_sql(group: str, overlay: bool) -> str:
         round(lower, 5) AS overlay_lower, round(upper, 5) AS overlay_upper FROM cs JOIN cs_hdi USING (period))"""
         if overlay else ""
     )
-    return DRAWN + (BINOMIAL if overlay else "") + WALD + COLLATED + LISTED + extra + f""", ch AS (
-      SELECT {group}, species, period, mean, lower, upper FROM res JOIN listed USING (species)
-      WHERE mod = 'inla' AND variable = 'Ratio'),
+    return SQL + CELLS + DRAW + (BINOMIAL if overlay else "") + CHOSEN + extra + f""", ch AS (
+      SELECT {group}, species, period, mean, lower, upper FROM ms JOIN ms_hdi USING (species, period) JOIN listed USING (species)),
       f AS (SELECT {group}, species, min({{'p': period, 'm': mean}}) AS first FROM ch GROUP BY ALL),
       o AS (SELECT species, row_number() OVER (ORDER BY {group}, first.p, first.m, species) AS display_rank FROM f)
       SELECT {group}, species, period, round(mean, 5) AS mean, round(lower, 5) AS lower, round(upper, 5) AS upper, display_rank,
@@ -611,6 +657,10 @@ ORACLES = {
       round(mean, 5) + 0.0 AS mean, round(lower, 5) + 0.0 AS lower, round(upper, 5) + 0.0 AS upper FROM res""",
     "candidate_comparison": DRAWN + WALD + COLLATED + """SELECT species, fam, zi, mod, type, period, round(mean, 5) AS mean,
       round(lower, 5) AS lower, round(upper, 5) AS upper FROM res WHERE species = 'Priority_urgent' AND variable = 'Ratio'""",
+    "contrasts_from_artefacts": DRAWN + WALD + COLLATED + """SELECT species, mod, name, fam, type, zi, period, variable,
+      round(mean, 5) + 0.0 AS mean, round(lower, 5) + 0.0 AS lower, round(upper, 5) + 0.0 AS upper FROM res""",
+    "chosen_from_artefacts": SQL + CELLS + DRAW + CHOSEN + """SELECT family, species, name, period, round(mean, 5) AS mean,
+      round(lower, 5) AS lower, round(upper, 5) AS upper FROM ms JOIN ms_hdi USING (species, period) JOIN listed USING (species)""",
     "family_effects": _published_sql("family", True),
     "trophic_effects": _published_sql("trophic", False),
     "pit_residuals": SQL + CELLS + RESIDUALS + """SELECT species, site, transect, report_year, obs, value, round(fitted, 6) AS fitted,
