@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.special import lgamma
 from panelweave.operators.effects import LABELS, cellmeans_draws, known, posterior_draws, usable
 from panelweave.operators.fit import ETA_LIMIT, Fit, unit_effects
-from panelweave.operators.laws import chances
+from panelweave.operators.laws import chances, log_chance
 from panelweave.operators.levels import level_index
 from panelweave.operators.likelihood import ZEROS
 from panelweave.operators.panel import number_rows
@@ -59,12 +58,7 @@ def fitted_rows(panel: DataFrame, fit: Fit, cand: int | DataFrame = 1) -> DataFr
     mean = 1.0 / (1.0 + F.exp(-eta)) if spec.trials else F.exp(eta)
     rows = rows.withColumn("__mu", F.when(beta.isNotNull(), mean).otherwise(F.col("__end")))
     mu, zero, zpar = F.col("__mu"), F.col("__fit.zero"), F.col("__fit.zpar")
-    q = (
-        F.when((zero == ZEROS["none"]) | (mu <= 0), 1.0)
-        .when(zero == ZEROS["tied"], F.exp(-F.exp(zpar) * F.log1p(1.0 / mu)))
-        .when(zero == ZEROS["regression"], 1.0 / (1.0 + F.exp(ez)))
-        .otherwise(1.0 / (1.0 + F.exp(zpar)))
-    )
+    q = kept_share(mu, zero, zpar, ez)
     n = F.col(spec.trials).cast("double") if spec.trials else F.lit(None).cast("double")
     law = F.struct(n.alias("n"), mu.alias("mu"), q.alias("q"), F.col("__fit.form").alias("form"), zero.alias("zero"),
                    F.col("__fit.logk").alias("logk"))
@@ -73,6 +67,16 @@ def fitted_rows(panel: DataFrame, fit: Fit, cand: int | DataFrame = 1) -> DataFr
     return rows.withColumns({"fitted": fitted, "variance": variance}).drop("__d", "__end", "__fit", "__of", "__unit", "__mu")
 
 
+def kept_share(mu: Column, zero: Column, zpar: Column, ez: Column) -> Column:
+    """Chance that a count isn't a zero of the zero model; ``ez`` is the predictor of a zero regression."""
+    return (
+        F.when((zero == ZEROS["none"]) | (mu <= 0), 1.0)
+        .when(zero == ZEROS["tied"], F.exp(-F.exp(zpar) * F.log1p(1.0 / mu)))
+        .when(zero == ZEROS["regression"], 1.0 / (1.0 + F.exp(ez)))
+        .otherwise(1.0 / (1.0 + F.exp(zpar)))
+    )
+
+
 def moments(law: str) -> tuple[Column, Column]:
     """Mean (the share of hits for proportions) and variance of a law, its zero model included."""
     n, mu, q, form, zero, logk = (F.col(f"{law}.{name}") for name in ("n", "mu", "q", "form", "zero", "logk"))
@@ -167,27 +171,46 @@ def dispersion_check(rows: DataFrame, keys: list[str], response: str = "value")
 
 
 def fit_scores(panel: DataFrame, fit: Fit, draws: int = 1000, response: str = "value") -> DataFrame:
-    """DIC, WAIC and the summed log predictive ordinate of a period-only Poisson fit.
+    """DIC, WAIC and the summed log predictive ordinate of every key of a period-only fit, whatever its family.
 
-    Equal observations are counted first, so the draws multiply distinct (entity, period, count) cells and
-    not rows.
+    Equal observations are counted first, so the draws multiply distinct (entity, period, count) cells and not rows. Averages of
+    likelihoods are taken relative to the likelihood at the estimate, so long tails don't underflow. The parameters of the zero
+    part and the dispersion stay at their estimates. Periods without estimate and missing counts take no part.
     """
     spec = fit.spec
-    cells = panel.groupBy(*spec.keys, "period", F.col(response).alias("y")).agg(F.count("*").alias("n"))
+    if spec.covariate or spec.levels or not spec.period:
+        raise ValueError("scores need a fit by period without covariate and units")
+    y, n = F.col("y"), F.col("n")
+    trials = F.col(spec.trials) if spec.trials else F.lit(None)
+    cells = panel.groupBy(*spec.keys, spec.period, F.col(response).alias("y"), trials.cast("double").alias("of")).agg(
+        F.count("*").alias("n")).filter("y IS NOT NULL").withColumnRenamed(spec.period, "period")
+    cells = cells.withColumn("d", level_index("period", spec.periods))
+    keyed = usable(fit).select(*spec.keys, *LABELS, "form", "zero", "logk", "zpar", "beta", "zbeta", "sign", "shift")
+    points = bounded_join(cells, keyed, list(spec.keys), rows=fit.n_keys)
+    eta = F.col("beta")[F.col("d")]
+    odds = 1.0 / (1.0 + F.exp(-eta)) if spec.trials else F.exp(eta)
+    points = points.withColumn("mu", known(odds)).withColumn("ez", F.nanvl(F.col("zbeta")[F.col("d")], F.lit(0.0)))
+
+    def law(mu: Column) -> Column:
+        kept = kept_share(mu, F.col("zero"), F.col("zpar"), F.col("ez"))
+        return F.struct(F.col("of").alias("n"), mu.alias("mu"), kept.alias("q"), "form", "zero", "logk")
+
+    points = points.withColumn("law", law(F.col("mu"))).withColumn("ref", log_chance(y)).drop("law", "mu")
     sampled = posterior_draws(fit, draws).filter(F.col("value").isNotNull())
-    joined = sampled.join(cells, [*spec.keys, "period"])
-    y, mu = F.col("y"), F.col("value")
-    ll = y * F.ln(mu) - mu - lgamma(y + 1.0)
-    point = joined.withColumn("ll", ll).groupBy(*spec.keys, *LABELS, "period", "y", "n").agg(
-        F.ln(F.avg(F.exp("ll"))).alias("lpd"),
+    joined = points.join(sampled, [*spec.keys, *LABELS, "period"])
+    value = F.col("value")
+    mu = value if spec.trials else F.when(F.col("sign") < 0, F.exp("shift") * (1.0 - value) / value).otherwise(value)
+    joined = joined.withColumn("mu", mu).withColumn("law", law(F.col("mu"))).withColumn("ll", log_chance(y))
+    fixed = ["of", "form", "zero", "logk", "zpar", "ez", "ref"]
+    point = joined.groupBy(*spec.keys, *LABELS, "period", "y", "n", *fixed).agg(
+        (F.ln(F.avg(F.exp(F.col("ll") - F.col("ref")))) + F.col("ref")).alias("lpd"),
         F.var_samp("ll").alias("spread"),
         F.avg("ll").alias("mean_ll"),
-        F.ln(F.avg(F.exp(-F.col("ll")))).alias("minus_log_cpo"),
-        F.avg("value").alias("mean_mu"),
+        (F.ln(F.avg(F.exp(F.col("ref") - F.col("ll")))) - F.col("ref")).alias("minus_log_cpo"),
+        F.avg("mu").alias("mean_mu"),
     )
-    at_mean = y * F.ln("mean_mu") - F.col("mean_mu") - lgamma(y + 1.0)
-    n = F.col("n")
-    sums = point.withColumn("at_mean", at_mean).groupBy(*spec.keys, *LABELS).agg(
+    at_mean = point.withColumn("law", law(F.col("mean_mu"))).withColumn("at_mean", log_chance(y))
+    sums = at_mean.groupBy(*spec.keys, *LABELS).agg(
         F.sum(n * F.col("lpd")).alias("lppd"),
         F.sum(n * F.col("spread")).alias("p_waic"),
         F.sum(-2.0 * n * F.col("mean_ll")).alias("mean_deviance"),

@@ -59,18 +59,24 @@ def count_law(y, mu, form, logk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(down, beyond, 1.0 - mass - beyond), mass, log_zero
 
 
-def proportion_law(y, n, p, form, logk) -> tuple[np.ndarray, np.ndarray]:
-    """P(hits < y) and P(hits = y) out of n."""
+def proportion_logs(y, n, p, form, logk) -> np.ndarray:
+    """log P(hits = y) out of n."""
     m = np.exp(-logk)
-    a, b = p * m, (1.0 - p) * m
     ways = lgamma(n + 1.0) - lgamma(y + 1.0) - lgamma(n - y + 1.0)
-    log_mass = ways + y * np.log(p) + (n - y) * np.log1p(-p)
+    out = ways + y * np.log(p) + (n - y) * np.log1p(-p)
     mixed = form != 0
     if mixed.any():
-        yy, nn, aa, bb, mm = y[mixed], n[mixed], a[mixed], b[mixed], m[mixed]
-        log_mass[mixed] = (
-            ways[mixed] + lgamma(yy + aa) + lgamma(nn - yy + bb) - lgamma(nn + mm) - lgamma(aa) - lgamma(bb) + lgamma(mm)
-        )
+        yy, nn, mm = y[mixed], n[mixed], m[mixed]
+        aa, bb = p[mixed] * mm, (1.0 - p[mixed]) * mm
+        out[mixed] = ways[mixed] + lgamma(yy + aa) + lgamma(nn - yy + bb) - lgamma(nn + mm) - lgamma(aa) - lgamma(bb) + lgamma(mm)
+    return out
+
+
+def proportion_law(y, n, p, form, logk) -> tuple[np.ndarray, np.ndarray]:
+    """P(hits < y) and P(hits = y) out of n."""
+    m, mixed = np.exp(-logk), form != 0
+    a, b = p * m, (1.0 - p) * m
+    log_mass = proportion_logs(y, n, p, form, logk)
 
     def ratio(i, j):
         odds = np.where(mixed[i], (a[i] + j - 1.0) / (b[i] + n[i] - j), p[i] / (1.0 - p[i]))
@@ -107,6 +113,40 @@ def law_at(y, n, mu, q, form, zero, logk) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(below, 0.0, 1.0), np.clip(mass, 0.0, 1.0)
 
 
+def log_mass_at(y, n, mu, q, form, zero, logk) -> np.ndarray:
+    """log P(= y) of every row, for means above 0 and shares inside (0, 1); NaN elsewhere. Arguments as in ``law_at``."""
+    out = np.full(len(y), np.nan)
+    trials = ~np.isnan(n)
+    at = trials & (mu > 0) & (mu < 1)
+    if at.any():
+        out[at] = proportion_logs(y[at], n[at], mu[at], form[at], logk[at])
+    at = ~trials & (mu > 0)
+    if at.any():
+        logs, log_zero, _ = count_logs(y[at], lgamma(y[at] + 1.0), np.log(mu[at]), mu[at], form[at], logk[at])
+        hurdle, kept = zero[at] == ZEROS["hurdle"], q[at]
+        left = np.where(hurdle, kept / -np.expm1(log_zero), kept)
+        at_zero = np.where(hurdle, 1.0 - kept, 1.0 - kept + kept * np.exp(log_zero))
+        plain = zero[at] == ZEROS["none"]
+        with np.errstate(divide="ignore"):
+            out[at] = np.where(plain, logs, np.where(y[at] == 0, np.log(at_zero), np.log(left) + logs))
+    return out
+
+
+def _logs(y: pd.Series, n: pd.Series, mu: pd.Series, q: pd.Series, form: pd.Series, zero: pd.Series, logk: pd.Series) -> pd.Series:
+    table = np.stack([np.asarray(v, np.float64) for v in (y, n, mu, q, form, zero, logk)], axis=1)
+    known = ~np.isnan(table[:, [0, 2]]).any(axis=1)
+    out = np.full(len(table), np.nan)
+    if known.any():
+        out[known] = log_mass_at(*table[known].T)
+    return pd.Series(out)
+
+
+def log_chance(y: Column, law: str = "law") -> Column:
+    """Log mass of a count under the row's law; NaN where the count is missing or the law has one value."""
+    parts = [F.col(f"{law}.{name}").cast("double") for name in ("n", "mu", "q", "form", "zero", "logk")]
+    return F.pandas_udf(_logs, "double")(y.cast("double"), *parts)
+
+
 def _evaluated(y: pd.Series, n: pd.Series, mu: pd.Series, q: pd.Series, form: pd.Series, zero: pd.Series, logk: pd.Series) -> pd.DataFrame:
     table = np.stack([np.asarray(v, np.float64) for v in (y, n, mu, q, form, zero, logk)], axis=1)
     known = ~np.isnan(table[:, [0, 2]]).any(axis=1)

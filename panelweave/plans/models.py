@@ -431,6 +431,19 @@ def fit_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("species", "dic", "waic", "p_waic", "log_score"), "dic", "waic", "p_waic", "log_score", digits=4)
 
 
+def fit_scores_families(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every candidate of the draws engine, for choosing among families."""
+    panel = I.model_input(spark, folder)
+    out = diagnostics.fit_scores(panel, fit(panel, PERIOD_ONLY, [c for c in COUNT_CANDIDATES if c.mod == "inla"]), DRAWS)
+    return rounded(out.select("species", "name", "dic", "waic", "p_waic", "log_score"), "dic", "waic", "p_waic", "log_score", digits=3)
+
+
+def fit_scores_successes(spark: SparkSession, folder: str) -> DataFrame:
+    panel = I.model_input(spark, folder)
+    out = diagnostics.fit_scores(panel, fit(panel, PERIOD_ONLY, [SUCCESSES_DRAWS]), DRAWS)
+    return rounded(out.select("species", "dic", "waic", "p_waic", "log_score"), "dic", "waic", "p_waic", "log_score", digits=4)
+
+
 QUERIES = {
     "fit_poisson": fit_poisson,
     "fit_poisson_prior": fit_poisson_prior,
@@ -477,6 +490,8 @@ QUERIES = {
     "dispersion_check_successes": dispersion_check_successes,
     "pit_residuals_chosen": pit_residuals_chosen,
     "fit_scores": fit_scores,
+    "fit_scores_families": fit_scores_families,
+    "fit_scores_successes": fit_scores_successes,
 }
 
 # --- SQL --------------------------------------------------------------------------------------------------
@@ -696,6 +711,15 @@ ORACLES = {
     "dispersion_check_successes": SQL + CELLS + SUCCESSES + """, x AS (SELECT species, count(*) AS n,
       sum(pow(value - fitted, 2) / (fitted * (1 + fitted))) AS x2 FROM fr WHERE fitted > 0 GROUP BY species)
       SELECT species, round(x2, 5) AS x2, n, round(x2 / n, 5) AS ratio, round((x2 - n) / sqrt(2.0 * n), 5) AS score FROM x""",
+    "fit_scores_successes": SQL + CELLS + DRAW + """, cy AS (SELECT species, period, value AS y, count(*) AS n FROM seen GROUP BY ALL),
+      gd AS (SELECT species, period, exp(ln(m) - e * sqrt(v * (1 + m))) AS mu FROM pb JOIN deviates USING (period)
+        WHERE m IS NOT NULL AND m1 IS NOT NULL),
+      pt AS (SELECT species, period, y, n, ln(avg(exp(ll))) AS lpd, var_samp(ll) AS sp, avg(ll) AS ml, ln(avg(exp(-ll))) AS cpo, avg(mu) AS mu
+        FROM (SELECT gd.species, gd.period, y, n, mu, y * ln(mu) - (y + 1) * ln(1 + mu) AS ll
+          FROM gd JOIN cy ON gd.species = cy.species AND gd.period = cy.period) GROUP BY species, period, y, n)
+      SELECT species, round(2 * sum(-2 * n * ml) - sum(-2 * n * (y * ln(mu) - (y + 1) * ln(1 + mu))), 4) AS dic,
+        round(-2 * (sum(n * lpd) - sum(n * sp)), 4) AS waic, round(sum(n * sp), 4) AS p_waic, round(sum(n * cpo), 4) AS log_score
+      FROM pt GROUP BY species""",
     "fit_scores": SQL + CELLS + DRAW + """, cy AS (SELECT species, period, value AS y, count(*) AS n FROM seen GROUP BY ALL),
       pt AS (SELECT species, period, y, n, ln(avg(exp(ll))) AS lpd, var_samp(ll) AS sp, avg(ll) AS ml, ln(avg(exp(-ll))) AS cpo, avg(mu) AS mu
         FROM (SELECT d.species, d.period, y, n, value AS mu, y * ln(value) - value - lgamma(y + 1) AS ll
