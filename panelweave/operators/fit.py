@@ -4,7 +4,7 @@ A key is (entity, candidate). Rows are laid out once, by their lowest sampling u
 counted first and the fit works on the counts); each round joins the unit effects and the key's parameters to the rows, reduces them to grouped sums, solves one small system per
 key, and walks back down the nesting to refresh the unit effects and variance components. Keys that have
 converged leave the loop. Every round ends in a written table, so the plan never grows and a lost executor
-costs one round at most.
+costs one round at most. Where every entity has few rows, the keys are dealt to tasks instead, which run the same rounds (``rounds``).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from panelweave.operators import solve
 from panelweave.operators.batches import Layout, make_effects, make_level_sums, make_row_sums
 from panelweave.operators.levels import level_index
 from panelweave.operators.likelihood import FORMS, ZEROS
+from panelweave.operators.rounds import STATE, make_key_rounds
 from panelweave.session import Ledger, bounded_join
 from panelweave.sources.candidates import Candidate
 
@@ -36,7 +37,7 @@ class FitSpec:
 
     ``period=None`` fits a single mean. ``trials`` switches to proportions. ``successes`` is the fixed count
     of the successes form. ``prior_mean`` and ``prior_sd`` give (intercept, other coefficients) of a Gaussian
-    prior.
+    prior. A key with at most ``key_rows`` rows is fitted within a task, unless it has a hot unit.
     """
 
     periods: tuple[str, ...]
@@ -54,6 +55,7 @@ class FitSpec:
     variance_tolerance: float = 5e-3
     check_every: int = 3
     hot_unit_rows: int = 200_000
+    key_rows: int = 20_000
 
     @property
     def n_periods(self) -> int:
@@ -355,36 +357,51 @@ def descend(tables: list[DataFrame], coef: DataFrame, spec: FitSpec, layout: Lay
     return out
 
 
-def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
-    """Fit all candidates to all entities. Never raises for a single key: see the status column."""
-    spark = panel.sparkSession
-    ledger = Ledger(spark)
-    layout = Layout(spec.n_periods, spec.size, any(c.zero == "regression" for c in candidates))
-    units = unit_ids(len(spec.levels))
+def most_rows(rows: DataFrame, loose: DataFrame | None) -> int:
+    """Rows of the entity that has most of them."""
+    whole = [t.groupBy("eid").agg(F.count("*").alias("n")) for t in (rows, loose) if t is not None]
+    counted = reduce(DataFrame.unionByName, whole).groupBy("eid").agg(F.sum("n").alias("n"))
+    return counted.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
-    rows = ledger.keep(model_rows(panel, spec), "input")  # the panel is read once, not once per round
-    cells = ledger.keep(period_cells(rows, spec), "cells")
-    entities = ledger.keep(
-        cells.select(*spec.keys).distinct().withColumn("eid", F.monotonically_increasing_id()), "entities"
+
+def named_not_converged(coef: DataFrame) -> DataFrame:
+    return coef.withColumn("status", F.when(F.col("status") == "running", "not_converged").otherwise(F.col("status")))
+
+
+def fit_in_tasks(rows: DataFrame, loose: DataFrame | None, coef: DataFrame, spec: FitSpec, layout: Layout, ledger: Ledger,
+                 n_keys: int) -> tuple[DataFrame, DataFrame | None, list[float]]:
+    """The keys as they end, their unit effects and the time taken, each key with its rows in one task."""
+    began = time.time()
+    units = unit_ids(len(spec.levels))
+    columns = ["eid", *units, "d", "x", "y", "n", "lgy", "live", "weight"]
+    given = rows.select(*columns, F.lit(False).alias("loose"))
+    if loose is not None:
+        alone = loose.select(*[F.lit(0).cast("long").alias(c) if c in units else F.col(c) for c in columns], F.lit(True).alias("loose"))
+        given = given.unionByName(alone)
+    parts = max(1, min(n_keys, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ids = coef.select("eid", F.col("kid").alias("of"))
+    keyed = bounded_join(given, ids, ["eid"], rows=n_keys).drop("eid").repartition(parts, "of")
+    end = solve.make_round_end(layout, len(spec.levels), spec.variance_tolerance, spec.tolerance) if spec.levels else None
+    run = make_key_rounds(
+        layout, units, coef.columns, spec.trials is not None, spec.covariate is not None, spec.prior_sd is not None, ETA_LIMIT,
+        solve.make_step(layout, prior_terms(spec), bool(spec.levels), spec.tolerance), end, spec.max_iterations, spec.check_every,
     )
-    n_entities = entities.count()
-    n_keys = n_entities * len(candidates)
-    live = bounded_join(cells.select(*spec.keys, "d", "live"), entities, list(spec.keys), rows=n_entities)
-    rows = bounded_join(rows, live, [*spec.keys, "d"], rows=n_entities * spec.n_periods).drop(*spec.keys)
-    hot, unit_table, loose = None, None, None
+    kinds = [T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType()), T.ArrayType(T.DoubleType())]
+    schema = T.StructType([*coef.schema.fields, *[T.StructField(n, k) for n, k in zip(STATE, kinds)]])
+    told = keyed.groupBy("of").cogroup(coef.repartition(parts, "kid").groupBy("kid")).applyInPandas(run, schema)
+    done = ledger.keep(named_not_converged(told), "done")
+    state = None
     if spec.levels:
-        named = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.levels])
-        if cells.agg(F.sum("loose")).first()[0]:
-            loose = ledger.keep(collapsed(rows.filter(~named).drop(*spec.levels)), "loose")
-        rows = rows.filter(named).withColumn("weight", F.lit(1.0))
-        unit_table = number_units(rows, spec, ledger)
-        n_units = unit_table.count()
-        rows = bounded_join(rows, unit_table, ["eid", *spec.levels], rows=n_units).drop(*spec.levels)
-        rows, hot = lay_out(rows, units[-1], spec.hot_unit_rows)
-    else:
-        rows = collapsed(rows)
-    rows = rows.persist()
-    coef = ledger.write(starting_values(cells, entities, spec, candidates), "coef")
+        state = done.select("kid", F.explode(F.arrays_zip(*STATE)).alias("u")).select(
+            "kid", F.col("u.state_unit").alias(units[-1]), F.col("u.state_o").alias("o"), F.col("u.state_zo").alias("zo")
+        )
+    return done.drop(*STATE), state, [time.time() - began]
+
+
+def fit_in_rounds(rows: DataFrame, loose: DataFrame | None, hot: DataFrame | None, coef: DataFrame, spec: FitSpec, layout: Layout,
+                  ledger: Ledger, n_keys: int) -> tuple[DataFrame, DataFrame | None, list[float]]:
+    """The keys as they end, their unit effects and the time of each round, in rounds of jobs over all rows."""
+    units = unit_ids(len(spec.levels))
     step = solve.make_step(layout, prior_terms(spec), bool(spec.levels), spec.tolerance)
     state: DataFrame | None = None
     finished: list[DataFrame] = []
@@ -416,10 +433,7 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
             statuses = {r["status"] for r in coef.select("status").distinct().collect()}
             if last or statuses - {"running"}:
                 ended = "true" if last else "status != 'running'"
-                done = coef.filter(ended).withColumn(
-                    "status", F.when(F.col("status") == "running", "not_converged").otherwise(F.col("status"))
-                )
-                done = ledger.keep(done, "done")
+                done = ledger.keep(named_not_converged(coef.filter(ended)), "done")
                 finished.append(done)
                 coef = ledger.write(coef.filter(f"NOT ({ended})"), "coef")
                 if state is not None:
@@ -429,12 +443,50 @@ def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
             if last or "running" not in statuses:
                 break
         seconds.append(time.time() - began)
-    rows.unpersist()
     whole_state = reduce(DataFrame.unionByName, finished_state) if finished_state else None
-    result = finish(reduce(DataFrame.unionByName, finished), cells, spec, candidates)
-    result = ledger.keep(result, "fit")
+    return reduce(DataFrame.unionByName, finished), whole_state, seconds
+
+
+def fit(panel: DataFrame, spec: FitSpec, candidates: list[Candidate]) -> Fit:
+    """Fit all candidates to all entities. Never raises for a single key: see the status column."""
+    spark = panel.sparkSession
+    ledger = Ledger(spark)
+    layout = Layout(spec.n_periods, spec.size, any(c.zero == "regression" for c in candidates))
+    units = unit_ids(len(spec.levels))
+
+    rows = ledger.keep(model_rows(panel, spec), "input")  # the panel is read once, not once per round
+    cells = ledger.keep(period_cells(rows, spec), "cells")
+    entities = ledger.keep(
+        cells.select(*spec.keys).distinct().withColumn("eid", F.monotonically_increasing_id()), "entities"
+    )
+    n_entities = entities.count()
+    n_keys = n_entities * len(candidates)
+    live = bounded_join(cells.select(*spec.keys, "d", "live"), entities, list(spec.keys), rows=n_entities)
+    rows = bounded_join(rows, live, [*spec.keys, "d"], rows=n_entities * spec.n_periods).drop(*spec.keys)
+    hot, unit_table, loose = None, None, None
+    if spec.levels:
+        named = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.levels])
+        if cells.agg(F.sum("loose")).first()[0]:
+            loose = ledger.keep(collapsed(rows.filter(~named).drop(*spec.levels)), "loose")
+        rows = rows.filter(named).withColumn("weight", F.lit(1.0))
+        unit_table = number_units(rows, spec, ledger)
+        n_units = unit_table.count()
+        rows = bounded_join(rows, unit_table, ["eid", *spec.levels], rows=n_units).drop(*spec.levels)
+        rows, hot = lay_out(rows, units[-1], spec.hot_unit_rows)
+    else:
+        rows = collapsed(rows)
+    rows = rows.persist()
+    coef = ledger.write(starting_values(cells, entities, spec, candidates), "coef")
+    most = most_rows(rows, loose)
+    if most <= min(spec.key_rows, spec.hot_unit_rows):
+        ended, state, seconds = fit_in_tasks(rows, loose, coef, spec, layout, ledger, n_keys)
+    else:
+        ended, state, seconds = fit_in_rounds(rows, loose, hot, coef, spec, layout, ledger, n_keys)
+    rows.unpersist()
+    result = ledger.keep(finish(ended, cells, spec, candidates), "fit")
+    rounds = result.agg(F.coalesce(F.max("iterations"), F.lit(0))).first()[0]
     ledger.clear()
-    return Fit(spec, candidates, result, rows, whole_state, n_keys, rounds, cells, unit_table, seconds)
+    return Fit(spec, candidates, result, rows, state, n_keys, rounds, cells, unit_table, seconds)
 
 
 def unit_effects(fitted: Fit) -> DataFrame:
