@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import sys
 import types
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +65,21 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most ``most`` rows for what is run inside; the session's own number holds if it is smaller, and again afterwards.
+
+    Batches are cut by rows alone, so those of texts take memory in the JVM and the worker by the length of the texts.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(own)) if int(own) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def partitions_for(spark: SparkSession, size: float, each: float) -> int:
     """Partitions that hold about ``each`` units of ``size``, and no fewer than the session's shuffle partitions."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import new_folder, packed, quoted, sent_along, written
+from panelweave.llm.common import new_folder, packed, quoted, rows_at_once, sent_along, written
 from panelweave.llm.components import components
 from panelweave.llm.pretokens import text_slices
 from panelweave.llm.shingles import mixed, shingle_hashes, shingle_set
@@ -40,6 +40,7 @@ sent_along(__name__)
 K = 80
 RUN = 3
 SETS_KEPT = 64
+TEXTS_AT_ONCE = 500
 
 
 def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
@@ -175,7 +176,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
                     ok.append(bool(x) and bool(y) and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield some.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.mapInArrow(confirm, "a long, b long"), folder, f"{name}-links")
+    with rows_at_once(pairs.sparkSession, TEXTS_AT_ONCE):
+        return written(both.mapInArrow(confirm, "a long, b long"), folder, f"{name}-links")
 
 
 def _block_links(width: int, percent: int, k: int):
@@ -294,7 +296,8 @@ def near_groups(
     """
     folder = new_folder(docs.sparkSession)
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-    every = written(_sketches(texts, width, k), folder, "sketches")
+    with rows_at_once(docs.sparkSession, TEXTS_AT_ONCE):
+        every = written(_sketches(texts, width, k), folder, "sketches")
     full = every.where("n > 0 AND id IS NOT NULL")
     reps = written(
         full.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), folder, "reps"

@@ -76,14 +76,24 @@ class WordDigests(dict):
         return out
 
 
-def word_digests(texts: list[bytes], most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the words of all texts, A-Z lower-cased, and the bounds; a worker remembers about ``most`` words."""
+def word_digests(texts: list[bytes], most: int = 50_000, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of all texts, A-Z lower-cased, and the bounds; a worker remembers about ``most`` words.
+
+    Words are split off ``at_once`` bytes of texts at a time (a longer text comes alone), as lists of them take many times the texts.
+    """
     known = worker_store().setdefault("word_digests", WordDigests())
-    if len(known) > most:
-        known.clear()
-    words = [t.lower().split() for t in texts]  # of bytes: ASCII letters and blanks only
-    bounds = np.cumsum([0, *map(len, words)])
-    return np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(words))), np.uint64), bounds
+    counts, digests, start, held = [0], [], 0, 0
+    for i, text in enumerate(texts, 1):
+        held += len(text)
+        if held < at_once and i < len(texts):
+            continue
+        if len(known) > most:
+            known.clear()
+        words = [t.lower().split() for t in texts[start:i]]  # of bytes: ASCII letters and blanks only
+        counts += map(len, words)
+        digests.append(b"".join(map(known.__getitem__, chain.from_iterable(words))))
+        start, held = i, 0
+    return np.frombuffer(b"".join(digests), np.uint64), np.cumsum(counts)
 
 
 def shingle_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:
