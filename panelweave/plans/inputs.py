@@ -140,15 +140,21 @@ def benthic(raw: DataFrame) -> DataFrame:
     )
 
 
-def benthic_cover(spark: SparkSession, folder: str, split_status: bool = False) -> DataFrame:
-    return benthic(cover_raw(spark, folder, split_status)).select(
+def stored_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw cover rows, written once for a job that makes both panels from them."""
+    return Ledger(spark).keep(cover_raw(spark, folder), "cover")
+
+
+def benthic_cover(spark: SparkSession, folder: str, split_status: bool = False, raw: DataFrame | None = None) -> DataFrame:
+    raw = cover_raw(spark, folder, split_status) if raw is None else raw
+    return benthic(raw).select(
         "reef", "reefsite", "reefsitetransect", "report_year", "period", "hc", "site_no", "transect_no"
     )
 
 
-def coral_panel(spark: SparkSession, folder: str) -> DataFrame:
+def coral_panel(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
     """Cover pass: only families that ever have cover, with hits and trials kept."""
-    raw = cover_raw(spark, folder)
+    raw = cover_raw(spark, folder) if raw is None else raw
     present = raw.filter(F.col("hc") > 0).select("family")
     kept = P.keep_matching(raw, present, ["family"])
     return benthic(kept).select(
@@ -157,35 +163,35 @@ def coral_panel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def join_panel(spark: SparkSession, folder: str) -> DataFrame:
+def join_panel(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
     counts = counts_wide(spark, folder, before=2001)
-    return P.full_join_panel(counts, benthic_cover(spark, folder), JOIN_KEYS)
+    return P.full_join_panel(counts, benthic_cover(spark, folder, raw=raw), JOIN_KEYS)
 
 
-def panel_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return P.add_unit_keys(join_panel(spark, folder)).filter(
+def panel_keys(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
+    return P.add_unit_keys(join_panel(spark, folder, raw)).filter(
         F.col("site_no").isNotNull() & F.col("hc").isNotNull()
     )
 
 
-def panel_long(spark: SparkSession, folder: str) -> DataFrame:
-    wide = panel_keys(spark, folder).select(
+def panel_long(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
+    wide = panel_keys(spark, folder, raw).select(
         "reef", "site", "transect", "report_year", "period", "hc", *ENTITIES
     )
     return P.to_long(wide, P.columns_like(wide, ENTITY_PATTERN))
 
 
-def model_input(spark: SparkSession, folder: str) -> DataFrame:
+def model_input(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
     """Long panel without missing counts and without sites where the entity never occurs.
 
-    The long panel is written once, as it is read for the sums per site and again for the rows.
+    The long panel is written once, as it is read for the sums per site and again for the rows. ``raw`` is the raw cover if it is stored.
     """
-    long = panel_long(spark, folder).filter(F.col("value").isNotNull())
+    long = panel_long(spark, folder, raw).filter(F.col("value").isNotNull())
     return P.drop_zero_units(Ledger(spark).keep(long, "panel"))
 
 
-def model_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return with_scaled_covariate(model_input(spark, folder), ["species"], n_keys=len(ENTITIES))
+def model_panel(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
+    return with_scaled_covariate(model_input(spark, folder, raw), ["species"], n_keys=len(ENTITIES))
 
 
 def panel_scale(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,17 +34,21 @@ POISSON_WALD = pick("glmmTMB", "poisson", False)
 DRAWS = 1000
 
 
-def fit_counts(spark: SparkSession, folder: str, *candidates: Candidate, spec: FitSpec = PERIOD_ONLY) -> Fit:
-    panel = I.model_panel(spark, folder) if spec.covariate else I.model_input(spark, folder)
+def fit_counts(
+    spark: SparkSession, folder: str, *candidates: Candidate, spec: FitSpec = PERIOD_ONLY, raw: DataFrame | None = None
+) -> Fit:
+    panel = I.model_panel(spark, folder, raw) if spec.covariate else I.model_input(spark, folder, raw)
     return fit(panel, spec, list(candidates))
 
 
-def cover_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return I.coral_panel(spark, folder).withColumn("species", F.lit("cover"))
+def cover_rows(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
+    return I.coral_panel(spark, folder, raw).withColumn("species", F.lit("cover"))
 
 
-def fit_cover(spark: SparkSession, folder: str, *candidates: Candidate, spec: FitSpec = COVER_ONLY) -> Fit:
-    return fit(cover_rows(spark, folder), spec, list(candidates))
+def fit_cover(
+    spark: SparkSession, folder: str, *candidates: Candidate, spec: FitSpec = COVER_ONLY, raw: DataFrame | None = None
+) -> Fit:
+    return fit(cover_rows(spark, folder, raw), spec, list(candidates))
 
 
 def parameters(fitted: Fit, *extra: str) -> DataFrame:
@@ -320,9 +324,11 @@ def chosen_from_artefacts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chosen(spark: SparkSession, folder: str, group: str, overlay: bool) -> DataFrame:
-    names = best_model(spark, folder)
-    fitted = fit_counts(spark, folder, *[c for c in COUNT_CANDIDATES if c.mod == "inla"])
-    cover = fit_cover(spark, folder, pick("inla", "betabinomial", False)) if overlay else None
+    raw = I.stored_cover(spark, folder) if overlay else None
+    panel = I.model_input(spark, folder, raw)
+    names = best_model(spark, folder, panel)
+    fitted = fit(panel, PERIOD_ONLY, [c for c in COUNT_CANDIDATES if c.mod == "inla"])
+    cover = fit_cover(spark, folder, pick("inla", "betabinomial", False), raw=raw) if overlay else None
     return _table(fitted, names, group, cover, 4)
 
 
@@ -419,7 +425,7 @@ def pit_residuals_chosen(spark: SparkSession, folder: str) -> DataFrame:
     wanted = [c for c in COUNT_CANDIDATES if c.mod == "inla"]
     panel = I.model_input(spark, folder)
     number = F.create_map(*[v for i, c in enumerate(wanted) for v in (F.lit(c.name), F.lit(i + 1))])
-    chosen = best_model(spark, folder).select("species", number[F.col("name")].alias("cand"))
+    chosen = best_model(spark, folder, panel).select("species", number[F.col("name")].alias("cand"))
     rows = diagnostics.fitted_rows(panel, fit(panel, PERIOD_ONLY, wanted), chosen)
     out = diagnostics.pit_residuals(rows, ROW_ORDER).select(*ROW_ORDER, "obs", "value", "fitted", "residual")
     return rounded(out, "fitted", "residual", digits=4)

@@ -217,17 +217,19 @@ def lookup_table(spark: SparkSession) -> DataFrame:
     return lookup.override_values(table, I.OVERRIDES, "species", "best_model")
 
 
-def entity_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return I.model_input(spark, folder).groupBy("species").agg(F.sum("value").alias("total"))
+def entity_totals(spark: SparkSession, folder: str, panel: DataFrame | None = None) -> DataFrame:
+    panel = I.model_input(spark, folder) if panel is None else panel
+    return panel.groupBy("species").agg(F.sum("value").alias("total"))
 
 
 def lookup_overrides(spark: SparkSession, folder: str) -> DataFrame:
     return entity_totals(spark, folder).join(F.broadcast(lookup_table(spark)), "species", "left")
 
 
-def best_model(spark: SparkSession, folder: str) -> DataFrame:
+def best_model(spark: SparkSession, folder: str, panel: DataFrame | None = None) -> DataFrame:
+    """Listed entities with their chosen candidate; ``panel`` is the model input if it was made already."""
     return lookup.choose_models(
-        entity_totals(spark, folder), lookup_table(spark), lookup_rows=len(I.LOOKUP)
+        entity_totals(spark, folder, panel), lookup_table(spark), lookup_rows=len(I.LOOKUP)
     )
 
 
