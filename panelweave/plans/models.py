@@ -286,8 +286,9 @@ def _table(fitted: Fit, names: DataFrame, group: str, cover: Fit | None, digits:
 
 def family_effects(spark: SparkSession, folder: str) -> DataFrame:
     """Effects of the listed entities by family, each under the candidate of its label, with binomial cover beside them."""
-    fitted = fit_counts(spark, folder, POISSON_DRAWS, SUCCESSES_DRAWS)
-    cover = fit_cover(spark, folder, pick("inla", "binomial", False))
+    raw = I.stored_cover(spark, folder)
+    fitted = fit_counts(spark, folder, POISSON_DRAWS, SUCCESSES_DRAWS, raw=raw)
+    cover = fit_cover(spark, folder, pick("inla", "binomial", False), raw=raw)
     return _table(fitted, listed_models(spark, fitted), "family", cover, 5)
 
 
@@ -298,7 +299,8 @@ def trophic_effects(spark: SparkSession, folder: str) -> DataFrame:
 
 def collate_all(spark: SparkSession, folder: str) -> DataFrame:
     """Contrasts of every count candidate of every entity and of every cover candidate, from what the fits stored."""
-    fits = [fit_counts(spark, folder, *COUNT_CANDIDATES), fit_cover(spark, folder, *PROPORTION_CANDIDATES)]
+    raw = I.stored_cover(spark, folder)
+    fits = [fit_counts(spark, folder, *COUNT_CANDIDATES, raw=raw), fit_cover(spark, folder, *PROPORTION_CANDIDATES, raw=raw)]
     path = f"{scratch_folder(spark)}/artefacts"
     publish.store_results(fits, path, DRAWS)
     return rounded(publish.collate_stored(spark, path), "mean", "lower", "upper", digits=4)

@@ -10,7 +10,7 @@ from panelweave.plans import models
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["chosen_family_effects"])
+@pytest.mark.parametrize("name", ["chosen_family_effects", "collate_all"])
 def test_tables_are_read_once(spark, monkeypatch, name):
     read = []
     plain = I.read_table
