@@ -14,8 +14,9 @@ still spans several components,
 - a list of at most ``small_list`` members gives its pairs across components,
 - members of longer lists meet again by the rare shingles of their whole sets: of sets ordered rare shingles first, near
   ones share one of the first fifth, and its places bound what they share. Each links to the smallest set it may be
-  near first; what then still spans components gives its cross pairs, in blocks.
-So no partner is dropped, no task holds a whole list, and a passage common to many documents makes no pairs of documents
+  near first; what then may still be near to another component is joined to families, and a family is compared in
+  blocks of bounded size, each task telling only the links that connect something new.
+So no partner is dropped, no task holds a whole family, and a passage common to many documents makes no family of those
 that have more than a fifth of their own beside it.
 """
 
@@ -26,6 +27,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,6 +183,63 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
         return written(both.mapInArrow(confirm, "a long, b long"), folder, f"{name}-links")
 
 
+def _block_links(width: int, percent: int, k: int):
+    """Links between two blocks of a family, or within one, that connect components not yet connected."""
+
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        own, other = key[1], key[2]
+        ids, side = block["id"].to_numpy(), block["block"].to_numpy()
+        texts = [t or "" for t in block["text"]]
+        sets = shingle_hashes([t.encode() for t in texts], width)
+        sizes = np.array([len(s) for s in sets])
+        held = [s[:k] for s in sets]
+        values, at = np.unique(np.concatenate(held), return_inverse=True)
+        shared = np.zeros((len(ids), len(ids)), np.float32)
+        rows = np.repeat(np.arange(len(ids)), [len(s) for s in held])
+        often = np.bincount(at, minlength=len(values)) > 1
+        number = np.cumsum(often) - 1
+        use = often[at]
+        rows, at = rows[use], number[at[use]]
+        for a in range(0, int(often.sum()), 8192):
+            now = (at >= a) & (at < a + 8192)
+            seen = np.zeros((len(ids), 8192), np.float32)
+            seen[rows[now], at[now] - a] = 1
+            shared += seen @ seen.T
+        least, most = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+        floor = np.where(most <= k, percent * (sizes[:, None] + sizes[None, :]) / (100 + percent) - 0.5,
+                         (percent - 25) / 100 * np.minimum(least, k))
+        likely = (shared >= floor) & (100 * least >= percent * most)
+        likely &= np.not_equal.outer(side, side) if own != other else True
+        a, b = np.nonzero(np.triu(likely, 1))
+        order = np.argsort(-shared[a, b], kind="stable")
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        comps, links, exact = block["comp"].tolist(), [], {}
+        for i, j in zip(a[order].tolist(), b[order].tolist()):
+            p, q = root(comps[i]), root(comps[j])
+            if p == q:
+                continue
+            n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * n < percent * (sizes[i] + sizes[j] - n):
+                continue
+            for x in (i, j):
+                if x not in exact:
+                    exact[x] = shingle_set(texts[x], width)
+            n = len(exact[i] & exact[j])
+            if 100 * n >= percent * (len(exact[i]) + len(exact[j]) - n):
+                parent[max(p, q)] = min(p, q)
+                links.append((ids[i], ids[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _across(open_rows: DataFrame, pairs: DataFrame, small_list: int, folder: str) -> DataFrame:
     """Pairs across components within lists of at most ``small_list`` members."""
     short = open_rows.where(F.col("members") <= small_list)
@@ -223,41 +282,57 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     ).select("shingle", "id", "comp", "n", (F.col("rest") * (100 + percent) - F.col("n") * percent).alias("reach"))
 
 
-def _may_be_near(percent: int) -> Column:
-    """Whether rows ``l`` and ``r`` of one shingle may be near sets of different components."""
-    fits = [F.col(f"{x}.n") * percent <= F.least(F.col(f"{y}.reach"), F.col(f"{y}.n") * 100) for x, y in ("lr", "rl")]
-    return (F.col("l.comp") != F.col("r.comp")) & fits[0] & fits[1]
+def _families(long: DataFrame, texts: DataFrame, block_rows: int, block_bytes: int, told, folder: str) -> DataFrame:
+    """Links between members of families of lists, which are compared in blocks by ``told``."""
+    tops = long.groupBy("key").agg(F.min("id").alias("top"))
+    joined = components(
+        long.join(tops, "key").where("id <> top").select(F.col("id").alias("a"), F.col("top").alias("b")), folder, "family"
+    )
+    members = joined.select(F.col("node").alias("id"), F.col("component").alias("family")).unionByName(
+        joined.select(F.col("component").alias("id"), F.col("component").alias("family")).distinct()
+    )
+    members = members.join(long.select("id", "comp").distinct(), "id")
+    with_text = written(_semi(texts, members.select("id"), "id").join(members, "id"), folder, "families")
+    counted = with_text.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks")
+    )
+    placed = with_text.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.select(
+        "family", "id", "comp", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select(
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "text", "block"
+    )
+    within = met.groupBy("family", "p", "q").applyInPandas(told, "a long, b long")
+    return written(within, folder, "within")
+
+
+def _fits(percent: int) -> Column:
+    """Whether sets ``l`` and ``r`` with the same shingle may be near by their sizes and what they can share."""
+    one, other = (F.col(f"{x}.n") * percent <= F.least(F.col(f"{y}.reach"), F.col(f"{y}.n") * 100) for x, y in ("lr", "rl"))
+    return one & other
 
 
 def _to_smallest_set(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a set and the smallest one with the same shingle, across components."""
     hubs = prefixes.groupBy("shingle").agg(F.min(F.struct("n", "id", "comp", "reach")).alias("hub")).select("shingle", "hub.*")
-    met = prefixes.alias("l").join(hubs.alias("r"), F.col("l.shingle") == F.col("r.shingle")).where(_may_be_near(percent))
+    met = prefixes.alias("l").join(
+        hubs.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.comp") != F.col("r.comp")) & _fits(percent)
+    )
     return met.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")).distinct()
 
 
-def _across_blocks(prefixes: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """Pairs (a, b) with the same shingle across components; long lists are in blocks that meet each other."""
-    lists = prefixes.groupBy("shingle").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"),
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"),
-    ).where("low <> high")
-    placed = prefixes.join(lists.select("shingle", "least", "blocks"), "shingle").where(
-        F.col("least") * percent <= F.col("reach")
-    ).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    own = ["shingle", "id", "comp", "n", "reach"]
-    left = placed.select(*own, F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
-    right = placed.select(*own, F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("shingle", "p", "q")]
-    met = left.alias("l").join(right.alias("r"), same).where(
-        ((F.col("l.p") < F.col("l.q")) | (F.col("l.id") > F.col("r.id"))) & _may_be_near(percent)
+def _with_partner(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``prefixes`` that may be near a set of another component; they meet kinds of sets and not each other."""
+    kinds = prefixes.groupBy("shingle", "n", "reach").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    other = (F.col("r.low") != F.col("l.comp")) | (F.col("r.high") != F.col("l.comp"))
+    return prefixes.alias("l").join(
+        kinds.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & other & _fits(percent), "left_semi"
     )
-    return met.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")).distinct()
 
 
 def _within(long: DataFrame, texts: DataFrame, full: DataFrame, width: int, percent: int, k: int, block_rows: int,
-            folder: str) -> DataFrame:
-    """Links across components between members of long lists: first to the smallest set, then what is still open."""
+            block_bytes: int, folder: str) -> DataFrame:
+    """Links between members of long lists: to the smallest set first, then within families of what may still be near."""
     members = long.select("id", "comp").distinct()
     members = written(_semi(texts, members.select("id"), "id").join(members, "id"), folder, "members")
     with rows_at_once(texts.sparkSession, TEXTS_AT_ONCE):
@@ -267,14 +342,13 @@ def _within(long: DataFrame, texts: DataFrame, full: DataFrame, width: int, perc
     stars = written(_to_smallest_set(prefixes, percent), folder, "within-stars")
     links = _confirmed(stars, full, texts, width, percent, k, folder, "third")
     comps = members.select("id", "comp").distinct()
-    joined = components(
+    merged = components(
         links.join(comps.toDF("a", "p"), "a").join(comps.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b")),
-        folder, "family",
+        folder, "merged",
     ).toDF("comp", "further")
-    known = prefixes.join(joined, "comp", "left").withColumn("comp", F.coalesce("further", "comp")).drop("further")
-    rest = _across_blocks(known, percent, block_rows).join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(
-        _confirmed(written(rest, folder, "within"), full, texts, width, percent, k, folder, "fourth"))
+    known = prefixes.join(merged, "comp", "left").withColumn("comp", F.coalesce("further", "comp")).drop("further")
+    some = written(_with_partner(known, percent).select(F.col("shingle").alias("key"), "id", "comp"), folder, "partners")
+    return links.unionByName(_families(some, texts, block_rows, block_bytes, _block_links(width, percent, k), folder))
 
 
 def near_groups(
@@ -299,8 +373,6 @@ def near_groups(
     A null, empty or blank text has an empty set and is linked with nothing. A row without id is linked with nothing: its
     component_id is null and it is kept. Rows that share an id are one document with several texts. Of
     repeated rows each has the same result. An empty table gives an empty table; other columns are not looked at.
-
-    Blocks of long lists hold ``block_rows`` rows; they hold no texts, so ``block_bytes`` is taken from callers but not needed.
     """
     folder = new_folder(docs.sparkSession)
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
@@ -336,7 +408,7 @@ def near_groups(
         every_link = every_link.unionByName(_confirmed(across, reps, texts, width, percent, k, folder, "second"))
     if found[1]:
         long = open_rows.where(F.col("members") > small_list)
-        every_link = every_link.unionByName(_within(long, texts, full, width, percent, k, block_rows, folder))
+        every_link = every_link.unionByName(_within(long, texts, full, width, percent, k, block_rows, block_bytes, folder))
 
     last = components(every_link, folder, "components")
     class_of = reps.select("d1", "d2", "n", F.col("id").alias("rep")).join(
